@@ -50,6 +50,11 @@ def minutes_between(start: str | Column, end: str | Column) -> Column:
     return (F.unix_micros(col_or_lit(end)) - F.unix_micros(col_or_lit(start))) / F.lit(60_000_000.0)
 
 
+def hours_between(start: str | Column, end: str | Column) -> Column:
+    """(end - start) in hours as double, from exact microseconds."""
+    return (F.unix_micros(col_or_lit(end)) - F.unix_micros(col_or_lit(start))) / F.lit(3_600_000_000.0)
+
+
 def contains_any(text: Column, tokens: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in tokens])
 

@@ -127,4 +127,171 @@ SELECT alert_id, source, "timestamp", organization, device, entity_type, alert_t
     q["incidents"] = incidents_ctes(300) + f" SELECT {INCIDENT_GOLD_COLS} FROM incidents"
     q["incidents_6h"] = incidents_ctes(6 * 3600) + f" SELECT {INCIDENT_GOLD_COLS} FROM incidents"
 
+    I = incidents_ctes(300)
+
+    q["alert_incident_map"] = I + """
+SELECT m.alert_id, m.source, m."timestamp", m.organization, m.device, m.entity_type, m.alert_type, m.severity,
+       m.status, m.description, m.cause, m.severity_weight, m.is_critical, m.time_window, m.incident_id,
+       i.incident_type
+FROM alert_map m LEFT JOIN incidents i ON m.incident_id = i.incident_id"""
+
+    q["alert_features"] = "WITH " + RAW_ALERTS + """,
+a AS (
+  SELECT alert_id, source, "timestamp", organization, device, entity_type, alert_type,
+         coalesce(trim(lower(severity)), 'none') AS severity, status, description, cause
+  FROM raw_alerts WHERE "timestamp" IS NOT NULL AND device IS NOT NULL AND organization IS NOT NULL
+),
+d AS (
+  SELECT organization, device, count(alert_id) AS n, min("timestamp") AS f, max("timestamp") AS l
+  FROM a GROUP BY organization, device
+)
+SELECT a.*,
+       CAST(CASE a.severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS DOUBLE)
+         AS severity_weight,
+       d.n AS alerts_per_device,
+       d.n / greatest((epoch_us(d.l) - epoch_us(d.f)) / CAST(3600000000 AS DOUBLE), CAST(1 AS DOUBLE) / 60)
+         AS alert_frequency,
+       coalesce((epoch_us(a."timestamp") - epoch_us(lag(a."timestamp") OVER (
+                   PARTITION BY a.organization, a.device ORDER BY a."timestamp", a.alert_id)))
+                / CAST(60000000 AS DOUBLE), CAST(0 AS DOUBLE)) AS time_since_prev_alert_min
+FROM a JOIN d ON a.organization = d.organization AND a.device = d.device"""
+
+    q["incident_features"] = I + """
+SELECT i.incident_id, i.organization, i.device, i.alert_count, i.severity_score, i.critical_alert_count,
+       i.start_time, i.end_time, i.duration_minutes, i.root_cause_candidate, i.incident_cause, i.description,
+       i.incident_type,
+       greatest(i.duration_minutes, CAST(0 AS DOUBLE)) AS incident_duration,
+       i.severity_score / (SELECT greatest(max(severity_score), CAST(1 AS DOUBLE)) FROM incidents)
+         AS normalized_severity_score,
+       i.alert_count / greatest(greatest(i.duration_minutes, CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE))
+         AS alerts_per_minute,
+       coalesce(r.ratio, CAST(0 AS DOUBLE)) AS open_alert_ratio
+FROM incidents i LEFT JOIN (
+  SELECT incident_id,
+         avg(CASE WHEN lower(coalesce(status, 'None')) <> 'resolved' THEN 1.0 ELSE 0.0 END)::DOUBLE AS ratio
+  FROM alert_map GROUP BY incident_id) r ON i.incident_id = r.incident_id"""
+
+    device_base = """,
+am AS (
+  SELECT organization, device, count(alert_id) AS total_alerts,
+         CAST(sum(CASE WHEN lower(severity) = 'critical' THEN 1 ELSE 0 END) AS BIGINT) AS critical_alerts,
+         avg(severity_weight) AS avg_severity, CAST(0 AS DOUBLE) AS alert_frequency
+  FROM alert_map GROUP BY organization, device
+),
+im AS (
+  SELECT organization, device, count(DISTINCT incident_id) AS incidents_count,
+         avg(duration_minutes) AS avg_incident_duration, avg(severity_score) AS avg_incident_severity
+  FROM incidents GROUP BY organization, device
+),
+dm AS (
+  SELECT am.*, coalesce(im.incidents_count, 0) AS incidents_count,
+         coalesce(im.avg_incident_duration, 0) AS avg_incident_duration,
+         coalesce(im.avg_incident_severity, 0) AS avg_incident_severity
+  FROM am LEFT JOIN im ON am.organization = im.organization AND am.device = im.device
+),
+mx AS (
+  SELECT greatest(CAST(max(total_alerts) AS DOUBLE), 1.0) AS ma,
+         greatest(CAST(max(critical_alerts) AS DOUBLE), 1.0) AS mc,
+         greatest(CAST(max(incidents_count) AS DOUBLE), 1.0) AS mi FROM dm
+),
+scored AS (
+  SELECT dm.*, round_even(least(greatest(100.0::DOUBLE * (1.0::DOUBLE - (
+            0.45::DOUBLE * (total_alerts / ma) + 0.35::DOUBLE * (critical_alerts / mc)
+            + 0.2::DOUBLE * (incidents_count / mi))), 0.0::DOUBLE), 100.0::DOUBLE), 2) AS reliability_score
+  FROM dm, mx
+)"""
+    DM = I + device_base
+
+    q["device_features"] = DM + """
+SELECT organization, device, total_alerts, critical_alerts, avg_severity, alert_frequency, incidents_count,
+       avg_incident_duration, avg_incident_severity FROM dm"""
+
+    q["device_metrics"] = DM + """
+SELECT device, organization, total_alerts, critical_alerts, incidents_count, reliability_score FROM scored"""
+
+    q["alert_stats"] = I + """
+SELECT alert_type, count(alert_id) AS total_count, count(DISTINCT device) AS devices_affected,
+       avg(severity_weight) AS avg_severity
+FROM alert_map WHERE alert_type IS NOT NULL GROUP BY alert_type"""
+
+    timeline = f""",
+atl AS (SELECT {_bucket('"timestamp"', 300)} AS ts, count(alert_id) AS alerts_count FROM alert_map GROUP BY 1),
+itl AS (SELECT {_bucket('start_time', 300)} AS ts, count(DISTINCT incident_id) AS incidents_count,
+               count(CASE WHEN critical_alert_count > 0 THEN 1 END) AS critical_incidents
+        FROM incidents GROUP BY 1),
+tl AS (
+  SELECT coalesce(atl.ts, itl.ts) AS "timestamp",
+         CAST(coalesce(alerts_count, 0) AS BIGINT) AS alerts_count,
+         CAST(coalesce(incidents_count, 0) AS BIGINT) AS incidents_count,
+         CAST(coalesce(critical_incidents, 0) AS BIGINT) AS critical_incidents
+  FROM atl FULL OUTER JOIN itl ON atl.ts = itl.ts
+)"""
+    q["timeline"] = I + timeline + " SELECT * FROM tl"
+    q["timeline_tail"] = I + timeline + ' SELECT * FROM tl ORDER BY "timestamp" DESC LIMIT 5'
+
+    q["top_failing_devices"] = I + """,
+am AS (
+  SELECT organization, device, count(alert_id) AS total_alerts,
+         CAST(sum(CASE WHEN lower(severity) = 'critical' THEN 1 ELSE 0 END) AS BIGINT) AS critical_alerts
+  FROM alert_map GROUP BY organization, device
+),
+im AS (SELECT organization, device, count(DISTINCT incident_id) AS n FROM incidents GROUP BY organization, device)
+SELECT am.organization, am.device, total_alerts, critical_alerts, CAST(coalesce(n, 0) AS BIGINT) AS incidents_count
+FROM am LEFT JOIN im ON am.organization = im.organization AND am.device = im.device"""
+
+    q["alert_types_freq"] = I + """
+SELECT alert_type, count(alert_id) AS total_count, count(DISTINCT device) AS devices_affected
+FROM alert_map WHERE alert_type IS NOT NULL GROUP BY alert_type"""
+
+    q["severity_distribution"] = I + """
+SELECT lower(coalesce(severity, 'None')) AS severity, count(*) AS count FROM alert_map GROUP BY 1"""
+
+    q["incident_trends"] = I + """
+SELECT CAST(start_time AS DATE) AS date, count(DISTINCT incident_id) AS incidents_count,
+       avg(severity_score) AS avg_severity, avg(duration_minutes) AS avg_duration_minutes
+FROM incidents GROUP BY 1"""
+
+    q["failure_patterns"] = I + """
+SELECT organization, device, alert_type, count(alert_id) AS total_alerts,
+       count(DISTINCT incident_id) AS incidents_impacted, avg(severity_weight) AS avg_severity
+FROM alert_map GROUP BY organization, device, alert_type
+ORDER BY incidents_impacted DESC, total_alerts DESC, avg_severity DESC, organization, device, alert_type
+LIMIT 10"""
+
+    q["pipeline_metrics"] = I + """
+SELECT CAST(a.n AS DOUBLE) AS total_alerts, CAST(i.n AS DOUBLE) AS total_incidents,
+       CASE WHEN i.n > 0 THEN CAST(a.n AS DOUBLE) / i.n ELSE 0.0 END AS alerts_per_incident,
+       CASE WHEN a.n > 0 THEN CAST(a.covered AS DOUBLE) / a.n ELSE 0.0 END AS incident_coverage_ratio,
+       coalesce(i.d, 0.0) AS avg_incident_duration_minutes
+FROM (SELECT count(*) AS n, count(incident_id) AS covered FROM alert_map) a,
+     (SELECT count(DISTINCT incident_id) AS n, avg(duration_minutes) AS d FROM incidents) i"""
+
+    q["summary_overview"] = DM + """
+SELECT (SELECT count(DISTINCT incident_id) FROM incidents) AS total_incidents,
+       count(DISTINCT device) AS total_devices, CAST(coalesce(sum(total_alerts), 0) AS BIGINT) AS total_alerts,
+       coalesce(avg(reliability_score), 0.0) AS avg_reliability_score
+FROM scored"""
+
+    q["summary_top_devices"] = DM + """
+SELECT device, organization, total_alerts, critical_alerts, incidents_count, reliability_score FROM scored
+ORDER BY incidents_count DESC, critical_alerts DESC, total_alerts DESC, organization, device LIMIT 5"""
+
+    q["top_causes"] = I + """
+SELECT coalesce(incident_cause, 'None') AS incident_cause, count(*) AS count FROM incidents
+GROUP BY 1 ORDER BY count DESC, incident_cause LIMIT 5"""
+
+    q["top_descriptions"] = I + """
+SELECT coalesce(description, 'None') AS incident_description, count(*) AS count FROM incidents
+GROUP BY 1 ORDER BY count DESC, incident_description LIMIT 5"""
+
+    q["alert_contexts"] = I + """
+SELECT alert_type, description, cause, count(*) AS count FROM alert_map GROUP BY alert_type, description, cause"""
+
+    q["recent_alerts"] = I + """
+SELECT alert_id, "timestamp", source, organization, device, alert_type, severity, description, cause, incident_id
+FROM alert_map ORDER BY "timestamp" DESC, alert_id DESC LIMIT 5"""
+
+    q["recent_incidents"] = I + f"""
+SELECT {INCIDENT_GOLD_COLS} FROM incidents ORDER BY start_time DESC, incident_id DESC LIMIT 5"""
+
     return q

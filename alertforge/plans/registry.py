@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from alertforge.operators import gold as GOLD
 from alertforge.operators import incidents as INC
+from alertforge.operators import reports as REP
 from alertforge.sources import testdata as TD
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +50,145 @@ def q_incidents(spark, sf):
 def q_incidents_6h(spark, sf):
     incidents, _ = INC.build_incidents(TD.canonical_alerts(spark, sf), "6 hours")
     return INC.build_incidents_gold(incidents)
+
+
+# --------------------------------------------------------------------------
+# shared analytics core: normalised alerts -> incidents + alert map
+# --------------------------------------------------------------------------
+
+def core(spark: SparkSession, sf: str, window: str = "5min"):
+    """(incidents, alerts_with_incident) over the whole alert view."""
+    return INC.build_incidents(TD.canonical_alerts(spark, sf), window)
+
+
+INCIDENT_FEATURE_COLS = [
+    "incident_id", "organization", "device", "alert_count", "severity_score", "critical_alert_count",
+    "start_time", "end_time", "duration_minutes", "root_cause_candidate", "incident_cause", "description",
+    "incident_type", "incident_duration", "normalized_severity_score", "alerts_per_minute", "open_alert_ratio",
+]
+
+
+@register("alert_incident_map")
+def q_alert_incident_map(spark, sf):
+    incidents, mapping = core(spark, sf)
+    return mapping.join(incidents.select("incident_id", "incident_type"), "incident_id", "left")
+
+
+@register("alert_features")
+def q_alert_features(spark, sf):
+    return INC.engineer_alert_features(TD.canonical_alerts(spark, sf))
+
+
+@register("incident_features")
+def q_incident_features(spark, sf):
+    incidents, mapping = core(spark, sf)
+    return INC.engineer_incident_features(incidents, mapping).select(*INCIDENT_FEATURE_COLS)
+
+
+@register("device_metrics")
+def q_device_metrics(spark, sf):
+    incidents, mapping = core(spark, sf)
+    return GOLD.build_device_metrics_gold(mapping, incidents)
+
+
+@register("device_features")
+def q_device_features(spark, sf):
+    incidents, mapping = core(spark, sf)
+    return GOLD.build_device_feature_table(mapping, incidents)
+
+
+@register("alert_stats")
+def q_alert_stats(spark, sf):
+    _, mapping = core(spark, sf)
+    return GOLD.build_alert_stats_gold(mapping)
+
+
+@register("timeline")
+def q_timeline(spark, sf):
+    incidents, mapping = core(spark, sf)
+    return GOLD.build_incident_timeline_gold(mapping, incidents, "5min")
+
+
+@register("top_failing_devices")
+def q_top_failing_devices(spark, sf):
+    incidents, mapping = core(spark, sf)
+    return REP.top_failing_devices(mapping, incidents)
+
+
+@register("alert_types_freq")
+def q_alert_types_freq(spark, sf):
+    _, mapping = core(spark, sf)
+    return REP.most_frequent_alert_types(mapping)
+
+
+@register("severity_distribution")
+def q_severity_distribution(spark, sf):
+    _, mapping = core(spark, sf)
+    return REP.severity_distribution(mapping)
+
+
+@register("incident_trends")
+def q_incident_trends(spark, sf):
+    incidents, _ = core(spark, sf)
+    return REP.incident_frequency_trends(incidents)
+
+
+@register("failure_patterns")
+def q_failure_patterns(spark, sf):
+    _, mapping = core(spark, sf)
+    return REP.detect_failure_patterns(mapping, 10)
+
+
+@register("pipeline_metrics")
+def q_pipeline_metrics(spark, sf):
+    incidents, mapping = core(spark, sf)
+    return REP.pipeline_metrics(mapping, incidents)
+
+
+@register("summary_overview")
+def q_summary_overview(spark, sf):
+    incidents, mapping = core(spark, sf)
+    return REP.summary_overview(INC.build_incidents_gold(incidents),
+                                GOLD.build_device_metrics_gold(mapping, incidents))
+
+
+@register("top_causes")
+def q_top_causes(spark, sf):
+    incidents, _ = core(spark, sf)
+    return REP.value_counts(incidents, "incident_cause", "incident_cause", 5)
+
+
+@register("top_descriptions")
+def q_top_descriptions(spark, sf):
+    incidents, _ = core(spark, sf)
+    return REP.value_counts(incidents, "description", "incident_description", 5)
+
+
+@register("alert_contexts")
+def q_alert_contexts(spark, sf):
+    _, mapping = core(spark, sf)
+    return REP.alert_contexts(mapping)
+
+
+@register("recent_alerts")
+def q_recent_alerts(spark, sf):
+    _, mapping = core(spark, sf)
+    return REP.recent_alerts(mapping, 5)
+
+
+@register("recent_incidents")
+def q_recent_incidents(spark, sf):
+    incidents, _ = core(spark, sf)
+    return REP.recent_incidents(INC.build_incidents_gold(incidents), 5)
+
+
+@register("timeline_tail")
+def q_timeline_tail(spark, sf):
+    incidents, mapping = core(spark, sf)
+    return REP.timeline_tail(GOLD.build_incident_timeline_gold(mapping, incidents, "5min"), 5)
+
+
+@register("summary_top_devices")
+def q_summary_top_devices(spark, sf):
+    incidents, mapping = core(spark, sf)
+    return REP.top_devices_by_failure(GOLD.build_device_metrics_gold(mapping, incidents), 5)
