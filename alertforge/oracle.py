@@ -111,6 +111,110 @@ alert_map AS (
 )"""
 
 
+VENDOR_EVENTS = """
+ev AS (
+  SELECT *, CAST(event_id AS VARCHAR) AS _id,
+         CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'c-' || CAST(event_id - event_id % 4 AS VARCHAR) END AS _corr,
+         'org-' || CAST(user_id % 4 AS VARCHAR) AS _org,
+         ' Dev-' || CAST(user_id % 10 AS VARCHAR) || ' ' AS _dev,
+         'SN' || CAST(user_id AS VARCHAR) AS _serial,
+         CASE event_id % 4 WHEN 0 THEN 'OK' WHEN 1 THEN 'triggered' WHEN 2 THEN 'Cleared' ELSE NULL END AS _state,
+         CAST(date_trunc('day', CAST(ts AS TIMESTAMP)) AS TIMESTAMP) AS _day,
+         event_id % 10 = 0 AS _synthetic,
+         CAST(ts AS TIMESTAMP) AS _ingest,
+         CASE WHEN value >= 113 THEN 'critical' WHEN value >= 60 THEN 'Warning'
+              WHEN value >= 10 THEN 'Emergency' END AS _level,
+         CASE WHEN value >= 113 THEN 'Failed' WHEN value >= 60 THEN 'Warning'
+              WHEN value >= 10 THEN 'Normal' END AS _nstate
+  FROM events
+),
+evd AS (
+  SELECT * FROM ev
+  UNION ALL SELECT * REPLACE (_id || '_dup' AS _id) FROM ev WHERE event_id % 10 = 1
+),
+silver_raw AS (
+  SELECT 'meraki' AS source_system, _id AS alert_id, _corr AS correlation_id, _org AS organization_name,
+         _dev AS device_name, _serial AS device_identifier, event_type AS service_name, event_type AS alert_type,
+         _level AS severity, _state AS event_state, _day AS event_time, _synthetic AS synthetic,
+         _ingest AS ingestion_time, 0 AS src_rank
+  FROM evd WHERE user_id % 3 = 0
+  UNION ALL
+  SELECT 'auvik', _id, _corr, _org, _dev, _serial, event_type, event_type, _level, _state, _day, _synthetic, _ingest, 1
+  FROM evd WHERE user_id % 3 = 1
+  UNION ALL
+  SELECT 'ncentral', _id, _corr, _org, _dev, _serial, event_type, event_type, _nstate, _state, _day, _synthetic,
+         _ingest, 2
+  FROM evd WHERE user_id % 3 = 2
+),
+silver_cleaned AS (
+  SELECT source_system, alert_id, coalesce(correlation_id, alert_id) AS correlation_id, organization_name,
+         trim(lower(device_name)) AS device_name, device_identifier, service_name, alert_type,
+         CASE WHEN lower(severity) LIKE '%critical%' OR lower(severity) LIKE '%failed%' THEN 'HIGH'
+              WHEN lower(severity) LIKE '%warning%' THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+         CASE WHEN lower(event_state) IN ('ok', 'normal', 'cleared', 'resolved') THEN 'resolved'
+              ELSE 'triggered' END AS event_state,
+         event_time, synthetic, ingestion_time, src_rank
+  FROM silver_raw
+),
+silver AS (
+  SELECT source_system, alert_id, correlation_id, organization_name, device_name, device_identifier,
+         service_name, alert_type, severity, event_state, event_time, synthetic, ingestion_time
+  FROM (SELECT *, row_number() OVER (
+          PARTITION BY correlation_id, device_name, alert_type, event_state, event_time
+          ORDER BY src_rank, ingestion_time, alert_id) AS rn FROM silver_cleaned) d
+  WHERE rn = 1
+)"""
+
+STAR_CTES = VENDOR_EVENTS + """,
+dim_device AS (
+  SELECT row_number() OVER (ORDER BY device_name NULLS FIRST, device_identifier NULLS FIRST) AS device_key,
+         device_name, device_identifier, source_system
+  FROM (SELECT device_name, device_identifier, min(source_system) AS source_system
+        FROM silver GROUP BY device_name, device_identifier) d
+),
+dim_organization AS (
+  SELECT row_number() OVER (ORDER BY organization_name NULLS FIRST) AS organization_key, organization_name
+  FROM (SELECT DISTINCT organization_name FROM silver) o
+),
+dim_alert_type AS (
+  SELECT row_number() OVER (ORDER BY alert_type NULLS FIRST, service_name NULLS FIRST) AS alert_type_key,
+         alert_type, service_name
+  FROM (SELECT DISTINCT alert_type, service_name FROM silver) t
+),
+fact_groups AS (
+  SELECT correlation_id, source_system, organization_name, device_name, device_identifier, alert_type, severity,
+         min(event_time) AS start_time, max(event_time) AS end_time, count(*) AS alert_count,
+         bool_or(synthetic) AS synthetic
+  FROM silver
+  GROUP BY correlation_id, source_system, organization_name, device_name, device_identifier, alert_type, severity
+),
+dim_time AS (
+  SELECT row_number() OVER (ORDER BY event_time) AS time_key, event_time,
+         CAST(event_time AS DATE) AS event_date, CAST(hour(event_time) AS INTEGER) AS hour,
+         CAST(day(event_time) AS INTEGER) AS day, CAST(month(event_time) AS INTEGER) AS month,
+         CAST(year(event_time) AS INTEGER) AS year
+  FROM (SELECT start_time AS event_time FROM fact_groups UNION SELECT end_time FROM fact_groups) t
+  WHERE event_time IS NOT NULL
+),
+fact_incidents AS (
+  SELECT row_number() OVER (ORDER BY f.correlation_id NULLS FIRST, f.source_system NULLS FIRST,
+           f.organization_name NULLS FIRST, f.device_name NULLS FIRST, f.device_identifier NULLS FIRST,
+           f.alert_type NULLS FIRST, f.severity NULLS FIRST) AS incident_key,
+         f.correlation_id, d.device_key, o.organization_key, t.alert_type_key,
+         ts.time_key AS start_time_key, te.time_key AS end_time_key,
+         f.end_time - f.start_time AS incident_duration, f.alert_count, f.severity, f.synthetic,
+         'OPEN' AS incident_status
+  FROM fact_groups f
+  LEFT JOIN (SELECT device_name, min(device_key) AS device_key FROM dim_device GROUP BY 1) d
+         ON f.device_name = d.device_name
+  LEFT JOIN (SELECT organization_name, min(organization_key) AS organization_key FROM dim_organization GROUP BY 1) o
+         ON f.organization_name = o.organization_name
+  LEFT JOIN (SELECT alert_type, min(alert_type_key) AS alert_type_key FROM dim_alert_type GROUP BY 1) t
+         ON f.alert_type = t.alert_type
+  LEFT JOIN dim_time ts ON f.start_time = ts.event_time
+  LEFT JOIN dim_time te ON f.end_time = te.event_time
+)"""
+
 INCIDENT_GOLD_COLS = ("incident_id, device, organization, alert_count, severity_score, start_time, end_time, "
                       "duration_minutes, root_cause_candidate, incident_cause, description, incident_type")
 
@@ -294,4 +398,23 @@ FROM alert_map ORDER BY "timestamp" DESC, alert_id DESC LIMIT 5"""
     q["recent_incidents"] = I + f"""
 SELECT {INCIDENT_GOLD_COLS} FROM incidents ORDER BY start_time DESC, incident_id DESC LIMIT 5"""
 
+    q["silver_union"] = "WITH " + VENDOR_EVENTS + """
+SELECT source_system, alert_id, correlation_id, organization_name, device_name, device_identifier, service_name,
+       alert_type, severity, event_state, event_time, synthetic, ingestion_time FROM silver_raw"""
+    q["silver_clean"] = "WITH " + VENDOR_EVENTS + " SELECT * FROM silver"
+    q["silver_canonical"] = "WITH " + VENDOR_EVENTS + """
+SELECT alert_id, source_system AS source, event_time AS "timestamp", organization_name AS organization,
+       device_name AS device, 'unknown' AS entity_type, alert_type, severity, event_state AS status,
+       NULL::VARCHAR AS description, 'None' AS cause
+FROM silver"""
+    q["dim_device"] = "WITH " + STAR_CTES + " SELECT * FROM dim_device"
+    q["dim_organization"] = "WITH " + STAR_CTES + " SELECT * FROM dim_organization"
+    q["dim_alert_type"] = "WITH " + STAR_CTES + " SELECT * FROM dim_alert_type"
+    q["dim_time"] = "WITH " + STAR_CTES + " SELECT * FROM dim_time"
+    q["fact_incidents"] = "WITH " + STAR_CTES + " SELECT * FROM fact_incidents"
+    q["tickets"] = "WITH " + STAR_CTES + """
+SELECT row_number() OVER (ORDER BY incident_key) AS ticket_id, incident_key AS incident_id,
+       CAST(device_key AS VARCHAR) AS device_name, CAST(alert_type_key AS VARCHAR) AS issue, 'OPEN' AS status
+FROM fact_incidents"""
+
     return q

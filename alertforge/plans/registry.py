@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from alertforge.operators import gold as GOLD
 from alertforge.operators import incidents as INC
 from alertforge.operators import reports as REP
+from alertforge.operators import silver as SIL
+from alertforge.operators import star as STAR
 from alertforge.sources import testdata as TD
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -192,3 +194,76 @@ def q_timeline_tail(spark, sf):
 def q_summary_top_devices(spark, sf):
     incidents, mapping = core(spark, sf)
     return REP.top_devices_by_failure(GOLD.build_device_metrics_gold(mapping, incidents), 5)
+
+
+# --------------------------------------------------------------------------
+# vendor ETL: bronze -> silver -> star schema
+# --------------------------------------------------------------------------
+
+def bronze_frames(spark, sf):
+    return {
+        "meraki": TD.bronze_meraki(spark, sf),
+        "auvik": TD.bronze_auvik(spark, sf),
+        "ncentral": TD.bronze_ncentral(spark, sf),
+    }
+
+
+def silver(spark, sf):
+    return SIL.silver_clean(bronze_frames(spark, sf))
+
+
+@register("silver_union")
+def q_silver_union(spark, sf):
+    return SIL.union_vendors(bronze_frames(spark, sf), clean=False)
+
+
+@register("silver_clean")
+def q_silver_clean(spark, sf):
+    return silver(spark, sf)
+
+
+@register("silver_canonical")
+def q_silver_canonical(spark, sf):
+    return SIL.normalize_silver_schema(silver(spark, sf))
+
+
+@register("dim_device")
+def q_dim_device(spark, sf):
+    return STAR.dim_device(silver(spark, sf))
+
+
+@register("dim_organization")
+def q_dim_organization(spark, sf):
+    return STAR.dim_organization(silver(spark, sf))
+
+
+@register("dim_alert_type")
+def q_dim_alert_type(spark, sf):
+    return STAR.dim_alert_type(silver(spark, sf))
+
+
+@register("dim_time")
+def q_dim_time(spark, sf):
+    return STAR.dim_time(STAR.fact_groups(silver(spark, sf)))
+
+
+def star(spark, sf):
+    s = silver(spark, sf).persist()
+    devices, orgs, types = STAR.dim_device(s), STAR.dim_organization(s), STAR.dim_alert_type(s)
+    times = STAR.dim_time(STAR.fact_groups(s))
+    return STAR.fact_incidents(s, devices, orgs, types, times)
+
+
+@register("fact_incidents")
+def q_fact_incidents(spark, sf):
+    return star(spark, sf)
+
+
+@register("incident_status")
+def q_incident_status(spark, sf):
+    return STAR.split_incident_status(star(spark, sf), seed=42)
+
+
+@register("tickets")
+def q_tickets(spark, sf):
+    return STAR.create_tickets(star(spark, sf))
