@@ -417,4 +417,54 @@ SELECT row_number() OVER (ORDER BY incident_key) AS ticket_id, incident_key AS i
        CAST(device_key AS VARCHAR) AS device_name, CAST(alert_type_key AS VARCHAR) AS issue, 'OPEN' AS status
 FROM fact_incidents"""
 
+    D = I + """,
+dd AS (SELECT row_number() OVER (ORDER BY device) AS device_id, device AS device_name
+       FROM (SELECT DISTINCT device FROM alert_map WHERE device IS NOT NULL) x),
+ds AS (SELECT row_number() OVER (ORDER BY severity) AS severity_id, severity
+       FROM (SELECT DISTINCT severity FROM alert_map WHERE severity IS NOT NULL) x),
+dt_ AS (SELECT row_number() OVER (ORDER BY alert_type) AS alert_type_id, alert_type
+        FROM (SELECT DISTINCT alert_type FROM alert_map WHERE alert_type IS NOT NULL) x),
+dtime AS (SELECT row_number() OVER (ORDER BY occurred_at) AS time_id, occurred_at
+          FROM (SELECT DISTINCT date_trunc('hour', "timestamp") AS occurred_at FROM alert_map) x),
+fact AS (
+  SELECT m.alert_id, dd.device_id, dt_.alert_type_id, ds.severity_id, dtime.time_id, m.description AS alert_message
+  FROM alert_map m
+  LEFT JOIN dd ON m.device = dd.device_name
+  LEFT JOIN ds ON m.severity = ds.severity
+  LEFT JOIN dt_ ON m.alert_type = dt_.alert_type
+  LEFT JOIN dtime ON date_trunc('hour', m."timestamp") = dtime.occurred_at
+),
+summ AS (
+  SELECT device AS device_name, count(alert_id) AS total_alerts,
+         CAST(sum(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END) AS BIGINT) AS critical_alerts,
+         count(DISTINCT incident_id) AS incidents_count
+  FROM alert_map GROUP BY device
+)"""
+    sel = "('dev-1', 'dev-3')"
+    q["dash_kpis"] = D + """
+SELECT (SELECT count(*) FROM fact) AS total_alerts, (SELECT count(*) FROM summ) AS total_devices,
+       (SELECT count(*) FROM incidents) AS incidents,
+       (SELECT count(DISTINCT alert_type_id) FROM fact) AS unique_alert_types"""
+    q["dash_kpis_filtered"] = D + f"""
+SELECT (SELECT count(*) FROM fact WHERE device_id IN (SELECT device_id FROM dd WHERE device_name IN {sel}))
+         AS total_alerts,
+       (SELECT count(*) FROM summ WHERE device_name IN {sel}) AS total_devices,
+       (SELECT count(*) FROM incidents WHERE device IN {sel}) AS incidents,
+       (SELECT count(DISTINCT alert_type_id) FROM fact
+         WHERE device_id IN (SELECT device_id FROM dd WHERE device_name IN {sel})) AS unique_alert_types"""
+    q["dash_severity_counts"] = D + """
+SELECT f.severity_id, ds.severity, f.count
+FROM (SELECT severity_id, count(*) AS count FROM fact GROUP BY severity_id) f
+LEFT JOIN ds ON f.severity_id = ds.severity_id"""
+    q["dash_alert_type_counts"] = D + " SELECT alert_type_id, count(*) AS count FROM fact GROUP BY alert_type_id"
+    q["dash_alerts_over_time"] = D + """
+SELECT dtime.occurred_at AS datetime, count(*) AS alerts
+FROM fact LEFT JOIN dtime ON fact.time_id = dtime.time_id GROUP BY dtime.occurred_at"""
+    q["dash_top_devices"] = D + """
+SELECT device_name, total_alerts FROM summ ORDER BY total_alerts DESC, device_name LIMIT 10"""
+    q["dash_device_filter"] = D + f"""
+SELECT * FROM fact WHERE device_id IN (SELECT device_id FROM dd WHERE device_name IN {sel})"""
+    q["dash_device_alerts"] = D + """
+SELECT alert_message, alert_id FROM fact WHERE device_id IN (SELECT device_id FROM dd WHERE device_name = 'dev-1')"""
+
     return q

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from alertforge.operators import dashboard as DASH
 from alertforge.operators import gold as GOLD
 from alertforge.operators import incidents as INC
 from alertforge.operators import reports as REP
@@ -267,3 +268,55 @@ def q_incident_status(spark, sf):
 @register("tickets")
 def q_tickets(spark, sf):
     return STAR.create_tickets(star(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# dashboard
+# --------------------------------------------------------------------------
+DASH_SELECTED_DEVICES = ["dev-1", "dev-3"]
+DASH_FOCUS_DEVICE = "dev-1"
+
+
+def dashboard(spark, sf):
+    incidents, mapping = core(spark, sf)
+    return DASH.build_dashboard_model(mapping, incidents)
+
+
+@register("dash_kpis")
+def q_dash_kpis(spark, sf):
+    return DASH.kpis(dashboard(spark, sf))
+
+
+@register("dash_kpis_filtered")
+def q_dash_kpis_filtered(spark, sf):
+    return DASH.kpis(DASH.apply_device_filter(dashboard(spark, sf), DASH_SELECTED_DEVICES))
+
+
+@register("dash_severity_counts")
+def q_dash_severity_counts(spark, sf):
+    return DASH.severity_counts(dashboard(spark, sf))
+
+
+@register("dash_alert_type_counts")
+def q_dash_alert_type_counts(spark, sf):
+    return DASH.alert_type_counts(dashboard(spark, sf))
+
+
+@register("dash_alerts_over_time")
+def q_dash_alerts_over_time(spark, sf):
+    return DASH.alerts_over_time(dashboard(spark, sf))
+
+
+@register("dash_top_devices")
+def q_dash_top_devices(spark, sf):
+    return DASH.top_devices(dashboard(spark, sf), 10)
+
+
+@register("dash_device_filter")
+def q_dash_device_filter(spark, sf):
+    return DASH.apply_device_filter(dashboard(spark, sf), DASH_SELECTED_DEVICES)["fact_alerts"]
+
+
+@register("dash_device_alerts")
+def q_dash_device_alerts(spark, sf):
+    return DASH.device_alerts(dashboard(spark, sf), DASH_FOCUS_DEVICE)
