@@ -215,6 +215,31 @@ fact_incidents AS (
   LEFT JOIN dim_time te ON f.end_time = te.event_time
 )"""
 
+def _sql_title(v: str) -> str:
+    """Python str.title() in DuckDB: upper after a non-letter, lower elsewhere."""
+    return (f"array_to_string(list_transform(range(1, length({v}) + 1), lambda i: CASE WHEN i = 1 OR NOT "
+            f"regexp_matches(substr({v}, i - 1, 1), '\\p{{L}}') THEN upper(substr({v}, i, 1)) "
+            f"ELSE lower(substr({v}, i, 1)) END), '')")
+
+
+def _sql_ts_text(v: str) -> str:
+    return (f"(strftime({v}, '%Y-%m-%d %H:%M:%S') || CASE WHEN epoch_us({v}) % 1000000 = 0 THEN '' "
+            f"ELSE '.' || lpad(CAST(epoch_us({v}) % 1000000 AS VARCHAR), 6, '0') END || '+00:00')")
+
+
+def _sql_label_line(label: str, v: str) -> str:
+    t = f"trim({v})"
+    body = f"CASE WHEN contains({t}, '_') THEN {_sql_title(f'replace({t}, {chr(39)}_{chr(39)}, {chr(39)} {chr(39)})')} ELSE {t} END"
+    return (f"CASE WHEN {v} IS NULL OR {t} = '' OR lower({t}) = 'nan' THEN NULL "
+            f"ELSE '{label}: ' || {body} END")
+
+
+def _sql_na(label: str, v: str | None) -> str:
+    if v is None:
+        return f"'{label}: N/A'"
+    return f"'{label}: ' || coalesce({v}, 'None')"
+
+
 INCIDENT_GOLD_COLS = ("incident_id, device, organization, alert_count, severity_score, start_time, end_time, "
                       "duration_minutes, root_cause_candidate, incident_cause, description, incident_type")
 
@@ -467,4 +492,56 @@ SELECT * FROM fact WHERE device_id IN (SELECT device_id FROM dd WHERE device_nam
     q["dash_device_alerts"] = D + """
 SELECT alert_message, alert_id FROM fact WHERE device_id IN (SELECT device_id FROM dd WHERE device_name = 'dev-1')"""
 
+    doc_lines = ", ".join([
+        _sql_label_line("Incident ID", "incident_id"),
+        _sql_label_line("Device", "device"),
+        _sql_label_line("Alert Type", "alert_type"),
+        _sql_label_line("Severity", "severity"),
+        _sql_label_line("Timestamp", _sql_ts_text('"timestamp"')),
+        _sql_label_line("Affected Service", "entity_type"),
+        _sql_label_line("Description", "description"),
+    ])
+    q["incident_documents"] = I + f"""
+SELECT alert_id, document FROM (SELECT alert_id, concat_ws(chr(10), {doc_lines}) AS document FROM alert_map) d
+WHERE length(trim(document)) > 0"""
+
+    def sect(kind, fields, src, section):
+        parts = [f"'Document Type: {kind}'", "'Generated At: '"] + [_sql_na(lbl, expr) for lbl, expr in fields]
+        return f"SELECT {section} AS section, concat_ws(chr(10), {', '.join(parts)}) AS document FROM {src}"
+
+    def c(x):
+        return f"CAST({x} AS VARCHAR)"
+
+    q["summary_documents"] = DM + timeline + """,
+ov AS (
+  SELECT (SELECT count(DISTINCT incident_id) FROM incidents) AS total_incidents,
+         count(DISTINCT device) AS total_devices, CAST(coalesce(sum(total_alerts), 0) AS BIGINT) AS total_alerts,
+         coalesce(avg(reliability_score), 0.0) AS avg_reliability_score FROM scored),
+td AS (SELECT * FROM scored
+       ORDER BY incidents_count DESC, critical_alerts DESC, total_alerts DESC, organization, device LIMIT 5),
+st AS (SELECT alert_type, count(alert_id) AS total_count, count(DISTINCT device) AS devices_affected,
+              avg(severity_weight) AS avg_severity
+       FROM alert_map WHERE alert_type IS NOT NULL GROUP BY alert_type ORDER BY total_count DESC, alert_type LIMIT 5),
+ri AS (SELECT * FROM incidents ORDER BY start_time DESC, incident_id DESC LIMIT 5),
+tt AS (SELECT * FROM tl ORDER BY "timestamp" DESC LIMIT 5)
+""" + " UNION ALL ".join([
+        sect("Incident Summary Overview", [("Total Incidents", c("total_incidents")),
+             ("Total Devices", c("total_devices")), ("Total Alerts", c("total_alerts")),
+             ("Average Reliability Score", c("avg_reliability_score"))], "ov", 0),
+        sect("Top Failing Device", [("Device", "device"), ("Organization", "organization"),
+             ("Total Alerts", c("total_alerts")), ("Critical Alerts", c("critical_alerts")),
+             ("Incidents Count", c("incidents_count")), ("Reliability Score", c("reliability_score")),
+             ("Anomaly Score", None), ("Is Anomalous", None)], "td", 1),
+        sect("Frequent Alert Type", [("Alert Type", "alert_type"), ("Total Count", c("total_count")),
+             ("Devices Affected", c("devices_affected")), ("Average Severity", c("avg_severity"))], "st", 2),
+        sect("Recent Incident", [("Incident ID", "incident_id"), ("Device", "device"),
+             ("Organization", "organization"), ("Alert Count", c("alert_count")),
+             ("Severity Score", c("severity_score")), ("Start Time", _sql_ts_text("start_time")),
+             ("End Time", _sql_ts_text("end_time")), ("Duration Minutes", c("duration_minutes")),
+             ("Root Cause Candidate", "root_cause_candidate"), ("Incident Type", "incident_type")], "ri", 3),
+        sect("Incident Timeline Snapshot", [("Timestamp", _sql_ts_text('"timestamp"')),
+             ("Alerts Count", c("alerts_count")), ("Incidents Count", c("incidents_count")),
+             ("Critical Incidents", c("critical_incidents"))], "tt", 4),
+    ])
+
     return q

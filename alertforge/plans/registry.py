@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from alertforge.operators import dashboard as DASH
+from alertforge.operators import documents as DOC
 from alertforge.operators import gold as GOLD
 from alertforge.operators import incidents as INC
 from alertforge.operators import reports as REP
@@ -320,3 +322,35 @@ def q_dash_device_filter(spark, sf):
 @register("dash_device_alerts")
 def q_dash_device_alerts(spark, sf):
     return DASH.device_alerts(dashboard(spark, sf), DASH_FOCUS_DEVICE)
+
+
+# --------------------------------------------------------------------------
+# documents
+# --------------------------------------------------------------------------
+
+@register("incident_documents")
+def q_incident_documents(spark, sf):
+    _, mapping = core(spark, sf)
+    return DOC.build_incident_documents(mapping, id_col="alert_id")
+
+
+def summary_sections(spark, sf):
+    incidents, mapping = core(spark, sf)
+    gold_inc = INC.build_incidents_gold(incidents)
+    devices = GOLD.build_device_metrics_gold(mapping, incidents)
+    timeline = GOLD.build_incident_timeline_gold(mapping, incidents, "5min")
+    stats = GOLD.build_alert_stats_gold(mapping)
+    return {
+        "overview": REP.summary_overview(gold_inc, devices),
+        "top_devices": REP.top_devices_by_failure(devices, 5),
+        "alert_types": stats.orderBy(F.desc("total_count"), "alert_type").limit(5),
+        "recent_incidents": REP.recent_incidents(gold_inc, 5),
+        "timeline_tail": REP.timeline_tail(timeline, 5),
+    }
+
+
+@register("summary_documents")
+def q_summary_documents(spark, sf):
+    s = summary_sections(spark, sf)
+    return DOC.build_summary_documents(s["overview"], s["top_devices"], s["alert_types"],
+                                       s["recent_incidents"], s["timeline_tail"], generated_at="")
