@@ -544,4 +544,48 @@ tt AS (SELECT * FROM tl ORDER BY "timestamp" DESC LIMIT 5)
              ("Critical Incidents", c("critical_incidents"))], "tt", 4),
     ])
 
+    V = """WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+         sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n,
+         'Embedding ' || CAST(vec_id AS VARCHAR) || ' with label ' || CAST(label AS VARCHAR) AS document
+  FROM embeddings
+),
+pairs AS (
+  SELECT a.vec_id AS qid, b.vec_id AS id,
+         round(list_dot_product(a.e, b.e) / ((CASE WHEN a.n = 0 THEN 1 ELSE a.n END)
+                                             * (CASE WHEN b.n = 0 THEN 1 ELSE b.n END)), 6) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id
+),
+hits AS (
+  SELECT qid, rank, id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM pairs) r
+  WHERE rank <= 5
+)"""
+    q["vec_normalize"] = """
+SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(x / CASE WHEN n = 0 THEN 1 ELSE n END, 6))
+         AS unit_vector
+FROM (SELECT *, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings) e"""
+    q["vec_topk"] = V + " SELECT * FROM hits"
+    q["retrieve_scored"] = V + """
+SELECT h.qid, h.rank, h.id, h.score, v.document FROM hits h LEFT JOIN v ON h.id = v.vec_id"""
+    q["build_context"] = V + """
+SELECT h.qid, string_agg(v.document, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY h.rank) AS context
+FROM hits h JOIN v ON h.id = v.vec_id WHERE length(trim(v.document)) > 0 GROUP BY h.qid"""
+    q["vec_info"] = "SELECT count(*) AS points_count, max(len(embedding)) AS vector_size FROM embeddings"
+    q["vec_upsert"] = """
+WITH e AS (SELECT *, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings),
+store AS (
+  SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vector,
+         'Embedding ' || CAST(vec_id AS VARCHAR) || ' with label ' || CAST(label AS VARCHAR) AS document,
+         0 AS version FROM e
+),
+incoming AS (
+  SELECT CAST((SELECT count(*) FROM embeddings) / 2 AS BIGINT) + row_number() OVER (ORDER BY vec_id) - 1 AS id,
+         list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS vector,
+         'Updated label ' || CAST(label AS VARCHAR) AS document, 1 AS version FROM e
+),
+merged AS (SELECT * FROM store UNION ALL SELECT * FROM incoming)
+SELECT id, list_transform(vector, lambda x: round(x, 6)) AS vector, document, version FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS rn FROM merged) m WHERE rn = 1"""
+
     return q

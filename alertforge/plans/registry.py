@@ -18,6 +18,7 @@ from alertforge.operators import incidents as INC
 from alertforge.operators import reports as REP
 from alertforge.operators import silver as SIL
 from alertforge.operators import star as STAR
+from alertforge.operators import vectors as VEC
 from alertforge.sources import testdata as TD
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -354,3 +355,66 @@ def q_summary_documents(spark, sf):
     s = summary_sections(spark, sf)
     return DOC.build_summary_documents(s["overview"], s["top_devices"], s["alert_types"],
                                        s["recent_incidents"], s["timeline_tail"], generated_at="")
+
+
+# --------------------------------------------------------------------------
+# vectors and retrieval
+# --------------------------------------------------------------------------
+
+def embedding_points(spark, sf):
+    e = TD.table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").cast(VEC.VECTOR).alias("vector"),
+                    F.concat(F.lit("Embedding "), F.col("vec_id").cast("string"), F.lit(" with label "),
+                             F.col("label").cast("string")).alias("document"),
+                    F.lit(0).alias("version"))
+
+
+def embedding_hits(spark, sf, k=5):
+    pts = embedding_points(spark, sf)
+    return VEC.cosine_topk(pts.select(F.col("id").alias("qid"), "vector"), pts, k=k, exclude_self=True), pts
+
+
+@register("vec_normalize")
+def q_vec_normalize(spark, sf):
+    e = VEC.with_unit_vector(TD.table(spark, sf, "embeddings"), "embedding", "_unit")
+    return e.select("vec_id", F.transform("_unit", lambda x: F.round(x, 6)).alias("unit_vector"))
+
+
+@register("vec_topk")
+def q_vec_topk(spark, sf):
+    hits, _ = embedding_hits(spark, sf)
+    return hits
+
+
+@register("retrieve_scored")
+def q_retrieve_scored(spark, sf):
+    hits, pts = embedding_hits(spark, sf)
+    return VEC.retrieve_with_scores(hits, pts)
+
+
+@register("build_context")
+def q_build_context(spark, sf):
+    hits, pts = embedding_hits(spark, sf)
+    return VEC.build_context(VEC.retrieve_with_scores(hits, pts))
+
+
+@register("vec_info")
+def q_vec_info(spark, sf):
+    return VEC.collection_info(embedding_points(spark, sf))
+
+
+@register("vec_upsert")
+def q_vec_upsert(spark, sf):
+    store = embedding_points(spark, sf)
+    e = TD.table(spark, sf, "embeddings")
+    incoming_src = VEC.with_unit_vector(e, "embedding", "vector").select(
+        "vec_id", "vector", F.concat(F.lit("Updated label "), F.col("label").cast("string")).alias("document"))
+    half = e.select((F.count(F.lit(1)) / 2).cast("long")).scalar()
+    incoming = VEC.points_from(incoming_src, "vec_id", "vector", "document", start_id=half, version=1)
+    merged = VEC.upsert_points(store, incoming)
+    return merged.select("id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"), "document", "version")
+
+
+@register("embed_documents")
+def q_embed_documents(spark, sf):
+    return VEC.hashed_tf_embed(TD.table(spark, sf, "documents"), "doc_id", "text", dim=384)
