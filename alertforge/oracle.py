@@ -588,4 +588,79 @@ merged AS (SELECT * FROM store UNION ALL SELECT * FROM incoming)
 SELECT id, list_transform(vector, lambda x: round(x, 6)) AS vector, document, version FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS rn FROM merged) m WHERE rn = 1"""
 
+    from alertforge.operators.answers import DEFAULT_TEMPLATE, INTENT_KEYWORDS, INTENT_PRECEDENCE
+    from alertforge.schemas import EMPTY_CONTEXT_FALLBACK, ISSUE_TYPE_RULES, DEFAULT_ISSUE_TYPE
+
+    def lit(text):
+        return "'" + text.replace("'", "''") + "'"
+
+    def strip(x):
+        return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+    def any_of(x, words):
+        return " OR ".join(f"contains({x}, {lit(w)})" for w in words)
+
+    intent_case = "CASE " + " ".join(
+        f"WHEN {any_of('lower(question)', INTENT_KEYWORDS[i])} THEN {lit(i)}" for i in INTENT_PRECEDENCE
+    ) + " ELSE 'INCIDENT_SUMMARY' END"
+    issue_case = "CASE " + " ".join(
+        f"WHEN {any_of('lower(question)', words)} THEN {lit(label)}" for words, label in ISSUE_TYPE_RULES
+    ) + f" ELSE {lit(DEFAULT_ISSUE_TYPE)} END"
+    prefixes = ["Why is the VPN down?", "Is the database failing?", "Why is CPU high?", "Is the disk full?",
+                "Is the certificate expired?", "Summarize recent incidents.", "What are the resolution steps?",
+                "Which device fails most?"]
+    prefix_case = "CASE conv_id % 8 " + " ".join(
+        f"WHEN {i} THEN {lit(p)}" for i, p in enumerate(prefixes[:-1])) + f" ELSE {lit(prefixes[-1])} END"
+    QS = f"""WITH questions AS (
+  SELECT conv_id * 1000 + turn AS qid, concat_ws(' ', {prefix_case}, text) AS question
+  FROM conversations WHERE role = 'user'
+),
+pairs AS (
+  SELECT q.qid, q.question, r.text AS context FROM questions q
+  LEFT JOIN (SELECT conv_id * 1000 + turn - 1 AS qid, text FROM conversations WHERE role = 'assistant') r
+    ON q.qid = r.qid
+)"""
+    q["issue_type"] = QS + f" SELECT qid, {issue_case} AS issue_type FROM questions"
+    q["question_intent"] = QS + f" SELECT qid, {intent_case} AS intent FROM questions"
+
+    ctx = f"CASE WHEN context IS NULL OR length({strip('context')}) = 0 THEN {lit(EMPTY_CONTEXT_FALLBACK)} ELSE context END"
+    filled = f"replace(replace({lit(DEFAULT_TEMPLATE)}, '{{context}}', {strip(ctx)}), '{{question}}', {strip('question')})"
+    q["build_prompts"] = QS + f""",
+filled AS (SELECT qid, {filled} AS p FROM pairs WHERE question IS NOT NULL AND length({strip('question')}) > 0),
+cut AS (
+  SELECT qid, CASE WHEN strpos(p, '━━━ STEP 5') > 0
+                   THEN regexp_replace(left(p, strpos(p, '━━━ STEP 5') - 1), '\\s+$', '') ELSE p END AS p
+  FROM filled
+)
+SELECT qid, CASE WHEN length(p) > 12000 THEN regexp_replace(left(p, 12000), '\\s+$', '') ELSE p END AS prompt
+FROM cut"""
+
+    def norm(x):
+        return strip(f"regexp_replace(replace(lower({x}), ',', ''), '\\s+', ' ', 'g')")
+
+    q["grounding_check"] = f"""
+WITH ctx AS (
+  SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS context
+  FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+),
+vals AS (
+  SELECT conv_id, turn, unnest(range(0, len(string_split(text, chr(10))))) AS line_no,
+         unnest(string_split(text, chr(10))) AS value
+  FROM conversations WHERE role = 'user'
+),
+j AS (
+  SELECT v.conv_id, v.turn, v.line_no, v.value, c.context,
+         regexp_extract_all(replace(v.value, ',', ''), '\\d+') AS vn,
+         regexp_extract_all(replace(c.context, ',', ''), '\\d+') AS cn
+  FROM vals v LEFT JOIN ctx c ON v.conv_id = c.conv_id
+)
+SELECT conv_id, turn, line_no,
+       CASE WHEN value IS NULL OR value = '' OR context IS NULL OR context = '' THEN false
+            ELSE contains({norm('context')}, {norm('value')})
+                 OR (len(vn) > 0 AND len(list_filter(vn, lambda x: NOT list_contains(cn, x))) = 0) END AS grounded
+FROM j"""
+
+    q["answer_intent"] = QS + f"""
+SELECT qid, {intent_case} AS intent FROM pairs"""
+
     return q

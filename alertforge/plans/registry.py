@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertforge.operators import answers as ANS
 from alertforge.operators import dashboard as DASH
 from alertforge.operators import documents as DOC
 from alertforge.operators import gold as GOLD
@@ -418,3 +419,73 @@ def q_vec_upsert(spark, sf):
 @register("embed_documents")
 def q_embed_documents(spark, sf):
     return VEC.hashed_tf_embed(TD.table(spark, sf, "documents"), "doc_id", "text", dim=384)
+
+
+# --------------------------------------------------------------------------
+# questions, prompts and answers
+# --------------------------------------------------------------------------
+PROMPT_MODEL = "any-8b"
+
+
+def question_pairs(spark, sf):
+    """User questions with the next assistant turn of the same conversation as context."""
+    conv = TD.table(spark, sf, "conversations")
+    q = TD.questions(spark, sf)
+    replies = conv.where(F.col("role") == "assistant").select(
+        (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("qid"), F.col("text").alias("context"))
+    return q.join(replies, "qid", "left")
+
+
+def synthetic_answers(spark, sf):
+    """Answers in bullet form built from the replies (intent + a count + listed lines)."""
+    p = question_pairs(spark, sf)
+    reply = F.coalesce(F.col("context"), F.lit(""))
+    listed = F.array_join(F.transform(F.split(reply, "\n"), lambda x: F.concat(F.lit("- "), x)), "\n")
+    answer = F.concat_ws("\n", F.concat(F.lit("- Intent: "), ANS.question_intent(F.col("question"))),
+                         F.concat(F.lit("- Total Alerts: "), F.length(reply).cast("string")),
+                         F.lit("- Devices:"), listed)
+    return p.withColumn("answer", answer)
+
+
+@register("build_prompts")
+def q_build_prompts(spark, sf):
+    p = ANS.build_prompts(question_pairs(spark, sf), "context", "question", model=PROMPT_MODEL)
+    return p.select("qid", "prompt")
+
+
+@register("issue_type")
+def q_issue_type(spark, sf):
+    return TD.questions(spark, sf).select("qid", ANS.infer_issue_type(F.col("question")).alias("issue_type"))
+
+
+@register("question_intent")
+def q_question_intent(spark, sf):
+    return TD.questions(spark, sf).select("qid", ANS.question_intent(F.col("question")).alias("intent"))
+
+
+@register("grounding_check")
+def q_grounding_check(spark, sf):
+    conv = TD.table(spark, sf, "conversations")
+    ctx = (conv.where(F.col("role") == "assistant").groupBy("conv_id")
+           .agg(F.array_join(F.sort_array(F.collect_list(F.struct("turn", "text")))["text"], "\n").alias("context")))
+    values = conv.where(F.col("role") == "user").select(
+        "conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "value"))
+    return (values.join(ctx, "conv_id", "left")
+            .select("conv_id", "turn", "line_no", ANS.is_grounded(F.col("value"), F.col("context")).alias("grounded")))
+
+
+@register("answer_intent")
+def q_answer_intent(spark, sf):
+    return synthetic_answers(spark, sf).select("qid", ANS.extract_intent(F.col("answer")).alias("intent"))
+
+
+@register("answer_audit")
+def q_answer_audit(spark, sf):
+    return ANS.audit_answers(synthetic_answers(spark, sf), "qid", "answer", "context", "question")
+
+
+@register("context_recent")
+def q_context_recent(spark, sf):
+    hits, pts = embedding_hits(spark, sf)
+    contexts = VEC.build_context(VEC.retrieve_with_scores(hits, pts))
+    return DOC.recent_incidents_from_context(contexts, "qid", "context", 3)
