@@ -588,6 +588,26 @@ merged AS (SELECT * FROM store UNION ALL SELECT * FROM incoming)
 SELECT id, list_transform(vector, lambda x: round(x, 6)) AS vector, document, version FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS rn FROM merged) m WHERE rn = 1"""
 
+    q["incident_scaled"] = I + """,
+st AS (SELECT avg(alert_count) ma, stddev_pop(alert_count) sa, avg(severity_score) ms, stddev_pop(severity_score) ss,
+              avg(duration_minutes) md, stddev_pop(duration_minutes) sd FROM incidents)
+SELECT incident_id,
+       round((alert_count - ma) / CASE WHEN sa IS NULL OR sa = 0 THEN 1 ELSE sa END, 6) AS alert_count_z,
+       round((severity_score - ms) / CASE WHEN ss IS NULL OR ss = 0 THEN 1 ELSE ss END, 6) AS severity_score_z,
+       round((duration_minutes - md) / CASE WHEN sd IS NULL OR sd = 0 THEN 1 ELSE sd END, 6) AS duration_minutes_z
+FROM incidents, st"""
+    q["alert_cluster_features"] = I + """
+SELECT alert_id, severity_weight,
+       CAST(CASE WHEN severity IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY severity) - 1 END AS BIGINT)
+         AS severity_code,
+       CAST(CASE WHEN source IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY source) - 1 END AS BIGINT) AS source_code,
+       CAST(CASE WHEN alert_type IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY alert_type) - 1 END AS BIGINT)
+         AS alert_type_code,
+       CAST(CASE WHEN entity_type IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY entity_type) - 1 END AS BIGINT)
+         AS entity_type_code,
+       CAST(floor(epoch_us("timestamp") / 1000000) AS BIGINT) AS timestamp_epoch
+FROM alert_map"""
+
     from alertforge.operators.answers import DEFAULT_TEMPLATE, INTENT_KEYWORDS, INTENT_PRECEDENCE
     from alertforge.schemas import EMPTY_CONTEXT_FALLBACK, ISSUE_TYPE_RULES, DEFAULT_ISSUE_TYPE
 

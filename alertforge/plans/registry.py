@@ -15,11 +15,15 @@ from alertforge.operators import answers as ANS
 from alertforge.operators import dashboard as DASH
 from alertforge.operators import documents as DOC
 from alertforge.operators import gold as GOLD
+from alertforge.operators import iforest as IF
 from alertforge.operators import incidents as INC
+from alertforge.operators import ml as ML
+from alertforge.operators import ordinals as ORD
 from alertforge.operators import reports as REP
 from alertforge.operators import silver as SIL
 from alertforge.operators import star as STAR
 from alertforge.operators import vectors as VEC
+from alertforge import schemas as S
 from alertforge.sources import testdata as TD
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -489,3 +493,48 @@ def q_context_recent(spark, sf):
     hits, pts = embedding_hits(spark, sf)
     contexts = VEC.build_context(VEC.retrieve_with_scores(hits, pts))
     return DOC.recent_incidents_from_context(contexts, "qid", "context", 3)
+
+
+# --------------------------------------------------------------------------
+# models: scaling, category codes, DBSCAN, isolation forest
+# --------------------------------------------------------------------------
+
+@register("incident_scaled")
+def q_incident_scaled(spark, sf):
+    incidents, _ = core(spark, sf)
+    z = ML.incident_scaled(incidents)
+    return z.select("incident_id", *[F.round(c + "_z", 6).alias(c + "_z") for c in ML.INCIDENT_FEATURES])
+
+
+@register("alert_cluster_features")
+def q_alert_cluster_features(spark, sf):
+    _, mapping = core(spark, sf)
+    return ML.alert_cluster_features(mapping).select("alert_id", *ML.ALERT_FEATURES)
+
+
+@register("incident_clusters")
+def q_incident_clusters(spark, sf):
+    incidents, _ = core(spark, sf)
+    return ML.cluster_incidents(INC.build_incidents_gold(incidents)).select(
+        "incident_id", "cluster_id", "is_noise_cluster")
+
+
+@register("cluster_summary")
+def q_cluster_summary(spark, sf):
+    incidents, _ = core(spark, sf)
+    return REP.summarize_clusters(ML.cluster_incidents(INC.build_incidents_gold(incidents)))
+
+
+@register("alert_clusters")
+def q_alert_clusters(spark, sf):
+    _, mapping = core(spark, sf)
+    ordered = ORD.ordinals_by_range(mapping, ["timestamp", "alert_id"], "_order")
+    return ML.cluster_alerts(ordered, "_order").select("alert_id", "alert_cluster")
+
+
+@register("device_anomalies")
+def q_device_anomalies(spark, sf):
+    incidents, mapping = core(spark, sf)
+    devices = GOLD.build_device_metrics_gold(mapping, incidents)
+    keyed = devices.withColumn("_key", F.concat_ws("|", "organization", "device"))
+    return IF.isolation_forest(keyed, "_key", S.ANOMALY_FEATURES, contamination=0.1, seed=42).drop("_key")
