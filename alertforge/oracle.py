@@ -608,6 +608,25 @@ SELECT alert_id, severity_weight,
        CAST(floor(epoch_us("timestamp") / 1000000) AS BIGINT) AS timestamp_epoch
 FROM alert_map"""
 
+    q["stream_silver"] = "WITH " + VENDOR_EVENTS + """
+SELECT source_system, alert_id, correlation_id, organization_name, device_name, device_identifier, service_name,
+       alert_type, severity, event_state, event_time, synthetic, ingestion_time FROM silver_cleaned"""
+    q["stream_dedupe"] = "WITH " + VENDOR_EVENTS + """
+SELECT DISTINCT correlation_id, device_name, alert_type, event_state, event_time FROM silver_cleaned"""
+    closed = """(SELECT max("timestamp") - INTERVAL 10 MINUTE FROM alerts)"""
+    q["stream_incidents"] = I + f"""
+SELECT organization || '|' || device || '|' || CAST(epoch_us(time_window) AS VARCHAR) AS incident_key,
+       organization, device, time_window, alert_count, severity_score, critical_alert_count, start_time, end_time,
+       duration_minutes, root_cause_candidate, incident_cause, description, incident_type
+FROM incidents WHERE time_window + INTERVAL 5 MINUTE <= {closed}"""
+    q["stream_timeline"] = I + f"""
+SELECT time_window AS "timestamp", count(alert_id) AS alerts_count FROM alert_map
+WHERE time_window + INTERVAL 5 MINUTE <= {closed} GROUP BY time_window"""
+    q["stream_tickets"] = I + """
+SELECT row_number() OVER (ORDER BY k) AS ticket_id, k AS incident_key, device AS device_name,
+       root_cause_candidate AS issue, 'OPEN' AS status
+FROM (SELECT *, organization || '|' || device || '|' || CAST(epoch_us(time_window) AS VARCHAR) AS k FROM incidents) x"""
+
     from alertforge.operators.answers import DEFAULT_TEMPLATE, INTENT_KEYWORDS, INTENT_PRECEDENCE
     from alertforge.schemas import EMPTY_CONTEXT_FALLBACK, ISSUE_TYPE_RULES, DEFAULT_ISSUE_TYPE
 

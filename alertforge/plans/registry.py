@@ -25,6 +25,7 @@ from alertforge.operators import star as STAR
 from alertforge.operators import vectors as VEC
 from alertforge import schemas as S
 from alertforge.sources import testdata as TD
+from alertforge.streaming import jobs as STREAM
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -538,3 +539,43 @@ def q_device_anomalies(spark, sf):
     devices = GOLD.build_device_metrics_gold(mapping, incidents)
     keyed = devices.withColumn("_key", F.concat_ws("|", "organization", "device"))
     return IF.isolation_forest(keyed, "_key", S.ANOMALY_FEATURES, contamination=0.1, seed=42).drop("_key")
+
+
+# --------------------------------------------------------------------------
+# streaming (run with availableNow over the whole table; sinks read back)
+# --------------------------------------------------------------------------
+
+def alert_stream(spark, sf):
+    return TD.canonical_alert_view(STREAM.read_table_stream(spark, sf, "events"))
+
+
+@register("stream_silver")
+def q_stream_silver(spark, sf):
+    return STREAM.run_available(STREAM.silver_stream(STREAM.read_table_stream(spark, sf, "events")), "silver")
+
+
+@register("stream_dedupe")
+def q_stream_dedupe(spark, sf):
+    silver = STREAM.silver_stream(STREAM.read_table_stream(spark, sf, "events"))
+    out = STREAM.run_available(STREAM.dedupe_stream(silver), "dedupe")
+    return out.select(*S.SILVER_DEDUPE_KEYS)
+
+
+@register("stream_incidents")
+def q_stream_incidents(spark, sf):
+    return STREAM.run_available(STREAM.incidents_stream(alert_stream(spark, sf)), "incidents")
+
+
+@register("stream_timeline")
+def q_stream_timeline(spark, sf):
+    return STREAM.run_available(STREAM.timeline_stream(alert_stream(spark, sf)), "timeline")
+
+
+@register("stream_escalation")
+def q_stream_escalation(spark, sf):
+    return STREAM.run_available(STREAM.escalation_stream(alert_stream(spark, sf)), "escalation")
+
+
+@register("stream_tickets")
+def q_stream_tickets(spark, sf):
+    return STREAM.run_ticket_sink(alert_stream(spark, sf))

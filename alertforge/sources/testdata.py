@@ -118,7 +118,19 @@ def _with_duplicates(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def bronze_meraki(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _vendor_common(table(spark, sf_dir, "events").where(F.col("user_id") % 3 == 0))
+    return bronze_meraki_view(table(spark, sf_dir, "events"))
+
+
+def bronze_auvik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bronze_auvik_view(table(spark, sf_dir, "events"))
+
+
+def bronze_ncentral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bronze_ncentral_view(table(spark, sf_dir, "events"))
+
+
+def bronze_meraki_view(events: DataFrame) -> DataFrame:
+    ev = _vendor_common(events.where(F.col("user_id") % 3 == 0))
     out = ev.select(
         "event_id",
         F.col("_id").alias("alert_id"),
@@ -137,8 +149,8 @@ def bronze_meraki(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_duplicates(out, "alert_id").drop("event_id")
 
 
-def bronze_auvik(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _vendor_common(table(spark, sf_dir, "events").where(F.col("user_id") % 3 == 1))
+def bronze_auvik_view(events: DataFrame) -> DataFrame:
+    ev = _vendor_common(events.where(F.col("user_id") % 3 == 1))
     out = ev.select(
         "event_id",
         F.col("_id").alias("alert_id"),
@@ -157,8 +169,8 @@ def bronze_auvik(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_duplicates(out, "alert_id").drop("event_id")
 
 
-def bronze_ncentral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _vendor_common(table(spark, sf_dir, "events").where(F.col("user_id") % 3 == 2))
+def bronze_ncentral_view(events: DataFrame) -> DataFrame:
+    ev = _vendor_common(events.where(F.col("user_id") % 3 == 2))
     out = ev.select(
         "event_id",
         F.col("_id").alias("active_notification_trigger_id"),
