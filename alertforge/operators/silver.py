@@ -132,7 +132,7 @@ def silver_clean(frames: dict[str, DataFrame]) -> DataFrame:
     return keep_first(union, S.SILVER_DEDUPE_KEYS, order)
 
 
-def normalize_silver_schema(df: DataFrame, bridge: bool = True) -> DataFrame:
+def normalize_silver_schema(df: DataFrame, bridge: bool = True, extra: list[str] | None = None) -> DataFrame:
     """Any silver-like frame -> the 11 canonical alert columns.
 
     Renames silver names (and the ETL's ``event_time``/``event_state``),
@@ -186,4 +186,4 @@ def normalize_silver_schema(df: DataFrame, bridge: bool = True) -> DataFrame:
         "description": F.col("description").cast("string"),
         "cause": F.coalesce(cause.cast("string"), desc_fill.cast("string"), F.lit("None")),
     }
-    return df.select(*[exprs[c].alias(c) for c in S.CANONICAL_ALERT_COLUMNS])
+    return df.select(*[exprs[c].alias(c) for c in S.CANONICAL_ALERT_COLUMNS], *(extra or []))
