@@ -42,11 +42,12 @@ def build_device_feature_table(alerts: DataFrame, incidents: DataFrame) -> DataF
 
 def compute_reliability_scores(metrics: DataFrame) -> DataFrame:
     """I5 + D22: 100 * (1 - weighted share of the maxima), clipped, 2 decimals."""
+    # all maxima in one aggregate, read as one scalar subquery (floored at 1)
+    tops = metrics.select(F.struct(*[F.greatest(F.max(F.col(c).cast("double")), F.lit(1.0)).alias(c)
+                                     for c in S.RELIABILITY_WEIGHTS])).scalar()
     penalty = None
     for col, weight in S.RELIABILITY_WEIGHTS.items():
-        # each maximum is a scalar subquery floored at 1
-        top = metrics.select(F.greatest(F.max(F.col(col).cast("double")), F.lit(1.0))).scalar()
-        term = F.lit(weight) * (F.col(col) / top)
+        term = F.lit(weight) * (F.col(col) / tops[col])
         penalty = term if penalty is None else penalty + term
     score = F.least(F.greatest(F.lit(100.0) * (F.lit(1.0) - penalty), F.lit(0.0)), F.lit(100.0))
     return metrics.withColumn("reliability_score", F.bround(score, 2))

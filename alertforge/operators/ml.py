@@ -42,13 +42,17 @@ from alertforge.session import ensure_checkpoint_dir
 
 def standardize(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     """(x - mean) / population std; a zero (or undefined) std divides by 1."""
+    # means and population stds of all columns in one aggregate (one scalar subquery)
+    fields = []
+    for c in cols:
+        x = F.col(c).cast("double")
+        s = F.stddev_pop(x)
+        fields += [F.avg(x).alias(f"m_{c}"),
+                   F.when(s.isNull() | (s == 0), F.lit(1.0)).otherwise(s).alias(f"s_{c}")]
+    stats = df.select(F.struct(*fields)).scalar()
     out = df
     for c in cols:
-        stats = df.select(F.avg(F.col(c).cast("double")).alias("m"),
-                          F.stddev_pop(F.col(c).cast("double")).alias("s"))
-        mean = stats.select("m").scalar()
-        std = stats.select(F.when(F.col("s").isNull() | (F.col("s") == 0), F.lit(1.0)).otherwise(F.col("s"))).scalar()
-        out = out.withColumn(c + suffix, (F.col(c).cast("double") - mean) / std)
+        out = out.withColumn(c + suffix, (F.col(c).cast("double") - stats[f"m_{c}"]) / stats[f"s_{c}"])
     return out
 
 

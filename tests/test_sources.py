@@ -80,8 +80,8 @@ def test_silver_directory_scan(spark, tmp_dir):
                             "occurred_at": pd.to_datetime(["2024-01-01 00:00:00", "2024-01-01 00:02:00"]),
                             "organization_name": ["o", "o"], "device_name": ["d", "d"], "alert_type": ["t", "t"],
                             "severity": ["low", "low"], "alert_message": ["dup", "c"], "reason": ["r", "r"]})
-    canon.to_parquet(os.path.join(d, "a.parquet"))
-    aliased.to_parquet(os.path.join(d, "b.parquet"))
+    canon.to_parquet(os.path.join(d, "a.parquet"), coerce_timestamps="us")
+    aliased.to_parquet(os.path.join(d, "b.parquet"), coerce_timestamps="us")
     pd.DataFrame({"x": [1]}).to_parquet(os.path.join(d, "c.parquet"))
     got = {r["alert_id"]: r for r in FILES.load_silver_alerts(spark, d).collect()}
     assert sorted(got) == ["1", "2", "3"]

@@ -22,7 +22,7 @@ def test_escalation_timer(spark, tmp_dir):
     pdf = alert_rows([("a", 0, "open"), ("a", 30, "resolved"), ("b", 100, "open"), ("z", 3000, "open")])
     src = os.path.join(tmp_dir, "in")
     os.makedirs(src)
-    pdf.to_parquet(os.path.join(src, "alerts.parquet"))
+    pdf.to_parquet(os.path.join(src, "alerts.parquet"), coerce_timestamps="us")
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).parquet(src)
     out = STREAM.run_available(STREAM.escalation_stream(stream, watermark="1 second"), "esc")
@@ -37,7 +37,7 @@ def test_tickets_once_per_incident(spark, tmp_dir):
     pdf = alert_rows([("a", 0, "open"), ("a", 10, "open"), ("b", 20, "open")])
     src = os.path.join(tmp_dir, "in")
     os.makedirs(src)
-    pdf.to_parquet(os.path.join(src, "alerts.parquet"))
+    pdf.to_parquet(os.path.join(src, "alerts.parquet"), coerce_timestamps="us")
     schema = spark.read.parquet(src).schema
     t = STREAM.run_ticket_sink(spark.readStream.schema(schema).parquet(src))
     got = sorted((r["ticket_id"], r["device_name"]) for r in t.collect())
