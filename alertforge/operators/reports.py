@@ -98,7 +98,9 @@ def summary_overview(incidents_gold: DataFrame, device_metrics: DataFrame) -> Da
     dev = device_metrics.agg(
         F.count_distinct("device").alias("total_devices"),
         F.coalesce(F.sum("total_alerts"), F.lit(0)).cast("long").alias("total_alerts"),
-        F.coalesce(F.avg("reliability_score"), F.lit(0.0)).alias("avg_reliability_score"))
+        # scores carry 2 decimals: summing whole cents is exact in any order
+        F.coalesce(F.sum(F.round(F.col("reliability_score") * 100).cast("long")).cast("double")
+                   / F.count("reliability_score") / F.lit(100.0), F.lit(0.0)).alias("avg_reliability_score"))
     return dev.select(inc.alias("total_incidents"), "total_devices", "total_alerts", "avg_reliability_score")
 
 

@@ -398,7 +398,7 @@ FROM (SELECT count(*) AS n, count(incident_id) AS covered FROM alert_map) a,
     q["summary_overview"] = DM + """
 SELECT (SELECT count(DISTINCT incident_id) FROM incidents) AS total_incidents,
        count(DISTINCT device) AS total_devices, CAST(coalesce(sum(total_alerts), 0) AS BIGINT) AS total_alerts,
-       coalesce(avg(reliability_score), 0.0) AS avg_reliability_score
+       coalesce(CAST(sum(CAST(round(reliability_score * 100) AS BIGINT)) AS DOUBLE) / count(reliability_score) / 100.0, 0.0) AS avg_reliability_score
 FROM scored"""
 
     q["summary_top_devices"] = DM + """
@@ -516,7 +516,7 @@ WHERE length(trim(document)) > 0"""
 ov AS (
   SELECT (SELECT count(DISTINCT incident_id) FROM incidents) AS total_incidents,
          count(DISTINCT device) AS total_devices, CAST(coalesce(sum(total_alerts), 0) AS BIGINT) AS total_alerts,
-         coalesce(avg(reliability_score), 0.0) AS avg_reliability_score FROM scored),
+         coalesce(CAST(sum(CAST(round(reliability_score * 100) AS BIGINT)) AS DOUBLE) / count(reliability_score) / 100.0, 0.0) AS avg_reliability_score FROM scored),
 td AS (SELECT * FROM scored
        ORDER BY incidents_count DESC, critical_alerts DESC, total_alerts DESC, organization, device LIMIT 5),
 st AS (SELECT alert_type, count(alert_id) AS total_count, count(DISTINCT device) AS devices_affected,
