@@ -47,13 +47,16 @@ def ordinals_by_bucket(df: DataFrame, bucket: str, order_cols: list[str], out_co
     for the offset step (default: the calendar day of a timestamp bucket).
     """
     group = group if group is not None else F.to_date(F.col(bucket))
-    counts = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
+    part = Window.partitionBy(bucket)
+    within = part.orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
+    # one shuffle by bucket serves both the in-bucket numbers and the bucket sizes
+    numbered = (df.withColumn("_rn", F.row_number().over(within))
+                .withColumn("_n", F.count(F.lit(1)).over(part)))
+    counts = numbered.where(F.col("_rn") == 1).select(bucket, "_n")
     offsets = _prefix_offsets(counts, bucket, group)
-    within = Window.partitionBy(bucket).orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
-    return (df.withColumn("_rn", F.row_number().over(within))
-            .join(offsets, bucket)
+    return (numbered.join(offsets, bucket)
             .withColumn(out_col, (F.col("_offset") + F.col("_rn")).cast("long"))
-            .drop("_rn", "_offset"))
+            .drop("_rn", "_n", "_offset"))
 
 
 def ordinals_by_range(df: DataFrame, order_cols: list[str], out_col: str,
