@@ -70,22 +70,25 @@ def summarize_clusters(incidents: DataFrame) -> DataFrame:
 
 def pipeline_metrics(alerts: DataFrame, incidents: DataFrame, clustered: DataFrame | None = None) -> DataFrame:
     """One row of totals and ratios."""
-    a = alerts.agg(F.count(F.lit(1)).cast("double").alias("total_alerts"),
-                   F.count("incident_id").cast("double").alias("_covered"))
-    i = incidents.agg(F.count_distinct("incident_id").cast("double").alias("total_incidents"),
-                      F.coalesce(F.avg("duration_minutes"), F.lit(0.0)).alias("avg_incident_duration_minutes"))
-    total_alerts = a.select("total_alerts").scalar()
-    covered = a.select("_covered").scalar()
-    total_incidents = i.select("total_incidents").scalar()
+    # one aggregate per input, each read as a single scalar subquery
+    a_fields = [F.count(F.lit(1)).cast("double").alias("n"), F.count("incident_id").cast("double").alias("covered")]
+    if clustered is not None and "alert_cluster" in clustered.columns and clustered is alerts:
+        a_fields.append(F.count(F.when(F.col("alert_cluster") != -1, F.lit(1))).cast("double").alias("clustered"))
+    a = alerts.select(F.struct(*a_fields)).scalar()
+    i = incidents.select(F.struct(
+        F.count_distinct("incident_id").cast("double").alias("n"),
+        F.coalesce(F.avg("duration_minutes"), F.lit(0.0)).alias("avg_duration"))).scalar()
+    total_alerts, covered, total_incidents = a["n"], a["covered"], i["n"]
     cols = [
         total_alerts.alias("total_alerts"),
         total_incidents.alias("total_incidents"),
         F.when(total_incidents > 0, total_alerts / total_incidents).otherwise(F.lit(0.0)).alias("alerts_per_incident"),
         F.when(total_alerts > 0, covered / total_alerts).otherwise(F.lit(0.0)).alias("incident_coverage_ratio"),
-        i.select("avg_incident_duration_minutes").scalar().alias("avg_incident_duration_minutes"),
+        i["avg_duration"].alias("avg_incident_duration_minutes"),
     ]
     if clustered is not None and "alert_cluster" in clustered.columns:
-        non_noise = clustered.select(F.count(F.when(F.col("alert_cluster") != -1, F.lit(1))).cast("double")).scalar()
+        non_noise = (a["clustered"] if clustered is alerts else
+                     clustered.select(F.count(F.when(F.col("alert_cluster") != -1, F.lit(1))).cast("double")).scalar())
         cols.append(F.when(total_alerts > 0, non_noise / total_alerts).otherwise(F.lit(0.0))
                     .alias("clustered_alert_ratio"))
     spark = alerts.sparkSession

@@ -111,10 +111,13 @@ def _vendor_common(events: DataFrame) -> DataFrame:
 
 
 def _with_duplicates(df: DataFrame, id_col: str) -> DataFrame:
-    """Append a copy of every tenth row under ``<id>_dup`` (same dedupe keys)."""
-    dups = (df.where((F.col("event_id") % 10) == 1)
-            .withColumn(id_col, F.concat(F.col(id_col), F.lit("_dup"))))
-    return df.unionByName(dups)
+    """Add a copy of every tenth row under ``<id>_dup`` (same dedupe keys),
+    generated in the same scan."""
+    copies = F.when((F.col("event_id") % 10) == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    out = df.withColumn("_copy", F.explode(copies))
+    return (out.withColumn(id_col, F.when(F.col("_copy") == 1, F.concat(F.col(id_col), F.lit("_dup")))
+                           .otherwise(F.col(id_col)))
+            .drop("_copy"))
 
 
 def bronze_meraki(spark: SparkSession, sf_dir: str) -> DataFrame:
