@@ -699,6 +699,21 @@ SELECT conv_id, turn, line_no,
                  OR (len(vn) > 0 AND len(list_filter(vn, lambda x: NOT list_contains(cn, x))) = 0) END AS grounded
 FROM j"""
 
+    def embed_sql(src, id_col, text_expr):
+        return f"""
+toks AS (SELECT {id_col} AS id, unnest(regexp_extract_all(lower({text_expr}), '[\\p{{L}}\\p{{N}}]+')) AS t FROM {src}),
+bk AS (SELECT id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 384 AS b, CAST(count(*) AS DOUBLE) AS c
+       FROM toks GROUP BY 1, 2),
+agg AS (SELECT id, list(struct_pack(b := b, c := c)) AS e, sqrt(sum(c * c)) AS n FROM bk GROUP BY id)
+SELECT id AS {id_col},
+       list_transform(range(0, 384), lambda i: round(coalesce(list_sum(list_transform(
+           list_filter(e, lambda x: x.b = i), lambda x: x.c)), 0) / n, 6)) AS vector
+FROM agg"""
+
+    q["embed_documents"] = "WITH " + embed_sql("documents", "doc_id", "text")
+    instr = "Represent this sentence for searching relevant passages: "
+    q["embed_questions"] = QS + "," + embed_sql("questions", "qid", f"{lit(instr)} || question")
+
     q["answer_intent"] = QS + f"""
 SELECT qid, {intent_case} AS intent FROM pairs"""
 

@@ -421,9 +421,13 @@ def q_vec_upsert(spark, sf):
     return merged.select("id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"), "document", "version")
 
 
+def _rounded(df, col="vector"):
+    return df.withColumn(col, F.transform(col, lambda x: F.round(x, 6)))
+
+
 @register("embed_documents")
 def q_embed_documents(spark, sf):
-    return VEC.hashed_tf_embed(TD.table(spark, sf, "documents"), "doc_id", "text", dim=384)
+    return _rounded(VEC.hashed_tf_embed(TD.table(spark, sf, "documents"), "doc_id", "text", dim=384))
 
 
 # --------------------------------------------------------------------------
@@ -579,3 +583,29 @@ def q_stream_escalation(spark, sf):
 @register("stream_tickets")
 def q_stream_tickets(spark, sf):
     return STREAM.run_ticket_sink(alert_stream(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# copilot chain over whole tables: questions -> embed -> top-k -> context -> prompt
+# --------------------------------------------------------------------------
+
+def copilot(spark, sf, k=5, dim=384):
+    docs = TD.table(spark, sf, "documents")
+    doc_vecs = VEC.hashed_tf_embed(docs, "doc_id", "text", dim=dim)
+    points = doc_vecs.join(docs.select(F.col("doc_id"), F.col("text").alias("document")), "doc_id") \
+        .select(F.col("doc_id").alias("id"), "vector", "document")
+    q = TD.questions(spark, sf)
+    q_vecs = VEC.embed_queries(q, "qid", "question", dim=dim)
+    hits = VEC.cosine_topk(q_vecs, points, k=k)
+    contexts = VEC.build_context(VEC.retrieve_with_scores(hits, points))
+    return q.join(contexts, "qid", "left")
+
+
+@register("embed_questions")
+def q_embed_questions(spark, sf):
+    return _rounded(VEC.embed_queries(TD.questions(spark, sf), "qid", "question", dim=384))
+
+
+@register("copilot_prompts")
+def q_copilot_prompts(spark, sf):
+    return ANS.build_prompts(copilot(spark, sf), "context", "question").select("qid", "prompt")
