@@ -230,17 +230,34 @@ def _propagate(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 
 def dbscan(df: DataFrame, order_col: str, feature_cols: list[str], eps: float, min_samples: int,
-           out_col: str = "cluster", block_rows: int = 2000) -> DataFrame:
+           out_col: str = "cluster", block_rows: int = 2000, cell_factor: float | None = None,
+           target_per_cell: int = 512) -> DataFrame:
     """Exact DBSCAN over ``feature_cols`` (already scaled); ``order_col`` is a
-    unique long giving the visiting order. Adds ``out_col`` (-1 = noise)."""
+    unique long giving the visiting order. Adds ``out_col`` (-1 = noise).
+
+    ``cell_factor`` widens grid cells to ``factor * eps`` (neighbours still lie
+    in adjacent cells). By default it is chosen from the mean occupancy of
+    eps-cells so that a cell holds about ``target_per_cell`` points: sparse data
+    gets fewer, fuller blocks; dense data keeps eps-cells (less distance work).
+    Above three dimensions cells stay at eps.
+    """
     dims = len(feature_cols)
     vec = F.array(*[F.col(c).cast("double") for c in feature_cols])
     base = df.withColumn("_v", vec)
     dp = base.groupBy("_v").agg(F.count(F.lit(1)).alias("w"), F.min(order_col).cast("long").alias("pid"))
-    dp = dp.select("pid", "w", F.col("_v").alias("v"),
-                   F.transform("_v", lambda x: F.floor(x / F.lit(float(eps)))).alias("cell"))
     ensure_checkpoint_dir(df.sparkSession)
     dp = dp.checkpoint(eager=True)
+    if cell_factor is None and dims > 3:
+        # widening multiplies candidate pairs by factor**dims: keep eps-cells in high dimensions
+        cell_factor = 1.0
+    if cell_factor is None:
+        unit = F.transform("_v", lambda x: F.floor(x / F.lit(float(eps))))
+        stats = dp.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(unit).alias("cells")).first()
+        occupancy = stats["n"] / max(1, stats["cells"])
+        cell_factor = min(8.0, max(1.0, (target_per_cell / max(occupancy, 1e-9)) ** (1.0 / dims)))
+    dp = dp.select("pid", "w", F.col("_v").alias("v"),
+                   # cells of side >= eps: every neighbour lies in an adjacent cell
+                   F.transform("_v", lambda x: F.floor(x / F.lit(float(eps) * max(1.0, cell_factor)))).alias("cell"))
 
     left, right = _blocks(dp, dims, block_rows)
     counts = (left.groupBy("blk").cogroup(right.groupBy("blk"))
