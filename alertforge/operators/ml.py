@@ -218,10 +218,14 @@ def _propagate(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     for _ in range(max_rounds):
         prop = (und.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("nl")), "dst")
                 .groupBy("src").agg(F.min("nl").alias("nl")))
-        new = (labels.join(prop.select(F.col("src").alias("node"), "nl"), "node", "left")
-               .select("node", F.least("label", F.coalesce("nl", "label")).alias("label"),
-                       (F.coalesce("nl", "label") < F.col("label")).alias("_chg")))
-        new = new.checkpoint(eager=True)
+        step = (labels.join(prop.select(F.col("src").alias("node"), "nl"), "node", "left")
+                .select("node", F.col("label").alias("_old"),
+                        F.least("label", F.coalesce("nl", "label")).alias("label")))
+        # pointer jumping: take the label of the label (stays inside the component)
+        jump = step.select(F.col("node").alias("label"), F.col("label").alias("_l2"))
+        new = (step.join(jump, "label", "left")
+               .select("node", F.least("label", F.coalesce("_l2", "label")).alias("label"), "_old"))
+        new = new.withColumn("_chg", F.col("label") < F.col("_old")).drop("_old").checkpoint(eager=True)
         changed = new.where("_chg").limit(1).count()
         labels = new.drop("_chg")
         if changed == 0:
