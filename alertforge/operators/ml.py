@@ -99,15 +99,20 @@ def _blocks(points: DataFrame, dims: int, block_rows: int) -> tuple[DataFrame, D
              .where((F.col("a") < F.col("b")) | (F.col("ai") <= F.col("bj"))))
     pairs = pairs.select("a", "ai", "b", "bj")
     cols = [c for c in points.columns if c != "cell"]
+    # many small blocks share one task: the co-group runs per task, blocks are split inside
+    n_blocks = pairs.count()
+    parallelism = points.sparkSession.sparkContext.defaultParallelism
+    n_tasks = max(1, min(n_blocks, max(4 * parallelism, -(-n_blocks // 64))))
 
     def side(alias: str, cell_col: str, chunk_col: str) -> DataFrame:
         p, q = pts.alias(alias), pairs.alias(alias + "P")
         joined = p.join(q, (F.col(f"{alias}.cell") == F.col(f"{alias}P.{cell_col}"))
                         & (F.col(f"{alias}._chunk") == F.col(f"{alias}P.{chunk_col}")))
-        k = F.xxhash64(*[F.col(f"{alias}P.{c}") for c in ("a", "ai", "b", "bj")]).alias("blk")
+        k = F.xxhash64(*[F.col(f"{alias}P.{c}") for c in ("a", "ai", "b", "bj")])
         same = ((F.col(f"{alias}P.a") == F.col(f"{alias}P.b"))
                 & (F.col(f"{alias}P.ai") == F.col(f"{alias}P.bj"))).alias("same")
-        return joined.select(k, same, *[F.col(f"{alias}.{c}").alias(c) for c in cols])
+        return joined.select(F.pmod(k, F.lit(n_tasks)).alias("task"), k.alias("blk"), same,
+                             *[F.col(f"{alias}.{c}").alias(c) for c in cols])
 
     return side("L", "a", "ai"), side("R", "b", "bj")
 
@@ -124,6 +129,22 @@ def _dist_ok(lv: np.ndarray, rv: np.ndarray, eps2: float) -> np.ndarray:
     return exact
 
 
+def _per_block(fn, empty_cols: dict):
+    """Run ``fn`` on every block of a task's co-group (left/right split by ``blk``)."""
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        outs = []
+        if not left.empty and not right.empty:
+            rgroups = {k: g for k, g in right.groupby("blk", sort=False)}
+            for k, lg in left.groupby("blk", sort=False):
+                rg = rgroups.get(k)
+                if rg is not None:
+                    outs.append(fn(lg.reset_index(drop=True), rg.reset_index(drop=True)))
+        if not outs:
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in empty_cols.items()})
+        return pd.concat(outs, ignore_index=True)
+    return run
+
+
 def _count_fn(eps: float):
     eps2 = eps * eps
 
@@ -264,15 +285,16 @@ def dbscan(df: DataFrame, order_col: str, feature_cols: list[str], eps: float, m
                    F.transform("_v", lambda x: F.floor(x / F.lit(float(eps) * max(1.0, cell_factor)))).alias("cell"))
 
     left, right = _blocks(dp, dims, block_rows)
-    counts = (left.groupBy("blk").cogroup(right.groupBy("blk"))
-              .applyInPandas(_count_fn(eps), "pid long, n long")
+    counts = (left.groupBy("task").cogroup(right.groupBy("task"))
+              .applyInPandas(_per_block(_count_fn(eps), {"pid": "int64", "n": "int64"}), "pid long, n long")
               .groupBy("pid").agg(F.sum("n").alias("n")))
     scored = dp.join(counts, "pid", "left").withColumn("core", F.coalesce("n", F.lit(0)) >= min_samples) \
         .drop("n").checkpoint(eager=True)
 
     left, right = _blocks(scored, dims, block_rows)
-    edges = (left.groupBy("blk").cogroup(right.groupBy("blk"))
-             .applyInPandas(_edge_fn(eps), "src long, dst long, border boolean")).checkpoint(eager=True)
+    edge_fn = _per_block(_edge_fn(eps), {"src": "int64", "dst": "int64", "border": "bool"})
+    edges = (left.groupBy("task").cogroup(right.groupBy("task"))
+             .applyInPandas(edge_fn, "src long, dst long, border boolean")).distinct().checkpoint(eager=True)
     core_edges = edges.where(~F.col("border"))
     comp = _propagate(core_edges)  # node = core pid, label = min core pid of its cluster
     numbered = ordinals_by_range(comp.select("label").distinct(), ["label"], "_k")
