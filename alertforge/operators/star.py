@@ -103,7 +103,9 @@ def fact_incidents(silver: DataFrame, devices: DataFrame, orgs: DataFrame, types
 def split_incident_status(facts: DataFrame, seed: int = 42, resolved_pct: int = 50) -> DataFrame:
     """A stable, seeded half of the incidents becomes RESOLVED (hash based,
     so it does not depend on partitioning), the rest stays OPEN."""
-    bucket = F.pmod(F.xxhash64(F.col("incident_key"), F.lit(seed)), F.lit(100))
+    # md5 of "<seed>:<key>": stable, independent of partitioning, reproducible in SQL
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("incident_key").cast("string")))
+    bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(100))
     return facts.withColumn("incident_status",
                             F.when(bucket < resolved_pct, F.lit("RESOLVED")).otherwise(F.lit("OPEN")))
 

@@ -437,6 +437,12 @@ FROM silver"""
     q["dim_alert_type"] = "WITH " + STAR_CTES + " SELECT * FROM dim_alert_type"
     q["dim_time"] = "WITH " + STAR_CTES + " SELECT * FROM dim_time"
     q["fact_incidents"] = "WITH " + STAR_CTES + " SELECT * FROM fact_incidents"
+    q["incident_status"] = "WITH " + STAR_CTES + """
+SELECT incident_key, correlation_id, device_key, organization_key, alert_type_key, start_time_key, end_time_key,
+       incident_duration, alert_count, severity, synthetic,
+       CASE WHEN ('0x' || substr(md5('42:' || CAST(incident_key AS VARCHAR)), 1, 8))::BIGINT % 100 < 50
+            THEN 'RESOLVED' ELSE 'OPEN' END AS incident_status
+FROM fact_incidents"""
     q["tickets"] = "WITH " + STAR_CTES + """
 SELECT row_number() OVER (ORDER BY incident_key) AS ticket_id, incident_key AS incident_id,
        CAST(device_key AS VARCHAR) AS device_name, CAST(alert_type_key AS VARCHAR) AS issue, 'OPEN' AS status
@@ -699,20 +705,49 @@ SELECT conv_id, turn, line_no,
                  OR (len(vn) > 0 AND len(list_filter(vn, lambda x: NOT list_contains(cn, x))) = 0) END AS grounded
 FROM j"""
 
-    def embed_sql(src, id_col, text_expr):
+    def embed_ctes(name, src, id_col, text_expr):
+        """CTEs ending in ``name`` (id_col, vector): the hashed term-frequency encoder."""
         return f"""
-toks AS (SELECT {id_col} AS id, unnest(regexp_extract_all(lower({text_expr}), '[\\p{{L}}\\p{{N}}]+')) AS t FROM {src}),
-bk AS (SELECT id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 384 AS b, CAST(count(*) AS DOUBLE) AS c
-       FROM toks GROUP BY 1, 2),
-agg AS (SELECT id, list(struct_pack(b := b, c := c)) AS e, sqrt(sum(c * c)) AS n FROM bk GROUP BY id)
-SELECT id AS {id_col},
-       list_transform(range(0, 384), lambda i: round(coalesce(list_sum(list_transform(
-           list_filter(e, lambda x: x.b = i), lambda x: x.c)), 0) / n, 6)) AS vector
-FROM agg"""
-
-    q["embed_documents"] = "WITH " + embed_sql("documents", "doc_id", "text")
+{name}_toks AS (SELECT {id_col} AS id, unnest(regexp_extract_all(lower({text_expr}), '[\\p{{L}}\\p{{N}}]+')) AS t
+               FROM {src}),
+{name}_bk AS (SELECT id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 384 AS b, CAST(count(*) AS DOUBLE) AS c
+             FROM {name}_toks GROUP BY 1, 2),
+{name}_agg AS (SELECT id, list(struct_pack(b := b, c := c)) AS e, sqrt(sum(c * c)) AS n FROM {name}_bk GROUP BY id),
+{name} AS (
+  SELECT id AS {id_col},
+         list_transform(range(0, 384), lambda i: coalesce(list_sum(list_transform(
+             list_filter(e, lambda x: x.b = i), lambda x: x.c)), 0) / n) AS vector
+  FROM {name}_agg
+)"""
+
+    def rounded(name, id_col):
+        return f" SELECT {id_col}, list_transform(vector, lambda x: round(x, 6)) AS vector FROM {name}"
+
     instr = "Represent this sentence for searching relevant passages: "
-    q["embed_questions"] = QS + "," + embed_sql("questions", "qid", f"{lit(instr)} || question")
+    q["embed_documents"] = "WITH " + embed_ctes("dvec", "documents", "doc_id", "text") + rounded("dvec", "doc_id")
+    q["embed_questions"] = (QS + "," + embed_ctes("qvec", "questions", "qid", f"{lit(instr)} || question")
+                            + rounded("qvec", "qid"))
+
+    q["copilot_prompts"] = (QS + "," + embed_ctes("dvec", "documents", "doc_id", "text") + ","
+                            + embed_ctes("qvec", "questions", "qid", f"{lit(instr)} || question") + f""",
+cn AS (SELECT doc_id, vector, sqrt(list_sum(list_transform(vector, lambda x: x * x))) AS n FROM dvec),
+qn AS (SELECT qid, vector, sqrt(list_sum(list_transform(vector, lambda x: x * x))) AS n FROM qvec),
+sc AS (
+  SELECT qn.qid, cn.doc_id,
+         round(list_dot_product(qn.vector, cn.vector) / ((CASE WHEN qn.n = 0 THEN 1 ELSE qn.n END)
+                                                         * (CASE WHEN cn.n = 0 THEN 1 ELSE cn.n END)), 6) AS score
+  FROM qn, cn
+),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rk FROM sc) r
+        WHERE rk <= 5),
+ctx AS (
+  SELECT t.qid, string_agg(d.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY t.rk) AS context
+  FROM top t JOIN documents d ON t.doc_id = d.doc_id WHERE length(trim(d.text)) > 0 GROUP BY t.qid
+),
+pairs2 AS (SELECT q.qid, q.question, ctx.context FROM questions q LEFT JOIN ctx ON q.qid = ctx.qid),
+cf AS (SELECT qid, {filled} AS p FROM pairs2 WHERE question IS NOT NULL AND length({strip('question')}) > 0)
+SELECT qid, CASE WHEN length(p) > 12000 THEN regexp_replace(left(p, 12000), '\\s+$', '') ELSE p END AS prompt
+FROM cf""")
 
     q["answer_intent"] = QS + f"""
 SELECT qid, {intent_case} AS intent FROM pairs"""
