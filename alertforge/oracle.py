@@ -625,6 +625,15 @@ SELECT organization || '|' || device || '|' || CAST(epoch_us(time_window) AS VAR
        organization, device, time_window, alert_count, severity_score, critical_alert_count, start_time, end_time,
        duration_minutes, root_cause_candidate, incident_cause, description, incident_type
 FROM incidents WHERE time_window + INTERVAL 5 MINUTE <= {closed}"""
+    q["stream_escalation"] = I + """,
+esc AS (
+  SELECT organization || '|' || device || '|' || CAST(epoch_us(time_window) AS VARCHAR) AS incident_key,
+         epoch_us(start_time) // 1000 AS opened_ms
+  FROM incidents
+)
+SELECT incident_key, make_timestamp(opened_ms * 1000) AS opened_at,
+       make_timestamp((opened_ms + 60000) * 1000) AS escalated_at
+FROM esc WHERE opened_ms + 60000 < (SELECT epoch_us(max("timestamp")) // 1000 - 600000 FROM alerts)"""
     q["stream_timeline"] = I + f"""
 SELECT time_window AS "timestamp", count(alert_id) AS alerts_count FROM alert_map
 WHERE time_window + INTERVAL 5 MINUTE <= {closed} GROUP BY time_window"""
