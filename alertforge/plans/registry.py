@@ -495,8 +495,14 @@ def q_answer_audit(spark, sf):
 
 @register("context_recent")
 def q_context_recent(spark, sf):
-    hits, pts = embedding_hits(spark, sf)
-    contexts = VEC.build_context(VEC.retrieve_with_scores(hits, pts))
+    """Questions -> top-5 incident documents -> newest incidents named in the context."""
+    _, mapping = core(spark, sf)
+    docs = DOC.build_incident_documents(mapping.withColumn("_doc_id", F.col("alert_id").cast("long")),
+                                        id_col="_doc_id")
+    vecs = VEC.hashed_tf_embed(docs, "_doc_id", "document", dim=384)
+    points = vecs.join(docs, "_doc_id").select(F.col("_doc_id").alias("id"), "vector", "document")
+    q_vecs = VEC.embed_queries(TD.questions(spark, sf), "qid", "question", dim=384)
+    contexts = VEC.build_context(VEC.retrieve_with_scores(VEC.cosine_topk(q_vecs, points, k=5), points))
     return DOC.recent_incidents_from_context(contexts, "qid", "context", 3)
 
 

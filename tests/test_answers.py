@@ -48,3 +48,35 @@ def test_intents(spark):
     df = spark.createDataFrame([("Why did it fail and how to fix?",), ("How many alerts today",), ("hello",)], "q string")
     got = [r[0] for r in df.select(ANS.question_intent(F.col("q"))).collect()]
     assert got == ["ROOT_CAUSE", "ALERT_COUNT", "INCIDENT_SUMMARY"]
+
+
+def test_recent_incidents_from_context(spark):
+    from alertforge.operators.documents import recent_incidents_from_context
+    sep = S.CONTEXT_SEPARATOR
+    ctx = sep.join([
+        "Incident ID: A\nDevice: d1\nTimestamp: 2024-01-01T10:00:00Z",
+        "Incident ID: B\nDevice: d2\nAlert Type: cpu\nTimestamp: not a time",
+        "Incident ID: C\nTimestamp: 2024-01-02 09:00:00\nSeverity: high",
+        "Device: d4",
+    ])
+    df = spark.createDataFrame([(1, ctx)], "id int, ctx string")
+    out = recent_incidents_from_context(df, "id", "ctx", 3).collect()[0]["recent_incidents"]
+    assert out.split("\n") == [
+        "Recent Incidents (top 3):",
+        "1. Incident ID: C | Device: N/A | Alert: N/A | Severity: high | Timestamp: 2024-01-02 09:00:00",
+        "2. Incident ID: A | Device: d1 | Alert: N/A | Severity: N/A | Timestamp: 2024-01-01T10:00:00Z",
+        "3. Incident ID: B | Device: d2 | Alert: cpu | Severity: N/A | Timestamp: not a time",
+    ]
+
+
+def test_pluggable_encoder(spark):
+    import numpy as np
+    from alertforge.operators.vectors import pandas_encoder_embed
+
+    def factory():
+        return lambda texts: np.array([[len(t), t.count("a")] for t in texts], dtype=float)
+
+    df = spark.createDataFrame([(1, "aaa"), (2, "   "), (3, "bcd")], "id long, text string")
+    got = {r["id"]: r["vector"] for r in pandas_encoder_embed(df, "id", "text", factory, batch_size=1).collect()}
+    assert sorted(got) == [1, 3]
+    assert np.allclose(got[1], [3 / np.sqrt(18), 3 / np.sqrt(18)]) and np.allclose(got[3], [1.0, 0.0])
