@@ -268,9 +268,11 @@ def dbscan(df: DataFrame, order_col: str, feature_cols: list[str], eps: float, m
     """
     dims = len(feature_cols)
     vec = F.array(*[F.col(c).cast("double") for c in feature_cols])
-    base = df.withColumn("_v", vec)
-    dp = base.groupBy("_v").agg(F.count(F.lit(1)).alias("w"), F.min(order_col).cast("long").alias("pid"))
     ensure_checkpoint_dir(df.sparkSession)
+    # freeze (order, vector) once: scaled features come from aggregates whose last
+    # bits may differ between executions, so results join back on the order key
+    keyed = df.select(F.col(order_col).cast("long").alias("_ord"), vec.alias("_v")).checkpoint(eager=True)
+    dp = keyed.groupBy("_v").agg(F.count(F.lit(1)).alias("w"), F.min("_ord").alias("pid"))
     dp = dp.checkpoint(eager=True)
     if cell_factor is None and dims > 3:
         # widening multiplies candidate pairs by factor**dims: keep eps-cells in high dimensions
@@ -305,7 +307,10 @@ def dbscan(df: DataFrame, order_col: str, feature_cols: list[str], eps: float, m
               .join(cluster_of_core, "pid", "left").join(border, "pid", "left")
               .select("v", F.when(F.col("core"), F.col("_c")).otherwise(F.coalesce(F.col("_b"), F.lit(-1)))
                       .cast("long").alias(out_col)))
-    return base.join(labels, base["_v"] == labels["v"], "left").drop("_v", "v")
+    # both sides come from the same frozen vectors; the result goes back by order key
+    per_row = keyed.join(labels, keyed["_v"] == labels["v"]).select(F.col("_ord").alias("_dbscan_ord"), out_col)
+    return (df.join(per_row, F.col(order_col).cast("long") == F.col("_dbscan_ord"), "left")
+            .drop("_dbscan_ord"))
 
 
 # --------------------------------------------------------------------------

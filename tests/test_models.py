@@ -69,3 +69,13 @@ def test_category_codes(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("a",)], "s string")
     got = [r[0] for r in ml.category_codes(df, ["s"]).orderBy(F.asc_nulls_first("s")).select("s_code").collect()]
     assert got == [-1, 0, 0, 1, 2]
+
+
+def test_scaled_inputs_keep_every_label(spark):
+    """Scaled features come from aggregates; labels must still reach every row."""
+    from alertforge.operators import incidents as INC
+    from alertforge.sources import testdata as TD
+    inc, _ = INC.build_incidents(TD.canonical_alerts(spark, "/root/testdata/sf0.001"), "5min")
+    out = ml.cluster_incidents(inc)
+    assert out.where(F.col("cluster_id").isNull()).count() == 0
+    assert out.count() == inc.count()
