@@ -55,6 +55,17 @@ def hours_between(start: str | Column, end: str | Column) -> Column:
     return (F.unix_micros(col_or_lit(end)) - F.unix_micros(col_or_lit(start))) / F.lit(3_600_000_000.0)
 
 
+def avg_minutes(start: str | Column, end: str | Column) -> Column:
+    """Mean of (end - start) in minutes as an aggregate.
+
+    Sums whole microseconds (an exact integer sum), so the result does not
+    depend on the order in which partitions are combined.
+    """
+    micros = F.unix_micros(col_or_lit(end)) - F.unix_micros(col_or_lit(start))
+    return F.try_divide(F.try_divide(F.sum(micros).cast("double"), F.count(micros).cast("double")),
+                        F.lit(60_000_000.0))
+
+
 def contains_any(text: Column, tokens: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in tokens])
 

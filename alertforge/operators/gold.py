@@ -32,7 +32,7 @@ def build_device_feature_table(alerts: DataFrame, incidents: DataFrame) -> DataF
     )
     incident_metrics = incidents.groupBy(*DEVICE_KEYS).agg(
         F.count_distinct("incident_id").alias("incidents_count"),
-        F.avg("duration_minutes").alias("avg_incident_duration"),
+        AF.avg_minutes("start_time", "end_time").alias("avg_incident_duration"),
         F.avg("severity_score").alias("avg_incident_severity"),
     )
     joined = alert_metrics.join(incident_metrics, DEVICE_KEYS, "left")

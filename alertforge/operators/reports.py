@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertforge import schemas as S
+from alertforge.functions import alerts as AF
 
 DEVICE_KEYS = ["organization", "device"]
 
@@ -47,7 +48,7 @@ def incident_frequency_trends(incidents: DataFrame) -> DataFrame:
     return (incidents.groupBy(F.to_date("start_time").alias("date"))
             .agg(F.count_distinct("incident_id").alias("incidents_count"),
                  F.avg("severity_score").alias("avg_severity"),
-                 F.avg("duration_minutes").alias("avg_duration_minutes")))
+                 AF.avg_minutes("start_time", "end_time").alias("avg_duration_minutes")))
 
 
 def detect_failure_patterns(alerts: DataFrame, top_n: int = 10) -> DataFrame:
@@ -77,7 +78,7 @@ def pipeline_metrics(alerts: DataFrame, incidents: DataFrame, clustered: DataFra
     a = alerts.select(F.struct(*a_fields)).scalar()
     i = incidents.select(F.struct(
         F.count_distinct("incident_id").cast("double").alias("n"),
-        F.coalesce(F.avg("duration_minutes"), F.lit(0.0)).alias("avg_duration"))).scalar()
+        F.coalesce(AF.avg_minutes("start_time", "end_time"), F.lit(0.0)).alias("avg_duration"))).scalar()
     total_alerts, covered, total_incidents = a["n"], a["covered"], i["n"]
     cols = [
         total_alerts.alias("total_alerts"),

@@ -309,7 +309,7 @@ am AS (
 ),
 im AS (
   SELECT organization, device, count(DISTINCT incident_id) AS incidents_count,
-         avg(duration_minutes) AS avg_incident_duration, avg(severity_score) AS avg_incident_severity
+         CAST(sum(epoch_us(end_time) - epoch_us(start_time)) AS DOUBLE) / count(*) / 60000000.0 AS avg_incident_duration, avg(severity_score) AS avg_incident_severity
   FROM incidents GROUP BY organization, device
 ),
 dm AS (
@@ -377,7 +377,7 @@ SELECT lower(coalesce(severity, 'None')) AS severity, count(*) AS count FROM ale
 
     q["incident_trends"] = I + """
 SELECT CAST(start_time AS DATE) AS date, count(DISTINCT incident_id) AS incidents_count,
-       avg(severity_score) AS avg_severity, avg(duration_minutes) AS avg_duration_minutes
+       avg(severity_score) AS avg_severity, CAST(sum(epoch_us(end_time) - epoch_us(start_time)) AS DOUBLE) / count(*) / 60000000.0 AS avg_duration_minutes
 FROM incidents GROUP BY 1"""
 
     q["failure_patterns"] = I + """
@@ -393,7 +393,7 @@ SELECT CAST(a.n AS DOUBLE) AS total_alerts, CAST(i.n AS DOUBLE) AS total_inciden
        CASE WHEN a.n > 0 THEN CAST(a.covered AS DOUBLE) / a.n ELSE 0.0 END AS incident_coverage_ratio,
        coalesce(i.d, 0.0) AS avg_incident_duration_minutes
 FROM (SELECT count(*) AS n, count(incident_id) AS covered FROM alert_map) a,
-     (SELECT count(DISTINCT incident_id) AS n, avg(duration_minutes) AS d FROM incidents) i"""
+     (SELECT count(DISTINCT incident_id) AS n, CAST(sum(epoch_us(end_time) - epoch_us(start_time)) AS DOUBLE) / count(*) / 60000000.0 AS d FROM incidents) i"""
 
     q["summary_overview"] = DM + """
 SELECT (SELECT count(DISTINCT incident_id) FROM incidents) AS total_incidents,
