@@ -642,6 +642,56 @@ SELECT row_number() OVER (ORDER BY k) AS ticket_id, k AS incident_key, device AS
        root_cause_candidate AS issue, 'OPEN' AS status
 FROM (SELECT *, organization || '|' || device || '|' || CAST(epoch_us(time_window) AS VARCHAR) AS k FROM incidents) x"""
 
+    # DBSCAN (eps 0.9, min_samples 2) over standardised incident features, written
+    # the textbook way: neighbour pairs, core points, components, borders
+    q["incident_clusters"] = I + """,
+st AS (SELECT avg(alert_count) ma, stddev_pop(alert_count) sa, avg(severity_score) ms, stddev_pop(severity_score) ss,
+              avg(duration_minutes) md, stddev_pop(duration_minutes) sd FROM incidents),
+pts AS (
+  SELECT incident_id, CAST(substr(incident_id, 5) AS BIGINT) AS o,
+         (alert_count - ma) / CASE WHEN sa IS NULL OR sa = 0 THEN 1 ELSE sa END AS x,
+         (severity_score - ms) / CASE WHEN ss IS NULL OR ss = 0 THEN 1 ELSE ss END AS y,
+         (duration_minutes - md) / CASE WHEN sd IS NULL OR sd = 0 THEN 1 ELSE sd END AS z
+  FROM incidents, st
+),
+dp AS (SELECT x, y, z, min(o) AS pid, count(*) AS w FROM pts GROUP BY x, y, z),
+nb AS (
+  SELECT a.pid AS p, b.pid AS q, b.w
+  FROM dp a JOIN dp b
+    ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.9 * 0.9
+),
+core AS (SELECT p FROM nb GROUP BY p HAVING sum(w) >= 2),
+ce AS (SELECT p, q FROM nb WHERE p IN (SELECT p FROM core) AND q IN (SELECT p FROM core)),
+walk(node, label) AS (
+  SELECT p, p FROM core
+  UNION
+  SELECT ce.q, walk.label FROM walk JOIN ce ON walk.node = ce.p WHERE walk.label < ce.q
+),
+comp AS (SELECT node, min(label) AS label FROM walk GROUP BY node),
+num AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS cid FROM (SELECT DISTINCT label FROM comp) l),
+core_c AS (SELECT comp.node AS pid, num.cid FROM comp JOIN num ON comp.label = num.label),
+border AS (
+  SELECT nb.p AS pid, min(core_c.cid) AS cid FROM nb JOIN core_c ON nb.q = core_c.pid
+  WHERE nb.p NOT IN (SELECT p FROM core) GROUP BY nb.p
+),
+lab AS (
+  SELECT dp.x, dp.y, dp.z, CAST(coalesce(core_c.cid, border.cid, -1) AS BIGINT) AS cluster_id
+  FROM dp LEFT JOIN core_c ON dp.pid = core_c.pid LEFT JOIN border ON dp.pid = border.pid
+)
+SELECT pts.incident_id, lab.cluster_id, CAST(CASE WHEN lab.cluster_id = -1 THEN 1 ELSE 0 END AS INTEGER)
+       AS is_noise_cluster
+FROM pts JOIN lab ON pts.x = lab.x AND pts.y = lab.y AND pts.z = lab.z"""
+    q["cluster_summary"] = q["incident_clusters"].replace(
+        "SELECT pts.incident_id, lab.cluster_id, CAST(CASE WHEN lab.cluster_id = -1 THEN 1 ELSE 0 END AS INTEGER)\n"
+        "       AS is_noise_cluster\nFROM pts JOIN lab ON pts.x = lab.x AND pts.y = lab.y AND pts.z = lab.z",
+        "SELECT lab.cluster_id, count(DISTINCT i.incident_id) AS incidents, avg(i.severity_score) AS avg_severity_score,\n"
+        "       avg(i.alert_count) AS avg_alert_count\n"
+        "FROM pts JOIN lab ON pts.x = lab.x AND pts.y = lab.y AND pts.z = lab.z\n"
+        "JOIN incidents i ON pts.incident_id = i.incident_id WHERE lab.cluster_id <> -1 GROUP BY lab.cluster_id")
+
+    for key in ("incident_clusters", "cluster_summary"):
+        q[key] = "WITH RECURSIVE " + q[key][len("WITH "):]
+
     from alertforge.operators.answers import DEFAULT_TEMPLATE, INTENT_KEYWORDS, INTENT_PRECEDENCE
     from alertforge.schemas import EMPTY_CONTEXT_FALLBACK, ISSUE_TYPE_RULES, DEFAULT_ISSUE_TYPE
 
