@@ -329,12 +329,22 @@ def incident_scaled(incidents: DataFrame) -> DataFrame:
     return standardize(filled, INCIDENT_FEATURES, suffix="_z")
 
 
+def _frozen_scaled(df: DataFrame, order: F.Column, cols: list[str]) -> DataFrame:
+    """(_order, scaled features): raw features frozen once, then standardised, so
+    the statistics and the rows come from the same small checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    raw = df.select(order.cast("long").alias("_order"),
+                    *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]).checkpoint(eager=True)
+    return standardize(raw, cols, suffix="_z")
+
+
 def cluster_incidents(incidents: DataFrame, eps: float = 0.9, min_samples: int = 2) -> DataFrame:
     """DBSCAN over scaled incident features, in incident-id order."""
-    scaled = incident_scaled(incidents).withColumn(
-        "_order", F.regexp_extract("incident_id", r"(\d+)$", 1).cast("long"))
-    out = dbscan(scaled, "_order", [c + "_z" for c in INCIDENT_FEATURES], eps, min_samples, out_col="cluster_id")
-    return (out.drop("_order", *[c + "_z" for c in INCIDENT_FEATURES])
+    order = F.regexp_extract("incident_id", r"(\d+)$", 1).cast("long")
+    scaled = _frozen_scaled(incidents, order, INCIDENT_FEATURES)
+    labels = dbscan(scaled, "_order", [c + "_z" for c in INCIDENT_FEATURES], eps, min_samples,
+                    out_col="cluster_id").select("_order", "cluster_id")
+    return (incidents.withColumn("_order", order).join(labels, "_order", "left").drop("_order")
             .withColumn("is_noise_cluster", (F.col("cluster_id") == -1).cast("int")))
 
 
@@ -346,10 +356,12 @@ def alert_cluster_features(alerts: DataFrame) -> DataFrame:
 
 def cluster_alerts(alerts: DataFrame, order_col: str, eps: float = 0.8, min_samples: int = 3) -> DataFrame:
     """DBSCAN over the scaled six alert features (visiting order ``order_col``)."""
-    feats = alert_cluster_features(alerts).fillna(0, subset=ALERT_FEATURES)
-    scaled = standardize(feats, ALERT_FEATURES, suffix="_z")
-    out = dbscan(scaled, order_col, [c + "_z" for c in ALERT_FEATURES], eps, min_samples, out_col="alert_cluster")
-    return out.drop(*[c + "_z" for c in ALERT_FEATURES])
+    feats = alert_cluster_features(alerts)
+    scaled = _frozen_scaled(feats, F.col(order_col), ALERT_FEATURES)
+    labels = dbscan(scaled, "_order", [c + "_z" for c in ALERT_FEATURES], eps, min_samples,
+                    out_col="alert_cluster").select(F.col("_order").alias("_alert_order"), "alert_cluster")
+    return (feats.join(labels, F.col(order_col).cast("long") == F.col("_alert_order"), "left")
+            .drop("_alert_order"))
 
 
 def brute_force_dbscan(points: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
