@@ -244,6 +244,48 @@ INCIDENT_GOLD_COLS = ("incident_id, device, organization, alert_count, severity_
                       "duration_minutes, root_cause_candidate, incident_cause, description, incident_type")
 
 
+ALERT_F = ["f1", "f2", "f3", "f4", "f5", "f6"]
+def alert_dbscan_sql() -> str:
+    """DBSCAN (eps 0.8, min_samples 3) over the six standardised alert features."""
+    I = incidents_ctes(300)
+    z = ",\n".join(f"(p.{f} - s.m_{f}) / CASE WHEN s.s_{f} IS NULL OR s.s_{f} = 0 THEN 1 ELSE s.s_{f} END AS {f}" for f in ALERT_F)
+    stats = ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in ALERT_F)
+    eq = " AND ".join(f"pts.{f} = lab.{f}" for f in ALERT_F)
+    dist = " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in ALERT_F)
+    cols = ", ".join(ALERT_F)
+    code = lambda c: f"CAST(CASE WHEN {c} IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY {c}) - 1 END AS DOUBLE)"
+    return "WITH RECURSIVE " + I[len("WITH "):] + f""",
+raw AS (
+  SELECT alert_id, row_number() OVER (ORDER BY "timestamp", alert_id) AS o,
+         severity_weight AS f1, {code('severity')} AS f2, {code('source')} AS f3, {code('alert_type')} AS f4,
+         {code('entity_type')} AS f5, CAST(floor(epoch_us("timestamp") / 1000000) AS DOUBLE) AS f6
+  FROM alert_map
+),
+st AS (SELECT {stats} FROM raw),
+pts AS (SELECT p.alert_id, p.o, {z} FROM raw p, st s),
+dp AS (SELECT {cols}, min(o) AS pid, count(*) AS w FROM pts GROUP BY {cols}),
+nb AS (SELECT a.pid AS p, b.pid AS q, b.w FROM dp a JOIN dp b ON {dist} <= 0.8 * 0.8),
+core AS (SELECT p FROM nb GROUP BY p HAVING sum(w) >= 3),
+ce AS (SELECT p, q FROM nb WHERE p IN (SELECT p FROM core) AND q IN (SELECT p FROM core)),
+walk(node, label) AS (
+  SELECT p, p FROM core
+  UNION
+  SELECT ce.q, walk.label FROM walk JOIN ce ON walk.node = ce.p WHERE walk.label < ce.q
+),
+comp AS (SELECT node, min(label) AS label FROM walk GROUP BY node),
+num AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS cid FROM (SELECT DISTINCT label FROM comp) l),
+core_c AS (SELECT comp.node AS pid, num.cid FROM comp JOIN num ON comp.label = num.label),
+border AS (
+  SELECT nb.p AS pid, min(core_c.cid) AS cid FROM nb JOIN core_c ON nb.q = core_c.pid
+  WHERE nb.p NOT IN (SELECT p FROM core) GROUP BY nb.p
+),
+lab AS (
+  SELECT dp.*, CAST(coalesce(core_c.cid, border.cid, -1) AS BIGINT) AS alert_cluster
+  FROM dp LEFT JOIN core_c ON dp.pid = core_c.pid LEFT JOIN border ON dp.pid = border.pid
+)
+SELECT pts.alert_id, lab.alert_cluster FROM pts JOIN lab ON {eq}"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
 
@@ -689,6 +731,7 @@ FROM pts JOIN lab ON pts.x = lab.x AND pts.y = lab.y AND pts.z = lab.z"""
         "FROM pts JOIN lab ON pts.x = lab.x AND pts.y = lab.y AND pts.z = lab.z\n"
         "JOIN incidents i ON pts.incident_id = i.incident_id WHERE lab.cluster_id <> -1 GROUP BY lab.cluster_id")
 
+    q["alert_clusters"] = alert_dbscan_sql()
     for key in ("incident_clusters", "cluster_summary"):
         q[key] = "WITH RECURSIVE " + q[key][len("WITH "):]
 
