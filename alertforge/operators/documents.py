@@ -105,15 +105,17 @@ def recent_incidents_from_context(contexts: DataFrame, id_col: str, context_col:
     """
     if max_items <= 0:
         raise ValueError("max_items must be a positive integer.")
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")  # noqa: E731 - str.strip()
     blocks = (contexts.select(F.col(id_col), F.posexplode(F.split(F.col(context_col), S.CONTEXT_SEPARATOR, -1))
                               .alias("block_no", "block"))
-              .withColumn("block", F.trim("block")).where(F.length("block") > 0))
-    lines = (blocks.select(id_col, "block_no", F.posexplode(F.split("block", "\n")).alias("line_no", "line"))
-             .withColumn("line", F.trim("line"))
+              .withColumn("block", strip(F.col("block"))).where(F.length("block") > 0))
+    lines = (blocks.select(id_col, "block_no",
+                           F.posexplode(F.split("block", r"\r\n|\r|\n")).alias("line_no", "line"))
+             .withColumn("line", strip(F.col("line")))
              .where(F.contains(F.col("line"), F.lit(":"))))
     kv = lines.select(id_col, "block_no", "line_no",
-                      F.trim(F.split_part("line", F.lit(":"), F.lit(1))).alias("k"),
-                      F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("v"))
+                      strip(F.split_part("line", F.lit(":"), F.lit(1))).alias("k"),
+                      strip(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("v"))
     last = kv.groupBy(id_col, "block_no", "k").agg(F.max_by("v", "line_no").alias("v"))
     fields = last.groupBy(id_col, "block_no").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("f"))
     # blocks without any "key: value" line still count (all fields N/A)

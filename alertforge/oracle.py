@@ -851,6 +851,69 @@ cf AS (SELECT qid, {filled} AS p FROM pairs2 WHERE question IS NOT NULL AND leng
 SELECT qid, CASE WHEN length(p) > 12000 THEN regexp_replace(left(p, 12000), '\\s+$', '') ELSE p END AS prompt
 FROM cf""")
 
+    sep_sql = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+
+    def sstrip(x):
+        return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+    q["context_recent"] = ("WITH " + ALERTS[len(""):] if False else incidents_ctes(300)) + "," + QS[len("WITH "):] + f""",
+incdocs AS (
+  SELECT CAST(alert_id AS BIGINT) AS doc_id, document
+  FROM (SELECT alert_id, concat_ws(chr(10), {doc_lines}) AS document FROM alert_map) d
+  WHERE length(trim(document)) > 0
+),""" + embed_ctes("dvec", "incdocs", "doc_id", "document") + "," + embed_ctes(
+        "qvec", "questions", "qid", f"{lit(instr)} || question") + f""",
+cn AS (SELECT doc_id, vector, sqrt(list_sum(list_transform(vector, lambda x: x * x))) AS n FROM dvec),
+qn AS (SELECT qid, vector, sqrt(list_sum(list_transform(vector, lambda x: x * x))) AS n FROM qvec),
+sc AS (
+  SELECT qn.qid, cn.doc_id,
+         round(list_dot_product(qn.vector, cn.vector) / ((CASE WHEN qn.n = 0 THEN 1 ELSE qn.n END)
+                                                         * (CASE WHEN cn.n = 0 THEN 1 ELSE cn.n END)), 6) AS score
+  FROM qn, cn
+),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rk FROM sc) r
+        WHERE rk <= 5),
+ctx AS (
+  SELECT t.qid, string_agg(d.document, {sep_sql} ORDER BY t.rk) AS context
+  FROM top t JOIN incdocs d ON t.doc_id = d.doc_id WHERE length(trim(d.document)) > 0 GROUP BY t.qid
+),
+blk0 AS (
+  SELECT qid, unnest(string_split(context, {sep_sql})) AS b,
+         generate_subscripts(string_split(context, {sep_sql}), 1) AS block_no
+  FROM ctx
+),
+blk AS (SELECT qid, block_no, {sstrip('b')} AS block FROM blk0 WHERE length({sstrip('b')}) > 0),
+ln0 AS (
+  SELECT qid, block_no, unnest(regexp_split_to_array(block, '\r\n|\r|\n')) AS l,
+         generate_subscripts(regexp_split_to_array(block, '\r\n|\r|\n'), 1) AS line_no
+  FROM blk
+),
+ln AS (SELECT qid, block_no, line_no, {sstrip('l')} AS line FROM ln0 WHERE contains({sstrip('l')}, ':')),
+kv AS (
+  SELECT qid, block_no, {sstrip("split_part(line, ':', 1)")} AS k,
+         arg_max({sstrip("substr(line, strpos(line, ':') + 1)")}, line_no) AS v
+  FROM ln GROUP BY qid, block_no, k
+),
+fields AS (
+  SELECT blk.qid, blk.block_no,
+         max(CASE WHEN k = 'Incident ID' THEN v END) AS f_id, max(CASE WHEN k = 'Device' THEN v END) AS f_dev,
+         max(CASE WHEN k = 'Alert Type' THEN v END) AS f_type, max(CASE WHEN k = 'Severity' THEN v END) AS f_sev,
+         max(CASE WHEN k = 'Timestamp' THEN v END) AS f_ts
+  FROM blk LEFT JOIN kv ON blk.qid = kv.qid AND blk.block_no = kv.block_no
+  GROUP BY blk.qid, blk.block_no
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY
+              TRY_CAST(regexp_replace(f_ts, 'Z$', '+00:00') AS TIMESTAMPTZ) DESC NULLS LAST, block_no) AS rnk
+  FROM fields
+)
+SELECT qid, 'Recent Incidents (top ' || CAST(count(*) AS VARCHAR) || '):' || chr(10) ||
+       string_agg(CAST(rnk AS VARCHAR) || '. Incident ID: ' || coalesce(f_id, 'N/A') || ' | Device: ' ||
+                  coalesce(f_dev, 'N/A') || ' | Alert: ' || coalesce(f_type, 'N/A') || ' | Severity: ' ||
+                  coalesce(f_sev, 'N/A') || ' | Timestamp: ' || coalesce(f_ts, 'N/A'), chr(10) ORDER BY rnk)
+         AS recent_incidents
+FROM ranked WHERE rnk <= 3 GROUP BY qid"""
+
     q["answer_intent"] = QS + f"""
 SELECT qid, {intent_case} AS intent FROM pairs"""
 
