@@ -9,6 +9,6 @@ Layers (each a set of pure ``DataFrame -> DataFrame`` functions):
 * ``streaming``  Structured Streaming versions of the same rules
 """
 
-from alertforge.session import get_session, ensure_checkpoint_dir
+from alertforge.session import ensure_checkpoint_dir, get_session, ship_package
 
-__all__ = ["get_session", "ensure_checkpoint_dir"]
+__all__ = ["get_session", "ensure_checkpoint_dir", "ship_package"]

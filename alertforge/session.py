@@ -8,6 +8,7 @@ directory is read from the session and only invented for local runs.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -41,9 +42,32 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``alertforge`` importable in Python workers (what ``--py-files`` does).
+
+    The Arrow-batched tasks (top-k blocks, DBSCAN blocks, forest, encoders)
+    run library functions on executors; the package is zipped once per
+    application and added with ``addPyFile``.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    staging = tempfile.mkdtemp(prefix="alertforge-pkg-")
+    archive = shutil.make_archive(os.path.join(staging, "alertforge"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="alertforge")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting it from the session.
 
