@@ -42,3 +42,21 @@ def test_tickets_once_per_incident(spark, tmp_dir):
     t = STREAM.run_ticket_sink(spark.readStream.schema(schema).parquet(src))
     got = sorted((r["ticket_id"], r["device_name"]) for r in t.collect())
     assert got == [(1, "a"), (2, "b")]
+
+
+def test_ticket_replay_adds_none(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "in")
+    os.makedirs(src)
+    alert_rows([("a", 0, "open"), ("b", 20, "open")]).to_parquet(os.path.join(src, "p1.parquet"),
+                                                              coerce_timestamps="us")
+    schema = spark.read.parquet(src).schema
+    out = os.path.join(tmp_dir, "sink")
+    first = STREAM.run_ticket_sink(spark.readStream.schema(schema).parquet(src), out_dir=out).count()
+    again = STREAM.run_ticket_sink(spark.readStream.schema(schema).parquet(src), out_dir=out).count()
+    # a new file repeating incident "a" and opening "c"
+    alert_rows([("a", 30, "open"), ("c", 40, "open")]).to_parquet(os.path.join(src, "p2.parquet"),
+                                                               coerce_timestamps="us")
+    t = STREAM.run_ticket_sink(spark.readStream.schema(schema).parquet(src), out_dir=out)
+    got = sorted((r["ticket_id"], r["device_name"]) for r in t.collect())
+    assert (first, again) == (2, 2)
+    assert got == [(1, "a"), (2, "b"), (3, "c")]
