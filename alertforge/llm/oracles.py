@@ -25,17 +25,17 @@ WITH d AS (
   SELECT w.rid, doc_id, len(ws) AS n_words,
     length(array_to_string(ws, '')) AS word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
-    len(list_filter(ls, x -> regexp_matches(x, '[^\x20\x09-\x0D]')))
-      - len(list_distinct(list_filter(ls, x -> regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+      - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words,
     len(regexp_extract_all(t, '!')) AS n_excl,
-    len(list_filter(ws, x -> lower(x) IN (
+    len(list_filter(ws, lambda x: lower(x) IN (
       'the', 'of', 'and', 'to', 'in', 'a', 'is', 'that', 'for', 'it', 'was', 'on', 'with', 'be', 'are', 'as', 'by', 'this',
       'der', 'die', 'das', 'und', 'ist', 'von', 'zu', 'den', 'im', 'nicht', 'ein', 'eine', 'mit', 'auf', 'als', 'dem', 'sich',
       'le', 'la', 'les', 'de', 'des', 'et', 'un', 'une', 'du', 'en', 'que', 'pour', 'dans', 'par', 'sur', 'qui', 'au',
       'el', 'los', 'las', 'y', 'se', 'del', 'una', 'con', 'para', 'por', 'es', 'no', 'lo', 'su'))) AS n_stop,
-    len(list_filter(ls, x -> regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n_lines,
-    len(list_filter(ls, x -> regexp_matches(x, '[^\x20\x09-\x0D]') AND (ends_with(x, '...') OR ends_with(x, '…')))) AS n_ell
+    len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]') AND (ends_with(x, '...') OR ends_with(x, '…')))) AS n_ell
   FROM w LEFT JOIN cov USING (rid)
 ), b AS (
   SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m

@@ -29,3 +29,47 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alertforge.llm.quality import BASE_METRICS, quality_columns
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_columns(docs).select("doc_id", *BASE_METRICS, "base_failed", "kept")
+
+
+@query
+def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt uniformly to 40 shards of exact size; ``stretch``-wise slots."""
+    from alertforge.llm.common import text_of
+    from alertforge.llm.sharding import hypergeometric_shuffle
+    text = text_of("text")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return hypergeometric_shuffle(rows, n_shards=40, seed=20).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words each document gives to the mix, in order of first training position."""
+    from alertforge.llm.mixing import mix_plan
+    plan = mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    rows = plan.select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
+        "positions", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))).alias("_copy")).drop("_copy")
+    first = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
+    return (rows.withColumn("_first", first).repartitionByRange("_first", "doc_id")
+            .sortWithinPartitions("_first", "doc_id").drop("_first"))
+
+
+@query
+def op8_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
+    from alertforge.llm.common import work_path
+    from alertforge.llm.tokenfiles import read_documents, write_token_files
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return read_documents(write_token_files(docs, work_path(spark, "token-files")))
+
+
+@query
+def op3_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, with its sequence."""
+    from alertforge.llm.packing import pack_documents
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
