@@ -73,3 +73,29 @@ def op3_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack_documents(docs).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+@query
+def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, from archives written and read back.
+
+    Responses are read with payload, which checks the stored digest against it;
+    revisits are found by a pushed filter and read by their headers.
+    """
+    from alertforge.llm.common import work_path
+    from alertforge.llm.warc import archive_pages, read_archives
+    path = work_path(spark, "warc")
+    archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+
+    def page(column: str):
+        return F.regexp_extract(column, ":(-?[0-9]+)>$", 1)
+
+    def records(kind: str, payload: bool) -> DataFrame:
+        return read_archives(spark, path, payload).where(F.col("record_type") == kind)
+
+    both = (records("response", True).withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload")
+            .unionByName(records("revisit", False).drop("payload")))
+    return both.select(
+        F.when(page("record_id") != "", page("record_id")).cast("long").alias("page_id"),
+        "payload_bytes", "payload_digest", "record_type",
+        F.when(F.col("refers_to").isNotNull(), page("refers_to")).cast("long").alias("refers_to"), "target_uri")
