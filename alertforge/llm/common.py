@@ -22,6 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """UTC session, package on the executors, reliable checkpoint folder."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # rows hold whole texts: keep the batches that go to Python small
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     ship_package(spark)
     ensure_checkpoint_dir(spark)
 

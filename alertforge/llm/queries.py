@@ -99,3 +99,11 @@ def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(page("record_id") != "", page("record_id")).cast("long").alias("page_id"),
         "payload_bytes", "payload_digest", "record_type",
         F.when(F.col("refers_to").isNotNull(), page("refers_to")).cast("long").alias("refers_to"), "target_uri")
+
+
+@query
+def op1_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    from alertforge.llm.neardup import near_duplicate_classes
+    classes = near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classes.select(F.col("node").alias("doc_id"), "class_id")
