@@ -107,3 +107,18 @@ def op1_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alertforge.llm.neardup import near_duplicate_classes
     classes = near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return classes.select(F.col("node").alias("doc_id"), "class_id")
+
+
+@query
+def op6_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; rows with remainder 2 are never fitted on."""
+    from alertforge.llm.toxicity import fit_on, score_documents
+
+    def remainder():
+        return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_on(docs, table(spark, sf_dir, "labels").where(remainder() != 2))
+    return score_documents(docs, model).select(
+        "doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")

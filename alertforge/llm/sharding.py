@@ -127,7 +127,9 @@ def communication_matrix(counts: DataFrame, n_blocks: int, n_rows: int, n_shards
         kids = (counts.groupBy(child.alias("_child")).agg(F.sum("_n").alias("_n"))
                 .groupBy(F.floor(F.col("_child") / FAN_OUT).cast("long").alias("_node"))
                 .agg(F.sort_array(F.collect_list(F.struct("_child", "_n"))).alias("_kids")))
-        drawn = nodes.join(kids, "_node").withColumn("_rows", _draw_children(
+        # a fixed number of tasks: the rows are few and small, the draws are the work
+        tasks = min(FAN_OUT ** (level - 1), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        drawn = nodes.join(kids, "_node").repartition(tasks, "_node").withColumn("_rows", _draw_children(
             F.col("_caps"), F.col("_kids._n"), F.hash(F.lit(level), F.col("_node")), seed))
         nodes = drawn.select(F.explode(F.arrays_zip(F.col("_kids._child").alias("c"), "_rows")).alias("_x")) \
             .select(F.col("_x.c").alias("_node"), F.col("_x._rows").alias("_caps"))
