@@ -10,7 +10,7 @@ function of the largest marginal, their sum and their share of the words.
 clean labelled documents of at most ``MAX_FIT_WORDS`` words, drawn by a hash of
 doc_id among rows the caller allows. Words are labelled from the documents'
 labels: in a toxic document, those whose features are over-represented in toxic
-documents; everything in clean ones is clean. Weights are fitted by gradient
+documents; everything in clean ones is clean. Copies of a sampled text count once. Weights are fitted by gradient
 ascent on the conditional likelihood, with exact marginals. Clean documents
 count by the inverse of their sampling rate, so scores are calibrated to the
 labelled share.
@@ -29,6 +29,7 @@ out. Conflicting labels of a doc_id count as toxic. Extra columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -169,10 +170,30 @@ def _lexicon(docs: list[list[str]], toxic: np.ndarray) -> dict[str, float]:
     return {names[i]: float(odds[i]) for i in best}
 
 
+def _originals(docs: list[list[str]]) -> list[int]:
+    """Indexes of the documents that are no copy of an earlier one.
+
+    Copies share most of their 16 smallest hashes of word triples; a word of a
+    much copied text would otherwise pass for one that many texts chose.
+    """
+    holders: dict[int, list[int]] = {}
+    keep = []
+    for i, words in enumerate(docs):
+        triples = {zlib.crc32(" ".join(words[k:k + 3]).encode()) for k in range(max(1, len(words) - 2))}
+        sketch = sorted(triples)[:16]
+        shared = Counter(j for h in sketch for j in holders.get(h, ()))
+        if shared and max(shared.values()) * 4 >= len(sketch):
+            continue
+        keep.append(i)
+        for h in sketch:
+            holders.setdefault(h, []).append(i)
+    return keep
+
+
 def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0, steps: int = 40) -> ToxicityModel | None:
     """Fit CRF and document head; None without both labels or any telling feature."""
     docs = [split_words(t) for t in texts]
-    used = [i for i, d in enumerate(docs) if d]
+    used = [i for i in _originals(docs) if docs[i]]
     docs, toxic = [docs[i] for i in used], np.array([labels[i] == 1 for i in used], dtype=bool)
     if not len(docs) or toxic.all() or not toxic.any():
         return None
