@@ -122,3 +122,18 @@ def op6_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model).select(
         "doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
+
+
+@query
+def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the base spans, all spans."""
+    from alertforge.llm.pii import KINDS, find_spans, fit_model, span_list
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_spans(docs, fit_model(docs)).select("doc_id", "base", "spans")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in KINDS[:4]],
+                        F.sha2(span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        span_list(F.col("spans")).alias("spans"))
