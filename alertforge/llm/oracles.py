@@ -49,6 +49,46 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b
 """
 
+OP2 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, x.vec_id,
+    list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])) AS score
+  FROM v q JOIN v x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id AND len(q.v) = len(x.v)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 5
+"""
+
+OP5 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    row_number() OVER (ORDER BY source IS NULL, source) - 1 AS k
+  FROM d GROUP BY source
+), w AS (
+  SELECT *, [3, 1, 2][k % 3 + 1] AS weight, 2 * source_size AS cap FROM s
+), l AS (
+  SELECT *, CAST(150 * sum(source_size) OVER () - 100 * coalesce(sum(cap) OVER before, 0) AS DOUBLE)
+      / CAST(100 * sum(weight) OVER after AS DOUBLE) AS level
+  FROM w WINDOW before AS (ORDER BY CAST(source_size AS DOUBLE) / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    after AS (ORDER BY CAST(source_size AS DOUBLE) / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), t AS (
+  SELECT source, source_size, CASE WHEN CAST(cap AS DOUBLE) / weight > level
+      THEN max(CASE WHEN CAST(cap AS DOUBLE) / weight > level THEN level END) OVER () * weight
+      ELSE CAST(cap AS DOUBLE) END AS target
+  FROM l
+)
+SELECT doc_id, size, source_size, target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
 LLM_ORACLES: dict[str, str] = {
+    "op2_pivot_topk": OP2,
     "op9_quality_rules": OP9,
 }

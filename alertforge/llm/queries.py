@@ -137,3 +137,11 @@ def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in KINDS[:4]],
                         F.sha2(span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         span_list(F.col("spans")).alias("spans"))
+
+
+@query
+def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th vector against all others."""
+    from alertforge.llm.topk import quantised, top_k
+    vectors = quantised(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
