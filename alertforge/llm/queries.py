@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from alertforge.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +146,9 @@ def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alertforge.llm.topk import quantised, top_k
     vectors = quantised(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over the documents table."""
+    return corpus_pipeline.run(spark, sf_dir)
