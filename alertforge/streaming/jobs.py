@@ -129,49 +129,63 @@ ESCALATION_SCHEMA = T.StructType([
     T.StructField("opened_at", T.TimestampType()),
     T.StructField("escalated_at", T.TimestampType()),
 ])
-_STATE_SCHEMA = "opened_ms long, resolved_ms long"
+_STATE_SCHEMA = "opened_us long, resolved_us long, done boolean"
 
 
 def escalation_stream(alerts: DataFrame, window: str = "5 minutes", delay_seconds: int = 60,
                       watermark: str = DEFAULT_DELAY, cancel_on_resolve: bool = False) -> DataFrame:
-    """K5: escalate each incident ``delay_seconds`` (event time) after its first alert.
+    """K5: escalate each incident once, ``delay_seconds`` (event time) after its first alert.
 
     Default parity: escalate even when a resolved alert arrived meanwhile;
-    ``cancel_on_resolve`` drops incidents resolved before the deadline.
+    ``cancel_on_resolve`` drops incidents resolved before the deadline. A
+    decided incident keeps a mark until the watermark has passed its window and
+    the delay, after which no alert of the window can arrive.
     """
     secs = INC.window_seconds(window)
     norm = INC.normalize_alerts(alerts).withWatermark("timestamp", watermark)
+    start = AF.floor_time("timestamp", secs)
     keyed = norm.select(
-        incident_key(F.col("organization"), F.col("device"), AF.floor_time("timestamp", secs)).alias("incident_key"),
-        "timestamp", "status")
-    delay_ms = int(delay_seconds) * 1000
+        incident_key(F.col("organization"), F.col("device"), start).alias("incident_key"),
+        (F.unix_micros(start) + F.lit(secs * 1_000_000)).alias("window_end_us"),
+        F.unix_micros("timestamp").alias("us"), "timestamp", "status")
+    delay_us = int(delay_seconds) * 1_000_000
 
     def step(key, pdfs, state):
+        window_end_us = int(key[1])
         if state.hasTimedOut:
-            opened_ms, resolved_ms = state.get
-            state.remove()
-            if cancel_on_resolve and resolved_ms is not None and resolved_ms >= 0 \
-                    and resolved_ms <= opened_ms + delay_ms:
+            opened_us, resolved_us, done = state.get
+            if done:
+                state.remove()
+                return
+            # in milliseconds, the unit of the engine's timers; after the window nothing can reopen it
+            closed_ms = max(window_end_us, opened_us + delay_us) // 1000 + 1
+            if closed_ms <= state.getCurrentWatermarkMs():
+                state.remove()
+            else:
+                state.update((opened_us, resolved_us, True))
+                state.setTimeoutTimestamp(closed_ms)
+            if cancel_on_resolve and resolved_us >= 0 and resolved_us <= opened_us + delay_us:
                 return
             yield pd.DataFrame({"incident_key": [key[0]],
-                                "opened_at": [pd.Timestamp(opened_ms, unit="ms")],
-                                "escalated_at": [pd.Timestamp(opened_ms + delay_ms, unit="ms")]})
+                                "opened_at": [pd.Timestamp(opened_us, unit="us")],
+                                "escalated_at": [pd.Timestamp(opened_us + delay_us, unit="us")]})
             return
-        opened_ms, resolved_ms = state.get if state.exists else (None, -1)
+        opened_us, resolved_us, done = state.get if state.exists else (None, -1, False)
         for pdf in pdfs:
-            ts_ms = (pd.to_datetime(pdf["timestamp"]).astype("int64") // 1_000_000).to_numpy()
-            first = int(ts_ms.min())
-            opened_ms = first if opened_ms is None else min(opened_ms, first)
-            res = ts_ms[(pdf["status"].fillna("").str.lower() == "resolved").to_numpy()]
+            us = pdf["us"].to_numpy()
+            first = int(us.min())
+            if not done:
+                opened_us = first if opened_us is None else min(opened_us, first)
+            res = us[(pdf["status"].fillna("").str.lower() == "resolved").to_numpy()]
             if len(res):
                 r = int(res.min())
-                resolved_ms = r if resolved_ms is None or resolved_ms < 0 else min(resolved_ms, r)
-        state.update((opened_ms, resolved_ms))
-        state.setTimeoutTimestamp(opened_ms + delay_ms)
-        return
-        yield  # noqa: unreachable - marks this as a generator
+                resolved_us = r if resolved_us < 0 else min(resolved_us, r)
+        state.update((opened_us, resolved_us, done))
+        due = max(window_end_us, opened_us + delay_us) // 1000 + 1 if done else (opened_us + delay_us) // 1000
+        # a timer may not lie behind the watermark: an alert within the delay can open an incident already due
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
-    return keyed.groupBy("incident_key").applyInPandasWithState(
+    return keyed.groupBy("incident_key", "window_end_us").applyInPandasWithState(
         step, ESCALATION_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -182,6 +196,13 @@ def escalation_stream(alerts: DataFrame, window: str = "5 minutes", delay_second
 TICKET_COLUMNS = ["ticket_id", "incident_key", "device_name", "issue", "status"]
 
 
+def _path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists, by the file system that Spark itself uses for it."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def run_ticket_sink(alerts: DataFrame, window: str = "5 minutes", min_severity: str | None = None,
                     out_dir: str | None = None) -> DataFrame:
     """K6: at most one OPEN ticket per incident, appended per micro-batch.
@@ -209,11 +230,10 @@ def run_ticket_sink(alerts: DataFrame, window: str = "5 minutes", min_severity:
                .select(incident_key(F.col("organization"), F.col("device"), F.col("time_window"))
                        .alias("incident_key"), F.col("device").alias("device_name"), "issue"))
         bs = batch.sparkSession
-        try:
+        existing = None
+        if _path_exists(bs, table_path):  # any other failure to read it surfaces
             # tickets of earlier batches only: a retried batch replaces its own folder
             existing = bs.read.parquet(table_path).where(F.col("batch") != batch_id)
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            existing = None
         if existing is not None:
             inc = inc.join(existing.select("incident_key"), "incident_key", "left_anti")
             offset = existing.select(F.coalesce(F.max("ticket_id"), F.lit(0)).cast("long")).first()[0]
@@ -227,8 +247,8 @@ def run_ticket_sink(alerts: DataFrame, window: str = "5 minutes", min_severity:
     q = (norm.writeStream.foreachBatch(handle).option("checkpointLocation", f"{out}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
+    if _path_exists(spark, table_path):
         return spark.read.parquet(table_path).select(*TICKET_COLUMNS)
-    except Exception:  # noqa: BLE001 - nothing arrived
-        schema = "ticket_id long, incident_key string, device_name string, issue string, status string"
-        return spark.createDataFrame([], schema)
+    # nothing arrived
+    schema = "ticket_id long, incident_key string, device_name string, issue string, status string"
+    return spark.createDataFrame([], schema)

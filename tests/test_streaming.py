@@ -3,6 +3,7 @@ import datetime as dt
 import os
 
 import pandas as pd
+import pytest
 
 from alertforge.streaming import jobs as STREAM
 
@@ -60,3 +61,34 @@ def test_ticket_replay_adds_none(spark, tmp_dir):
     got = sorted((r["ticket_id"], r["device_name"]) for r in t.collect())
     assert (first, again) == (2, 2)
     assert got == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_escalates_once_over_out_of_order_files(spark, tmp_dir):
+    # one row per file: "a" is escalated, then more alerts of its window arrive inside the watermark
+    src = os.path.join(tmp_dir, "in")
+    os.makedirs(src)
+    rows = alert_rows([("a", 0, "open"), ("z", 90, "open"), ("z", 95, "open"), ("a", 200, "open"), ("a", 150, "open"),
+                       ("z", 290, "open"), ("z", 3000, "open"), ("z", 3001, "open")])
+    rows["timestamp"] += pd.Timedelta(microseconds=123)
+    for i in range(len(rows)):
+        path = os.path.join(src, f"p{i}.parquet")
+        rows.iloc[i:i + 1].to_parquet(path, coerce_timestamps="us")
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    schema = spark.read.parquet(src).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = STREAM.run_available(STREAM.escalation_stream(stream, watermark="20 seconds"), "esc-once").collect()
+    of_a = [r for r in got if r["incident_key"].split("|")[1] == "a"]
+    assert len(of_a) == 1
+    assert of_a[0]["opened_at"].microsecond == 123  # event time is kept whole
+
+
+def test_ticket_table_errors_surface(spark, tmp_dir):
+    src, out = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "out")
+    os.makedirs(src)
+    alert_rows([("a", 0, "open")]).to_parquet(os.path.join(src, "p1.parquet"), coerce_timestamps="us")
+    schema = spark.read.parquet(src).schema
+    os.makedirs(os.path.join(out, "tickets", "batch=0"))
+    with open(os.path.join(out, "tickets", "batch=0", "part-0.parquet"), "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):
+        STREAM.run_ticket_sink(spark.readStream.schema(schema).parquet(src), out_dir=out)
