@@ -228,7 +228,7 @@ def _edge_fn(eps: float):
     return fn
 
 
-def _propagate(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def _propagate(edges: DataFrame) -> DataFrame:
     """Min-label connected components: (node, label) for every node in ``edges``."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
@@ -236,7 +236,7 @@ def _propagate(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     und = und.distinct().checkpoint(eager=True)
     labels = und.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("label")) \
         .select(F.col("src").alias("node"), "label").checkpoint(eager=True)
-    for _ in range(max_rounds):
+    while True:  # until no label moves, whatever the number of rounds
         prop = (und.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("nl")), "dst")
                 .groupBy("src").agg(F.min("nl").alias("nl")))
         step = (labels.join(prop.select(F.col("src").alias("node"), "nl"), "node", "left")
@@ -251,7 +251,6 @@ def _propagate(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         labels = new.drop("_chg")
         if changed == 0:
             return labels
-    raise RuntimeError("connected components did not converge")
 
 
 def dbscan(df: DataFrame, order_col: str, feature_cols: list[str], eps: float, min_samples: int,

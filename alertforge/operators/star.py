@@ -95,21 +95,11 @@ def fact_incidents(silver: DataFrame, devices: DataFrame, orgs: DataFrame, types
     return numbered.select(
         "incident_key", "correlation_id", "device_key", "organization_key", "alert_type_key",
         "start_time_key", "end_time_key",
-        (F.col("end_time") - F.col("start_time")).alias("incident_duration"),
+        (F.unix_micros("end_time") - F.unix_micros("start_time")).alias("incident_duration"),
         "alert_count", "severity", "synthetic",
         F.lit("OPEN").alias("incident_status"))
 
 
-def split_incident_status(facts: DataFrame, seed: int = 42, resolved_pct: int = 50) -> DataFrame:
-    """A stable, seeded half of the incidents becomes RESOLVED (hash based,
-    so it does not depend on partitioning), the rest stays OPEN."""
-    # md5 of "<seed>:<key>": stable, independent of partitioning, reproducible in SQL
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("incident_key").cast("string")))
-    bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(100))
-    return facts.withColumn("incident_status",
-                            F.when(bucket < resolved_pct, F.lit("RESOLVED")).otherwise(F.lit("OPEN")))
-
-
 def create_tickets(incidents: DataFrame, existing: DataFrame | None = None,
                    min_severity: str | None = None) -> DataFrame:
     """One OPEN ticket per incident that has none yet.

@@ -119,7 +119,8 @@ ev AS (
          ' Dev-' || CAST(user_id % 10 AS VARCHAR) || ' ' AS _dev,
          'SN' || CAST(user_id AS VARCHAR) AS _serial,
          CASE event_id % 4 WHEN 0 THEN 'OK' WHEN 1 THEN 'triggered' WHEN 2 THEN 'Cleared' ELSE NULL END AS _state,
-         CAST(date_trunc('day', CAST(ts AS TIMESTAMP)) AS TIMESTAMP) AS _day,
+         CASE WHEN event_id % 2 = 1 THEN date_trunc('minute', CAST(ts AS TIMESTAMP))
+              ELSE CAST(date_trunc('day', CAST(ts AS TIMESTAMP)) AS TIMESTAMP) END AS _day,
          event_id % 10 = 0 AS _synthetic,
          CAST(ts AS TIMESTAMP) AS _ingest,
          CASE WHEN value >= 113 THEN 'critical' WHEN value >= 60 THEN 'Warning'
@@ -202,7 +203,7 @@ fact_incidents AS (
            f.alert_type NULLS FIRST, f.severity NULLS FIRST) AS incident_key,
          f.correlation_id, d.device_key, o.organization_key, t.alert_type_key,
          ts.time_key AS start_time_key, te.time_key AS end_time_key,
-         f.end_time - f.start_time AS incident_duration, f.alert_count, f.severity, f.synthetic,
+         epoch_us(f.end_time) - epoch_us(f.start_time) AS incident_duration, f.alert_count, f.severity, f.synthetic,
          'OPEN' AS incident_status
   FROM fact_groups f
   LEFT JOIN (SELECT device_name, min(device_key) AS device_key FROM dim_device GROUP BY 1) d
@@ -479,12 +480,6 @@ FROM silver"""
     q["dim_alert_type"] = "WITH " + STAR_CTES + " SELECT * FROM dim_alert_type"
     q["dim_time"] = "WITH " + STAR_CTES + " SELECT * FROM dim_time"
     q["fact_incidents"] = "WITH " + STAR_CTES + " SELECT * FROM fact_incidents"
-    q["incident_status"] = "WITH " + STAR_CTES + """
-SELECT incident_key, correlation_id, device_key, organization_key, alert_type_key, start_time_key, end_time_key,
-       incident_duration, alert_count, severity, synthetic,
-       CASE WHEN ('0x' || substr(md5('42:' || CAST(incident_key AS VARCHAR)), 1, 8))::BIGINT % 100 < 50
-            THEN 'RESOLVED' ELSE 'OPEN' END AS incident_status
-FROM fact_incidents"""
     q["tickets"] = "WITH " + STAR_CTES + """
 SELECT row_number() OVER (ORDER BY incident_key) AS ticket_id, incident_key AS incident_id,
        CAST(device_key AS VARCHAR) AS device_name, CAST(alert_type_key AS VARCHAR) AS issue, 'OPEN' AS status
@@ -670,12 +665,14 @@ FROM incidents WHERE time_window + INTERVAL 5 MINUTE <= {closed}"""
     q["stream_escalation"] = I + """,
 esc AS (
   SELECT organization || '|' || device || '|' || CAST(epoch_us(time_window) AS VARCHAR) AS incident_key,
-         epoch_us(start_time) // 1000 AS opened_ms
+         epoch_us(start_time) AS opened_us
   FROM incidents
 )
-SELECT incident_key, make_timestamp(opened_ms * 1000) AS opened_at,
-       make_timestamp((opened_ms + 60000) * 1000) AS escalated_at
-FROM esc WHERE opened_ms + 60000 < (SELECT epoch_us(max("timestamp")) // 1000 - 600000 FROM alerts)"""
+SELECT incident_key, make_timestamp(opened_us) AS opened_at,
+       make_timestamp(opened_us + 60000000) AS escalated_at
+FROM esc
+-- the stream engine's own clock (watermark and timers) runs in milliseconds
+WHERE opened_us // 1000 + 60000 < (SELECT epoch_us(max("timestamp")) // 1000 - 600000 FROM alerts)"""
     q["stream_timeline"] = I + f"""
 SELECT time_window AS "timestamp", count(alert_id) AS alerts_count FROM alert_map
 WHERE time_window + INTERVAL 5 MINUTE <= {closed} GROUP BY time_window"""
@@ -759,12 +756,12 @@ FROM pts JOIN lab ON pts.x = lab.x AND pts.y = lab.y AND pts.z = lab.z"""
     prefix_case = "CASE conv_id % 8 " + " ".join(
         f"WHEN {i} THEN {lit(p)}" for i, p in enumerate(prefixes[:-1])) + f" ELSE {lit(prefixes[-1])} END"
     QS = f"""WITH questions AS (
-  SELECT conv_id * 1000 + turn AS qid, concat_ws(' ', {prefix_case}, text) AS question
+  SELECT conv_id || ':' || turn AS qid, concat_ws(' ', {prefix_case}, text) AS question
   FROM conversations WHERE role = 'user'
 ),
 pairs AS (
   SELECT q.qid, q.question, r.text AS context FROM questions q
-  LEFT JOIN (SELECT conv_id * 1000 + turn - 1 AS qid, text FROM conversations WHERE role = 'assistant') r
+  LEFT JOIN (SELECT conv_id || ':' || (turn - 1) AS qid, text FROM conversations WHERE role = 'assistant') r
     ON q.qid = r.qid
 )"""
     q["issue_type"] = QS + f" SELECT qid, {issue_case} AS issue_type FROM questions"
@@ -773,14 +770,8 @@ pairs AS (
     ctx = f"CASE WHEN context IS NULL OR length({strip('context')}) = 0 THEN {lit(EMPTY_CONTEXT_FALLBACK)} ELSE context END"
     filled = f"replace(replace({lit(DEFAULT_TEMPLATE)}, '{{context}}', {strip(ctx)}), '{{question}}', {strip('question')})"
     q["build_prompts"] = QS + f""",
-filled AS (SELECT qid, {filled} AS p FROM pairs WHERE question IS NOT NULL AND length({strip('question')}) > 0),
-cut AS (
-  SELECT qid, CASE WHEN strpos(p, '━━━ STEP 5') > 0
-                   THEN regexp_replace(left(p, strpos(p, '━━━ STEP 5') - 1), '\\s+$', '') ELSE p END AS p
-  FROM filled
-)
-SELECT qid, CASE WHEN length(p) > 12000 THEN regexp_replace(left(p, 12000), '\\s+$', '') ELSE p END AS prompt
-FROM cut"""
+filled AS (SELECT qid, {filled} AS p FROM pairs WHERE question IS NOT NULL AND length({strip('question')}) > 0)
+SELECT qid, p AS prompt FROM filled"""
 
     def norm(x):
         return strip(f"regexp_replace(replace(lower({x}), ',', ''), '\\s+', ' ', 'g')")
@@ -848,8 +839,7 @@ ctx AS (
 ),
 pairs2 AS (SELECT q.qid, q.question, ctx.context FROM questions q LEFT JOIN ctx ON q.qid = ctx.qid),
 cf AS (SELECT qid, {filled} AS p FROM pairs2 WHERE question IS NOT NULL AND length({strip('question')}) > 0)
-SELECT qid, CASE WHEN length(p) > 12000 THEN regexp_replace(left(p, 12000), '\\s+$', '') ELSE p END AS prompt
-FROM cf""")
+SELECT qid, p AS prompt FROM cf""")
 
     sep_sql = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 

@@ -24,6 +24,7 @@ from alertforge.operators import silver as SIL
 from alertforge.operators import star as STAR
 from alertforge.operators import vectors as VEC
 from alertforge import schemas as S
+from alertforge.session import ensure_checkpoint_dir
 from alertforge.sources import testdata as TD
 from alertforge.streaming import jobs as STREAM
 
@@ -73,6 +74,11 @@ def core(spark: SparkSession, sf: str, window: str = "5min"):
     return INC.build_incidents(TD.canonical_alerts(spark, sf), window)
 
 
+def normalized(spark: SparkSession, sf: str):
+    """Alerts for counts that use no incident column: no grouping, no join."""
+    return INC.normalize_alerts(TD.canonical_alerts(spark, sf))
+
+
 INCIDENT_FEATURE_COLS = [
     "incident_id", "organization", "device", "alert_count", "severity_score", "critical_alert_count",
     "start_time", "end_time", "duration_minutes", "root_cause_candidate", "incident_cause", "description",
@@ -111,8 +117,7 @@ def q_device_features(spark, sf):
 
 @register("alert_stats")
 def q_alert_stats(spark, sf):
-    _, mapping = core(spark, sf)
-    return GOLD.build_alert_stats_gold(mapping)
+    return GOLD.build_alert_stats_gold(normalized(spark, sf))
 
 
 @register("timeline")
@@ -129,14 +134,12 @@ def q_top_failing_devices(spark, sf):
 
 @register("alert_types_freq")
 def q_alert_types_freq(spark, sf):
-    _, mapping = core(spark, sf)
-    return REP.most_frequent_alert_types(mapping)
+    return REP.most_frequent_alert_types(normalized(spark, sf))
 
 
 @register("severity_distribution")
 def q_severity_distribution(spark, sf):
-    _, mapping = core(spark, sf)
-    return REP.severity_distribution(mapping)
+    return REP.severity_distribution(normalized(spark, sf))
 
 
 @register("incident_trends")
@@ -178,8 +181,7 @@ def q_top_descriptions(spark, sf):
 
 @register("alert_contexts")
 def q_alert_contexts(spark, sf):
-    _, mapping = core(spark, sf)
-    return REP.alert_contexts(mapping)
+    return REP.alert_contexts(normalized(spark, sf))
 
 
 @register("recent_alerts")
@@ -258,7 +260,8 @@ def q_dim_time(spark, sf):
 
 
 def star(spark, sf):
-    s = silver(spark, sf).persist()
+    ensure_checkpoint_dir(spark)
+    s = silver(spark, sf).checkpoint()  # every dimension reads it; nothing stays cached
     devices, orgs, types = STAR.dim_device(s), STAR.dim_organization(s), STAR.dim_alert_type(s)
     times = STAR.dim_time(STAR.fact_groups(s))
     return STAR.fact_incidents(s, devices, orgs, types, times)
@@ -269,11 +272,6 @@ def q_fact_incidents(spark, sf):
     return star(spark, sf)
 
 
-@register("incident_status")
-def q_incident_status(spark, sf):
-    return STAR.split_incident_status(star(spark, sf), seed=42)
-
-
 @register("tickets")
 def q_tickets(spark, sf):
     return STAR.create_tickets(star(spark, sf))
@@ -433,15 +431,13 @@ def q_embed_documents(spark, sf):
 # --------------------------------------------------------------------------
 # questions, prompts and answers
 # --------------------------------------------------------------------------
-PROMPT_MODEL = "any-8b"
-
 
 def question_pairs(spark, sf):
     """User questions with the next assistant turn of the same conversation as context."""
     conv = TD.table(spark, sf, "conversations")
     q = TD.questions(spark, sf)
     replies = conv.where(F.col("role") == "assistant").select(
-        (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("qid"), F.col("text").alias("context"))
+        F.concat_ws(":", F.col("conv_id"), F.col("turn") - 1).alias("qid"), F.col("text").alias("context"))
     return q.join(replies, "qid", "left")
 
 
@@ -458,7 +454,7 @@ def synthetic_answers(spark, sf):
 
 @register("build_prompts")
 def q_build_prompts(spark, sf):
-    p = ANS.build_prompts(question_pairs(spark, sf), "context", "question", model=PROMPT_MODEL)
+    p = ANS.build_prompts(question_pairs(spark, sf), "context", "question", )
     return p.select("qid", "prompt")
 
 

@@ -104,7 +104,8 @@ def _vendor_common(events: DataFrame) -> DataFrame:
         F.concat(F.lit(" Dev-"), (uid % 10).cast("string"), F.lit(" ")).alias("_dev"),
         F.concat(F.lit("SN"), uid.cast("string")).alias("_serial"),
         _pick(eid % 4, EVENT_STATE_BY_MOD4).alias("_state"),
-        F.date_trunc("day", F.col("ts").cast("timestamp")).alias("_day"),
+        F.when(eid % 2 == 1, F.date_trunc("minute", F.col("ts").cast("timestamp")))
+        .otherwise(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("_day"),
         (eid % 10 == 0).alias("_synthetic"),
         F.col("ts").cast("timestamp").alias("_ingest"),
     )
@@ -196,6 +197,6 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     prefix = _pick(F.col("conv_id") % len(QUESTION_PREFIXES), QUESTION_PREFIXES)
     return conv.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
+        F.concat_ws(":", "conv_id", "turn").alias("qid"),
         F.concat_ws(" ", prefix, F.col("text")).alias("question"),
     )

@@ -38,10 +38,14 @@ def test_resolution_steps_completed(spark):
 def test_prompt_fallback_and_cut(spark):
     df = spark.createDataFrame([(1, None, "why?"), (2, "ctx", "  "), (3, "x" * 20000, "q")],
                                "id int, c string, q string")
-    got = {r["id"]: r["prompt"] for r in ANS.build_prompts(df, "c", "q", model="m-8b").collect()}
-    assert 2 not in got
-    assert S.EMPTY_CONTEXT_FALLBACK in got[1] and "STEP 5" not in got[1]
-    assert len(got[3]) <= S.MAX_PROMPT_CHARS
+    whole = {r["id"]: r for r in ANS.build_prompts(df, "c", "q").collect()}
+    assert 2 not in whole
+    assert S.EMPTY_CONTEXT_FALLBACK in whole[1]["prompt"] and "STEP 5" in whole[1]["prompt"]
+    assert "x" * 20000 in whole[3]["prompt"] and not whole[3]["prompt_cut"]
+    cut = {r["id"]: r for r in ANS.build_prompts(df, "c", "q", drop_examples=True,
+                                                 max_chars=S.MAX_PROMPT_CHARS).collect()}
+    assert "STEP 5" not in cut[1]["prompt"]
+    assert len(cut[3]["prompt"]) <= S.MAX_PROMPT_CHARS and cut[3]["prompt_cut"]
 
 
 def test_intents(spark):
@@ -80,3 +84,13 @@ def test_pluggable_encoder(spark):
     got = {r["id"]: r["vector"] for r in pandas_encoder_embed(df, "id", "text", factory, batch_size=1).collect()}
     assert sorted(got) == [1, 3]
     assert np.allclose(got[1], [3 / np.sqrt(18), 3 / np.sqrt(18)]) and np.allclose(got[3], [1.0, 0.0])
+
+
+def test_question_ids_keep_every_turn_apart(spark, tmp_dir):
+    from alertforge.plans.registry import question_pairs
+    rows = [(1, 1, "user", "q1"), (1, 2, "assistant", "r1"), (1, 1001, "user", "q2"), (1, 1002, "assistant", "r2"),
+            (2, 1, "user", "q3"), (2, 2, "assistant", "r3")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(
+        f"{tmp_dir}/conversations.parquet")
+    got = {r["qid"]: r["context"] for r in question_pairs(spark, tmp_dir).collect()}
+    assert got == {"1:1": "r1", "1:1001": "r2", "2:1": "r3"}

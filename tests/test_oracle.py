@@ -9,6 +9,7 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 sys.path.insert(0, ROOT)
 
 import __spark_entry__ as E  # noqa: E402
+from alertforge.plans.registry import REGISTRY  # noqa: E402
 from compare import compare, duck  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -20,7 +21,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(k for k in E.queries() if k not in SLOW))
+@pytest.mark.parametrize("name", sorted(k for k in REGISTRY if k not in SLOW))
 def test_query_matches_oracle(spark, con, name):
     ok, msg = compare(spark, name, SF, con)
     assert ok, msg
