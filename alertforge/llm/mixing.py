@@ -58,7 +58,7 @@ def demand_inverse(share: Column, knots: tuple[tuple[float, float], ...]) -> Col
             dt = need / F.lit(f0)
         else:  # f0 dt + slope dt^2 / 2 = need, in the form that does not cancel
             root = F.sqrt(F.greatest(F.lit(0.0), F.lit(f0 * f0) + F.lit(2 * slope) * need))
-            dt = F.lit(2.0) * need / (F.lit(f0) + root)
+            dt = F.lit(2.0) * need / F.greatest(F.lit(1e-300), F.lit(f0) + root)
         out = F.when(share * F.lit(total) < F.lit(reached), F.lit(t0) + dt).otherwise(out)
         reached = start
     return F.least(F.greatest(out, F.lit(float(knots[0][0]))), F.lit(float(knots[-1][0])))

@@ -65,7 +65,8 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 5
 """
 
-OP5 = r"""
+# size, source and target only: which documents are taken depends on a hash
+OP5_TARGETS = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size FROM documents
 ), s AS (
