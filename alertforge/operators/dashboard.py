@@ -21,52 +21,70 @@ def _dim(values: DataFrame, col: str, key: str) -> DataFrame:
     return ordinals_by_range(distinct, [col], key).select(key, col)
 
 
-def build_dashboard_model(alerts: DataFrame, incidents: DataFrame) -> dict[str, DataFrame]:
+class DashboardModel(dict):
+    """Tables by name, each built when first asked for: a view pays only for the tables it reads."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        table = super().__getitem__(name)
+        if not isinstance(table, DataFrame):
+            table = table()
+            self[name] = table
+        return table
+
+
+def build_dashboard_model(alerts: DataFrame, incidents: DataFrame) -> DashboardModel:
     """From normalised alerts (with incident ids) and incidents -> dashboard tables."""
     a = alerts.withColumn("occurred_at", F.date_trunc("hour", "timestamp"))
-    dim_devices = _dim(a.select(F.col("device").alias("device_name")), "device_name", "device_id")
-    dim_severity = _dim(a, "severity", "severity_id")
-    dim_alert_types = _dim(a, "alert_type", "alert_type_id")
-    dim_time = _dim(a, "occurred_at", "time_id")
-    fact = (a.join(dim_devices, a["device"] == dim_devices["device_name"], "left")
-            .join(dim_severity, "severity", "left")
-            .join(dim_alert_types, "alert_type", "left")
-            .join(dim_time, "occurred_at", "left")
-            .select("alert_id", "device_id", "alert_type_id", "severity_id", "time_id",
-                    F.col("description").alias("alert_message")))
-    summary = (alerts.groupBy(F.col("device").alias("device_name"))
-               .agg(F.count("alert_id").alias("total_alerts"),
-                    F.sum((F.col("severity") == "critical").cast("long")).alias("critical_alerts"),
-                    F.count_distinct("incident_id").alias("incidents_count")))
-    inc = incidents.select("incident_id", F.col("device").alias("device_name"), "organization",
-                           "alert_count", "severity_score", "start_time", "incident_type")
-    return {
+    model = DashboardModel()
+
+    def fact() -> DataFrame:
+        devices = model["dim_devices"]
+        return (a.join(devices, a["device"] == devices["device_name"], "left")
+                .join(model["dim_severity"], "severity", "left")
+                .join(model["dim_alert_types"], "alert_type", "left")
+                .join(model["dim_time"], "occurred_at", "left")
+                .select("alert_id", "device_id", "alert_type_id", "severity_id", "time_id",
+                        F.col("description").alias("alert_message")))
+
+    model.update({
+        "dim_devices": lambda: _dim(a.select(F.col("device").alias("device_name")), "device_name", "device_id"),
+        "dim_severity": lambda: _dim(a, "severity", "severity_id"),
+        "dim_alert_types": lambda: _dim(a, "alert_type", "alert_type_id"),
+        "dim_time": lambda: _dim(a, "occurred_at", "time_id"),
         "fact_alerts": fact,
-        "dim_devices": dim_devices,
-        "dim_severity": dim_severity,
-        "dim_alert_types": dim_alert_types,
-        "dim_time": dim_time,
-        "device_alert_summary": summary,
-        "incidents": inc,
-    }
-
-
-def apply_device_filter(model: dict[str, DataFrame], devices: list[str]) -> dict[str, DataFrame]:
+        "device_alert_summary": lambda: (
+            alerts.groupBy(F.col("device").alias("device_name"))
+            .agg(F.count("alert_id").alias("total_alerts"),
+                 F.sum((F.col("severity") == "critical").cast("long")).alias("critical_alerts"),
+                 F.count_distinct("incident_id").alias("incidents_count"))),
+        "incidents": lambda: incidents.select(
+            "incident_id", F.col("device").alias("device_name"), "organization", "alert_count", "severity_score",
+            "start_time", "incident_type"),
+    })
+    return model
+
+
+def apply_device_filter(model: DashboardModel, devices: list[str]) -> DashboardModel:
     """B19 + C10: keep rows of the selected devices in alerts, summary, incidents."""
     if not devices:
         return model
-    spark = model["fact_alerts"].sparkSession
-    # the selection is user input (a handful of names), not data
-    selected = spark.createDataFrame([(d,) for d in devices], "device_name string")
-    ids = model["dim_devices"].join(selected, "device_name", "left_semi").select("device_id")
-    out = dict(model)
-    out["fact_alerts"] = model["fact_alerts"].join(ids, "device_id", "left_semi")
-    out["device_alert_summary"] = model["device_alert_summary"].join(selected, "device_name", "left_semi")
-    out["incidents"] = model["incidents"].join(selected, "device_name", "left_semi")
+
+    def selected() -> DataFrame:
+        # the selection is user input (a handful of names), not data
+        return model["incidents"].sparkSession.createDataFrame([(d,) for d in devices], "device_name string")
+
+    def fact() -> DataFrame:
+        ids = model["dim_devices"].join(selected(), "device_name", "left_semi").select("device_id")
+        return model["fact_alerts"].join(ids, "device_id", "left_semi")
+
+    out = DashboardModel(model)
+    out["fact_alerts"] = fact
+    out["device_alert_summary"] = lambda: model["device_alert_summary"].join(selected(), "device_name", "left_semi")
+    out["incidents"] = lambda: model["incidents"].join(selected(), "device_name", "left_semi")
     return out
 
 
-def kpis(model: dict[str, DataFrame]) -> DataFrame:
+def kpis(model: DashboardModel) -> DataFrame:
     """Four headline numbers, one row."""
     fact = model["fact_alerts"]
     n_alerts = fact.select(F.count(F.lit(1))).scalar()
@@ -78,29 +96,29 @@ def kpis(model: dict[str, DataFrame]) -> DataFrame:
         n_incidents.alias("incidents"), n_types.alias("unique_alert_types"))
 
 
-def severity_counts(model: dict[str, DataFrame]) -> DataFrame:
+def severity_counts(model: DashboardModel) -> DataFrame:
     """D21 + C11: alerts per severity id with its label."""
     counts = model["fact_alerts"].groupBy("severity_id").agg(F.count(F.lit(1)).alias("count"))
     return counts.join(model["dim_severity"], "severity_id", "left").select("severity_id", "severity", "count")
 
 
-def alert_type_counts(model: dict[str, DataFrame]) -> DataFrame:
+def alert_type_counts(model: DashboardModel) -> DataFrame:
     return model["fact_alerts"].groupBy("alert_type_id").agg(F.count(F.lit(1)).alias("count"))
 
 
-def alerts_over_time(model: dict[str, DataFrame]) -> DataFrame:
+def alerts_over_time(model: DashboardModel) -> DataFrame:
     """C9 + D21: alerts per time-dimension timestamp."""
     merged = model["fact_alerts"].join(model["dim_time"], "time_id", "left")
     return merged.groupBy(F.col("occurred_at").alias("datetime")).agg(F.count(F.lit(1)).alias("alerts"))
 
 
-def top_devices(model: dict[str, DataFrame], n: int = 10) -> DataFrame:
+def top_devices(model: DashboardModel, n: int = 10) -> DataFrame:
     """devices generating most alerts."""
     return (model["device_alert_summary"].orderBy(F.desc("total_alerts"), "device_name").limit(n)
             .select("device_name", "total_alerts"))
 
 
-def device_alerts(model: dict[str, DataFrame], device: str) -> DataFrame:
+def device_alerts(model: DashboardModel, device: str) -> DataFrame:
     """Messages and ids of one device's alerts (id looked up by name)."""
     ids = model["dim_devices"].where(F.col("device_name") == device).select("device_id")
     return model["fact_alerts"].join(ids, "device_id", "left_semi").select("alert_message", "alert_id")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from alertforge.operators.ordinals import ordinals_by_range
 from alertforge.session import ensure_checkpoint_dir
 
 EULER_GAMMA = 0.5772156649015329
@@ -93,7 +94,9 @@ def isolation_forest(df: DataFrame, key_col: str, feature_cols: list[str], n_tre
     ``is_anomalous`` (1 for the ``contamination`` share with the lowest scores)."""
     spark = df.sparkSession
     feats = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feature_cols])
-    data = df.withColumn("_x", feats)
+    ensure_checkpoint_dir(spark)
+    # sampled, checked and scored: the input must not be computed each time
+    data = df.withColumn("_x", feats).checkpoint(eager=True)
     n = data.count()
     if n == 0:
         return df.withColumn("anomaly_score", F.lit(None).cast("double")).withColumn("is_anomalous", F.lit(None).cast("int"))
@@ -139,10 +142,14 @@ def isolation_forest(df: DataFrame, key_col: str, feature_cols: list[str], n_tre
             yield pdf.assign(_score=-np.power(2.0, -mean_len / denom))
 
     schema = T.StructType(list(data.schema.fields) + [T.StructField("_score", T.DoubleType())])
-    ensure_checkpoint_dir(spark)
     # scores are read twice (threshold, output): keep them instead of re-scoring
     scored = data.mapInPandas(score, schema).checkpoint(eager=True)
-    threshold = scored.select(F.percentile("_score", F.lit(float(contamination)))).scalar()
+    # the interpolated percentile from the two scores around it, found by exact rank
+    place = (n - 1) * float(contamination)
+    low, high = math.floor(place) + 1, math.ceil(place) + 1
+    ranked = ordinals_by_range(scored.select("_score"), ["_score"], "_rank")
+    at = {r["_rank"]: r["_score"] for r in ranked.where(F.col("_rank").isin(low, high)).collect()}
+    threshold = F.lit(at[low] + (at[high] - at[low]) * (place - math.floor(place)))
     return (scored.withColumn("anomaly_score", F.col("_score") - threshold)
             .withColumn("is_anomalous", (F.col("anomaly_score") < 0).cast("int"))
             .drop("_x", "_score"))
