@@ -1,12 +1,15 @@
 """Gold star schema from silver: dimensions, time keys, fact incidents, tickets.
 
-Covers G3, C8, C12, C13, D15, E6, B21. Lookups are joins (no per-row
+Covers G3, C8, C12, C13, D15, E6. Lookups are joins (no per-row
 queries); surrogate keys are exact global ordinals over the natural key
 order, offset by the current maximum key on incremental loads.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +23,10 @@ def _with_keys(df: DataFrame, order: list[str], key: str, existing: DataFrame |
                natural: list[str]) -> DataFrame:
     """C12 + E6: insert-if-absent with new surrogate keys after the current max."""
     if existing is not None:
-        df = df.join(existing.select(*natural), natural, "left_anti")
+        known = existing.select(*[F.col(c).alias(f"_{c}") for c in natural])
+        # null-safe: a key with a null part is inserted once, too
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in natural])
+        df = df.join(known, same, "left_anti")
         offset = existing.select(F.coalesce(F.max(key), F.lit(0)).cast("long")).scalar()
     else:
         offset = F.lit(0).cast("long")

@@ -476,6 +476,23 @@ SELECT alert_id, source_system AS source, event_time AS "timestamp", organizatio
        NULL::VARCHAR AS description, 'None' AS cause
 FROM silver"""
     q["dim_device"] = "WITH " + STAR_CTES + " SELECT * FROM dim_device"
+    q["dim_device_incremental"] = "WITH " + STAR_CTES + """,
+old AS (
+  SELECT row_number() OVER (ORDER BY device_name NULLS FIRST, device_identifier NULLS FIRST) AS device_key,
+         device_name, device_identifier, source_system
+  FROM (SELECT device_name, device_identifier, min(source_system) AS source_system
+        FROM silver WHERE day(event_time) <= 3 GROUP BY device_name, device_identifier) d
+),
+fresh AS (
+  SELECT * FROM dim_device d WHERE NOT EXISTS (
+    SELECT 1 FROM old o WHERE o.device_name IS NOT DISTINCT FROM d.device_name
+                          AND o.device_identifier IS NOT DISTINCT FROM d.device_identifier)
+)
+SELECT * FROM old UNION ALL
+SELECT (SELECT coalesce(max(device_key), 0) FROM old)
+         + row_number() OVER (ORDER BY device_name NULLS FIRST, device_identifier NULLS FIRST),
+       device_name, device_identifier, source_system
+FROM fresh"""
     q["dim_organization"] = "WITH " + STAR_CTES + " SELECT * FROM dim_organization"
     q["dim_alert_type"] = "WITH " + STAR_CTES + " SELECT * FROM dim_alert_type"
     q["dim_time"] = "WITH " + STAR_CTES + " SELECT * FROM dim_time"

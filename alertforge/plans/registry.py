@@ -239,11 +239,23 @@ def q_silver_canonical(spark, sf):
     return SIL.normalize_silver_schema(silver(spark, sf))
 
 
+FIRST_LOAD_DAYS = 3
+
+
 @register("dim_device")
 def q_dim_device(spark, sf):
     return STAR.dim_device(silver(spark, sf))
 
 
+@register("dim_device_incremental")
+def q_dim_device_incremental(spark, sf):
+    """Two loads: the first days of each month, then everything; keys of the first load stay."""
+    ensure_checkpoint_dir(spark)
+    s = silver(spark, sf).checkpoint()
+    first = STAR.dim_device(s.where(F.dayofmonth("event_time") <= FIRST_LOAD_DAYS)).checkpoint()
+    return first.unionByName(STAR.dim_device(s, existing=first))
+
+
 @register("dim_organization")
 def q_dim_organization(spark, sf):
     return STAR.dim_organization(silver(spark, sf))
