@@ -107,7 +107,3 @@ def parse_timestamp(c: str | Column, dtype: str | None = None) -> Column:
     if dtype is not None and dtype == "date":
         return col.cast("timestamp")
     return F.try_to_timestamp(col.cast("string"))
-
-
-def round6(c: str | Column) -> Column:
-    return F.round(col_or_lit(c), 6)

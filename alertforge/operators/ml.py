@@ -108,10 +108,12 @@ def _blocks(points: DataFrame, dims: int, block_rows: int) -> tuple[DataFrame, D
         p, q = pts.alias(alias), pairs.alias(alias + "P")
         joined = p.join(q, (F.col(f"{alias}.cell") == F.col(f"{alias}P.{cell_col}"))
                         & (F.col(f"{alias}._chunk") == F.col(f"{alias}P.{chunk_col}")))
-        k = F.xxhash64(*[F.col(f"{alias}P.{c}") for c in ("a", "ai", "b", "bj")])
+        # the four parts spelled out: two blocks never share a name
+        k = F.concat_ws("|", *[F.concat_ws(",", F.col(f"{alias}P.{c}").cast("array<string>")) if c in ("a", "b")
+                               else F.col(f"{alias}P.{c}") for c in ("a", "ai", "b", "bj")])
         same = ((F.col(f"{alias}P.a") == F.col(f"{alias}P.b"))
                 & (F.col(f"{alias}P.ai") == F.col(f"{alias}P.bj"))).alias("same")
-        return joined.select(F.pmod(k, F.lit(n_tasks)).alias("task"), k.alias("blk"), same,
+        return joined.select(F.pmod(F.xxhash64(k), F.lit(n_tasks)).alias("task"), k.alias("blk"), same,
                              *[F.col(f"{alias}.{c}").alias(c) for c in cols])
 
     return side("L", "a", "ai"), side("R", "b", "bj")
@@ -386,8 +388,3 @@ def brute_force_dbscan(points: np.ndarray, eps: float, min_samples: int) -> np.n
                     stack.append(q)
         label += 1
     return labels
-
-
-def cell_count_bound(eps: float, spread: float, dims: int) -> int:
-    """Upper bound on occupied cells along ``spread`` (documentation helper)."""
-    return int(math.ceil(spread / eps) + 1) ** dims

@@ -120,12 +120,6 @@ def alert_contexts(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("alert_type", "description", "cause").agg(F.count(F.lit(1)).alias("count"))
 
 
-def top_alert_contexts(alerts: DataFrame, top_n: int = 5) -> DataFrame:
-    return (alert_contexts(alerts)
-            .orderBy(F.desc("count"), F.asc_nulls_first("alert_type"), F.asc_nulls_first("description"),
-                     F.asc_nulls_first("cause")).limit(top_n))
-
-
 def recent_alerts(alerts: DataFrame, top_n: int = 5) -> DataFrame:
     """newest alerts with their context columns."""
     cols = [c for c in S.RECENT_ALERT_COLUMNS if c in alerts.columns]

@@ -48,8 +48,3 @@ def gold(silver_rows: DataFrame, existing: dict[str, DataFrame] | None = None) -
     facts = STAR.fact_incidents(silver_rows, devices, orgs, types, times)
     return {"dim_device": devices, "dim_organization": orgs, "dim_alert_type": types,
             "dim_time": times, "fact_incidents": facts}
-
-
-def write_tables(tables: dict[str, DataFrame], base: str, mode: str = "overwrite") -> None:
-    for name, df in tables.items():
-        df.write.mode(mode).parquet(f"{base.rstrip('/')}/{name}")
