@@ -6,8 +6,6 @@ Everything under "FIXED VALUES" must equal the behaviour being reproduced
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # --------------------------------------------------------------------------
 # FIXED VALUES: alert normalisation
 # --------------------------------------------------------------------------
@@ -94,21 +92,6 @@ SILVER_MEDIUM_MARKERS = ["warning"]
 # event states meaning "resolved"; everything else (and null) is "triggered"
 RESOLVED_STATES = ["ok", "normal", "cleared", "resolved"]
 
-SILVER_COLUMNS = [
-    "source_system",
-    "alert_id",
-    "correlation_id",
-    "organization_name",
-    "device_name",
-    "device_identifier",
-    "service_name",
-    "alert_type",
-    "severity",
-    "event_state",
-    "event_time",
-    "synthetic",
-    "ingestion_time",
-]
 SILVER_DEDUPE_KEYS = ["correlation_id", "device_name", "alert_type", "event_state", "event_time"]
 CANONICAL_DEDUPE_KEYS = ["alert_id", "timestamp", "device"]
 
@@ -139,7 +122,6 @@ DEVICE_COLUMNS = [
     "reliability_score",
 ]
 ALERT_STATS_COLUMNS = ["alert_type", "total_count", "devices_affected", "avg_severity"]
-TIMELINE_COLUMNS = ["timestamp", "alerts_count", "incidents_count", "critical_incidents"]
 RECENT_ALERT_COLUMNS = [
     "alert_id",
     "timestamp",
@@ -212,7 +194,6 @@ SUMMARY_KEYS = [
     "recent_incidents",
     "timeline_snapshot",
 ]
-NOT_AVAILABLE = "N/A"
 
 # --------------------------------------------------------------------------
 # FIXED VALUES: retrieval and answers
@@ -231,7 +212,6 @@ EMPTY_CONTEXT_FALLBACK = (
 MISSING_INFO_BULLET = "- The available incident context does not contain this information."
 MAX_PROMPT_CHARS = 12000
 SMALL_MODEL_MARKER = "━━━ STEP 5"
-RETRY_MARKER = "━━━ STEP 4"
 
 # question keywords -> issue type, first hit wins
 ISSUE_TYPE_RULES = [
@@ -242,52 +222,3 @@ ISSUE_TYPE_RULES = [
     (["ssl", "tls", "certificate"], "TLS/SSL Certificate or Handshake Failure"),
 ]
 DEFAULT_ISSUE_TYPE = "Infrastructure Service Degradation"
-
-# --------------------------------------------------------------------------
-# Spark schemas
-# --------------------------------------------------------------------------
-
-CANONICAL_ALERT_SCHEMA = T.StructType([
-    T.StructField("alert_id", T.StringType()),
-    T.StructField("source", T.StringType()),
-    T.StructField("timestamp", T.TimestampType()),
-    T.StructField("organization", T.StringType()),
-    T.StructField("device", T.StringType()),
-    T.StructField("entity_type", T.StringType()),
-    T.StructField("alert_type", T.StringType()),
-    T.StructField("severity", T.StringType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("cause", T.StringType()),
-])
-
-SILVER_SCHEMA = T.StructType([
-    T.StructField("source_system", T.StringType()),
-    T.StructField("alert_id", T.StringType()),
-    T.StructField("correlation_id", T.StringType()),
-    T.StructField("organization_name", T.StringType()),
-    T.StructField("device_name", T.StringType()),
-    T.StructField("device_identifier", T.StringType()),
-    T.StructField("service_name", T.StringType()),
-    T.StructField("alert_type", T.StringType()),
-    T.StructField("severity", T.StringType()),
-    T.StructField("event_state", T.StringType()),
-    T.StructField("event_time", T.TimestampType()),
-    T.StructField("synthetic", T.BooleanType()),
-    T.StructField("ingestion_time", T.TimestampType()),
-])
-
-INCIDENT_SCHEMA = T.StructType([
-    T.StructField("incident_id", T.StringType()),
-    T.StructField("device", T.StringType()),
-    T.StructField("organization", T.StringType()),
-    T.StructField("alert_count", T.LongType()),
-    T.StructField("severity_score", T.DoubleType()),
-    T.StructField("start_time", T.TimestampType()),
-    T.StructField("end_time", T.TimestampType()),
-    T.StructField("duration_minutes", T.DoubleType()),
-    T.StructField("root_cause_candidate", T.StringType()),
-    T.StructField("incident_cause", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("incident_type", T.StringType()),
-])
