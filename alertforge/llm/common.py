@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alertforge.session import ensure_checkpoint_dir, ship_package
@@ -44,6 +44,14 @@ def freeze(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freeze_counted(df: DataFrame, tag: str, counted: Column | None = None) -> tuple[DataFrame, int]:
+    """``freeze``, and how many rows (or non-null values of ``counted``) were written, without another job."""
+    seen = Observation()
+    counted = F.lit(1) if counted is None else counted
+    frozen = freeze(df.observe(seen, F.count(counted).alias("n")), tag)
+    return frozen, seen.get["n"]
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertforge.llm.common import freeze
+from alertforge.llm.common import freeze, freeze_counted
 
 
 def _roots(parents: DataFrame) -> DataFrame:
     """Follow ``v -> c`` (c <= v) to the end by pointer doubling."""
     while True:
         up = parents.select(F.col("v").alias("_v"), F.col("c").alias("_c"))
-        jumped = freeze(parents.join(up, F.col("c") == F.col("_v"), "left")
-                        .select("v", F.coalesce("_c", "c").alias("c"), (F.col("_c") < F.col("c")).alias("_moved")),
-                        "cc-jump")
-        moved = jumped.where("_moved").limit(1).count()
-        parents = jumped.select("v", "c")
+        parents, moved = freeze_counted(
+            parents.join(up, F.col("c") == F.col("_v"), "left")
+            .select("v", F.coalesce("_c", "c").alias("c"), F.when(F.col("_c") < F.col("c"), 1).alias("_moved")),
+            "cc-jump", F.col("_moved"))
+        parents = parents.select("v", "c")
         if not moved:
             return parents
 
@@ -45,7 +45,8 @@ def connected_components(links: DataFrame) -> DataFrame:
                             .select("v", F.coalesce("_c", "c").alias("c")), "cc-labels")
         left = roots.select(F.col("v").alias("u"), F.col("c").alias("_ru"))
         right = roots.select(F.col("v").alias("w"), F.col("c").alias("_rw"))
-        edges = freeze(edges.join(left, "u").join(right, "w").where("_ru <> _rw")
-                       .select(F.col("_ru").alias("u"), F.col("_rw").alias("w")).distinct(), "cc-edges")
-        if not edges.limit(1).count():
+        edges, n_edges = freeze_counted(
+            edges.join(left, "u").join(right, "w").where("_ru <> _rw")
+            .select(F.col("_ru").alias("u"), F.col("_rw").alias("w")).distinct(), "cc-edges")
+        if not n_edges:
             return labels

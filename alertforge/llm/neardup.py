@@ -16,8 +16,9 @@ Jaccard similarity is 0.8 or more, and a class is a connected component.
    1 - 3e-6).
 3. *Verification*. Members of a band's bucket are compared with the bucket's
    leader only, by exact J_P over their shingles, and merged into components.
-   Buckets whose members still lie in several components are compared again
-   under another leader, component by component, until a round merges nothing.
+   Buckets whose members still lie in several components are compared again,
+   one drawn member per component with a drawn leader, until a round merges
+   nothing.
    So the pairs compared grow with the members, not with their square.
 
 Defined results: a null text is empty; a text without words is in a class with
@@ -36,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertforge.llm.common import WORD_SPACE, freeze, text_of
+from alertforge.llm.common import WORD_SPACE, freeze, freeze_counted, text_of
 from alertforge.llm.components import connected_components
 from alertforge.llm.tokens import slices
 
@@ -77,7 +78,7 @@ def weighted_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndar
     value = np.full(len(hashes), _PRIME, dtype=np.uint64)
     for k in range(SHINGLE_WORDS):
         follow = np.zeros(len(hashes), np.uint64)
-        follow[:len(hashes) - k] = hashes[k:]
+        follow[:max(0, len(hashes) - k)] = hashes[k:]
         value = np.where(k < width, mix(value * np.uint64(_PRIME) + follow), value)
     real = left >= width
     doc, value = doc_of[real], value[real]
@@ -245,14 +246,15 @@ def near_duplicate_classes(docs: DataFrame, min_similarity: float = MIN_SIMILARI
         tagged = members.select("key", "text_id").join(
             labels.select(F.col("v").alias("text_id"), "c"), "text_id", "left") \
             .withColumn("c", F.coalesce("c", "text_id"))
-        parts = tagged.groupBy("key", "c").agg(F.min("text_id").alias("b"))
-        order = F.xxhash64(F.lit(turn), "c")
-        chosen = (parts.groupBy("key").agg(F.min_by(F.struct("c", "b"), order).alias("lead"),
+        # a member drawn by hash leads each bucket: large components lead most, by ever different members
+        draw = F.xxhash64(F.lit(turn), "key", "text_id")
+        parts = tagged.groupBy("key", "c").agg(F.min_by("text_id", draw).alias("b"), F.min(draw).alias("_draw"))
+        chosen = (parts.groupBy("key").agg(F.min_by(F.struct("c", "b"), "_draw").alias("lead"),
                                            F.count(F.lit(1)).alias("_parts")).where("_parts > 1"))
         again = (parts.join(chosen, "key").where(F.col("c") != F.col("lead.c"))
                  .select(F.least("lead.b", "b").alias("a"), F.greatest("lead.b", "b").alias("b")).distinct())
-        links = freeze(verify(again, content, min_similarity), "dedup-links")
-        if not links.limit(1).count():
+        links, n_links = freeze_counted(verify(again, content, min_similarity), "dedup-links")
+        if not n_links:
             break
         named = labels.select("v", "c")
         ends = (links.select("a", "b").join(named.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", "left")
