@@ -246,11 +246,14 @@ def near_duplicate_classes(docs: DataFrame, min_similarity: float = MIN_SIMILARI
         tagged = members.select("key", "text_id").join(
             labels.select(F.col("v").alias("text_id"), "c"), "text_id", "left") \
             .withColumn("c", F.coalesce("c", "text_id"))
+        # a bucket whose members share a component is settled for good
+        unsettled = (tagged.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"))
+                     .where("_lo < _hi").select("key"))
+        members = freeze(tagged.join(unsettled, "key"), "dedup-open")
         # a member drawn by hash leads each bucket: large components lead most, by ever different members
         draw = F.xxhash64(F.lit(turn), "key", "text_id")
-        parts = tagged.groupBy("key", "c").agg(F.min_by("text_id", draw).alias("b"), F.min(draw).alias("_draw"))
-        chosen = (parts.groupBy("key").agg(F.min_by(F.struct("c", "b"), "_draw").alias("lead"),
-                                           F.count(F.lit(1)).alias("_parts")).where("_parts > 1"))
+        parts = members.groupBy("key", "c").agg(F.min_by("text_id", draw).alias("b"), F.min(draw).alias("_draw"))
+        chosen = parts.groupBy("key").agg(F.min_by(F.struct("c", "b"), "_draw").alias("lead"))
         again = (parts.join(chosen, "key").where(F.col("c") != F.col("lead.c"))
                  .select(F.least("lead.b", "b").alias("a"), F.greatest("lead.b", "b").alias("b")).distinct())
         links, n_links = freeze_counted(verify(again, content, min_similarity), "dedup-links")
