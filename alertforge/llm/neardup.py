@@ -18,8 +18,14 @@ Jaccard similarity is 0.8 or more, and a class is a connected component.
    leader only, by exact J_P over their shingles, and merged into components.
    Buckets whose members still lie in several components are compared again,
    one drawn member per component with a drawn leader, until a round merges
-   nothing.
-   So the pairs compared grow with the members, not with their square.
+   nothing. So most pairs compared grow with the members, not with their
+   square.
+4. *Rest*. In buckets that still hold several components every pair of texts
+   of different components is decided: members are packed into bounded blocks,
+   blocks meet inside the bucket, a task checks a block pair and returns only
+   the components it links. A pair that shares several buckets is decided in
+   its first; pairs whose common shingles weigh too little for the bound in
+   either text are dropped before the exact J_P.
 
 Defined results: a null text is empty; a text without words is in a class with
 equal texts only; a text of one to four words is one shingle. Rows that share
@@ -45,6 +51,9 @@ SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
+BLOCK_MEMBERS, BLOCK_BYTES = 256, 2 << 20
+BLOCK_PAIRS_PER_BATCH = 8
+_COLUMNS = 4096
 
 _TO_BLANK = {ord(c): " " for c in WORD_SPACE}
 _PRIME = 0x9E3779B97F4A7C15
@@ -213,6 +222,140 @@ def verify(pairs: DataFrame, content: DataFrame, min_similarity: float) -> DataF
             .where(F.col("similarity") >= min_similarity))
 
 
+def _shared_mass(a: list[tuple[np.ndarray, np.ndarray]],
+                 b: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text of ``a`` against each of ``b``: the share of the first, and of the second, on common shingles.
+
+    J_P is at most the smaller of the two.
+    """
+    common = np.intersect1d(np.concatenate([s for s, _ in a]), np.concatenate([s for s, _ in b]))
+    out = np.zeros((len(a), len(b)), np.float32), np.zeros((len(a), len(b)), np.float32)
+
+    def entries(side: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(side)), [len(s) for s, _ in side])
+        shingle = np.concatenate([s for s, _ in side])
+        share = np.concatenate([w / w.sum() for _, w in side])
+        column = np.minimum(np.searchsorted(common, shingle), len(common) - 1)
+        use = common[column] == shingle
+        order = np.argsort(column[use], kind="stable")
+        return row[use][order], column[use][order], share[use][order]
+
+    if not len(common):
+        return out
+    sides = entries(a), entries(b)
+    for start in range(0, len(common), _COLUMNS):
+        dense = []
+        for (row, column, share), n in zip(sides, (len(a), len(b))):
+            x, y = np.searchsorted(column, [start, start + _COLUMNS])
+            d = np.zeros((n, _COLUMNS), np.float32)
+            d[row[x:y], column[x:y] - start] = share[x:y]
+            dense.append(d)
+        out[0][:] += dense[0] @ (dense[1] > 0).astype(np.float32).T
+        out[1][:] += (dense[0] > 0).astype(np.float32) @ dense[1].T
+    return out
+
+
+def _links_between(key: int, left: list, right: list | None, min_similarity: float) -> list[tuple[int, int]]:
+    """Components linked by the pairs of two blocks of bucket ``key`` (of one block where ``right`` is None)."""
+    def parts(block: list) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        content = []
+        for m in block:
+            s = np.frombuffer(m["shingles"], "<u8")
+            content.append((s, _weights(m["counts"], len(s))))
+        return np.array([m["keys"] for m in block]), np.array([m["c"] for m in block]), content
+
+    keys_a, c_a, a = parts(left)
+    keys_b, c_b, b = (keys_a, c_a, a) if right is None else parts(right)
+    band = int(np.flatnonzero(keys_a[0] == key)[0])
+    open_ = c_a[:, None] != c_b[None, :]
+    if right is None:
+        open_ &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
+    for k in range(band):  # decided in an earlier bucket
+        open_ &= keys_a[:, k][:, None] != keys_b[:, k][None, :]
+    if not open_.any():
+        return []
+    mass = np.minimum(*_shared_mass(a, b))
+    i, j = np.nonzero(open_ & (mass >= min_similarity - 1e-4))  # sums are in single precision
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in parent:
+            x = parent[x]
+        return x
+
+    links = []
+    for k in np.argsort(-mass[i, j], kind="stable"):
+        x, y = int(c_a[i[k]]), int(c_b[j[k]])
+        if find(x) != find(y) and probability_jaccard(*a[i[k]], *b[j[k]]) >= min_similarity:
+            parent[find(x)] = find(y)
+            links.append((x, y))
+    return links
+
+
+def remaining_links(members: DataFrame, texts: DataFrame, content: DataFrame, min_similarity: float) -> DataFrame:
+    """Links ``(a, b)`` of components, by every pair of different components in a bucket of ``members (key, text_id, c)``.
+
+    Buckets of two members are left out: the round before compared them.
+    """
+    spark = members.sparkSession
+    wide = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 2").drop("_n"), "key")
+    size = content.select(F.col("node").alias("text_id"), F.octet_length("shingles").cast("long").alias("_bytes"))
+    wide = freeze(wide.join(size, "text_id"), "dedup-wide")
+
+    def blocks_of(n: str, size: str):
+        return F.greatest(F.ceil(F.col(n) / BLOCK_MEMBERS), F.ceil(F.col(size) / BLOCK_BYTES)).cast("long")
+
+    # a component that fills a block has blocks of its own, which never meet each other; the others share blocks
+    per_part = freeze(wide.groupBy("key", "c").agg(F.count(F.lit(1)).alias("_n"), F.sum("_bytes").alias("_size"))
+                      .withColumn("_own", blocks_of("_n", "_size")), "dedup-parts")
+    shared = (per_part.where("_own = 1").groupBy("key").agg(F.sum("_n").alias("_ns"), F.sum("_size").alias("_sizes"))
+              .select("key", blocks_of("_ns", "_sizes").alias("_shared")))
+    large = per_part.where("_own > 1").select("key", "c", "_own")
+    placed = (wide.join(large, ["key", "c"], "left").join(shared, "key", "left")
+              .select("key", "text_id", "c", F.when(F.col("_own").isNotNull(), F.col("c")).alias("own"),
+                      F.pmod(F.xxhash64("text_id", "key"), F.coalesce("_own", "_shared")).alias("part")))
+    full = (placed.join(texts.select("text_id", "keys"), "text_id")
+            .join(content.withColumnRenamed("node", "text_id"), "text_id"))
+    packed = freeze(full.groupBy("key", "own", "part")
+                    .agg(F.collect_list(F.struct("text_id", "c", "keys", "shingles", "counts")).alias("block"))
+                    .withColumn("id", F.monotonically_increasing_id()), "dedup-blocks")
+    one = packed.select("key", "own", F.col("id").alias("i"))
+    two = packed.select("key", F.col("own").alias("_own"), F.col("id").alias("j"))
+    meets = (one.join(two, "key").where("i < j and (own is null or _own is null or own <> _own)")
+             .select("key", F.when((F.col("i") + F.col("j")) % 2 == 0, F.struct("i", "j"))
+                     .otherwise(F.struct(F.col("j").alias("i"), F.col("i").alias("j"))).alias("ij"))
+             .select("key", "ij.*"))
+    pairs = (meets.join(packed.select(F.col("id").alias("i"), F.col("block").alias("left")), "i")
+             .join(packed.select(F.col("id").alias("j"), F.col("block").alias("right")), "j")
+             .select("key", "left", "right"))
+    pairs = pairs.unionByName(packed.where("own is null and size(block) > 1")
+                              .select("key", F.col("block").alias("left"), F.lit(None).cast(pairs.schema["right"].dataType)
+                                      .alias("right")))
+
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [x for key, left, right in zip(batch["key"], batch["left"], batch["right"])
+                     for x in _links_between(key, list(left), None if right is None else list(right), min_similarity)]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    # a row holds two blocks: few rows in a batch
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BLOCK_PAIRS_PER_BATCH))
+    try:
+        return freeze(pairs.mapInPandas(links, "a long, b long").distinct(), "dedup-rest")
+    finally:
+        spark.conf.set(name, before)
+
+
+def _merged(labels: DataFrame, ends: DataFrame) -> DataFrame:
+    """``labels (v, c)`` after links ``(a, b)`` between components."""
+    merged = connected_components(ends).select(F.col("v").alias("c"), F.col("c").alias("_c"))
+    old = labels.select("v", "c").join(merged, "c", "left").select("v", F.coalesce("_c", "c").alias("c"))
+    fresh = merged.select(F.col("c").alias("v"), F.col("_c").alias("c"))
+    return freeze(old.unionByName(fresh).groupBy("v").agg(F.min("c").alias("c")), "dedup-labels")
+
+
 def _nodes(docs: DataFrame) -> DataFrame:
     text = text_of("text")
     return docs.select(
@@ -249,7 +392,9 @@ def near_duplicate_classes(docs: DataFrame, min_similarity: float = MIN_SIMILARI
         # a bucket whose members share a component is settled for good
         unsettled = (tagged.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"))
                      .where("_lo < _hi").select("key"))
-        members = freeze(tagged.join(unsettled, "key"), "dedup-open")
+        members, n_open = freeze_counted(tagged.join(unsettled, "key"), "dedup-open")
+        if not n_open:
+            break
         # a member drawn by hash leads each bucket: large components lead most, by ever different members
         draw = F.xxhash64(F.lit(turn), "key", "text_id")
         parts = members.groupBy("key", "c").agg(F.min_by("text_id", draw).alias("b"), F.min(draw).alias("_draw"))
@@ -257,16 +402,14 @@ def near_duplicate_classes(docs: DataFrame, min_similarity: float = MIN_SIMILARI
         again = (parts.join(chosen, "key").where(F.col("c") != F.col("lead.c"))
                  .select(F.least("lead.b", "b").alias("a"), F.greatest("lead.b", "b").alias("b")).distinct())
         links, n_links = freeze_counted(verify(again, content, min_similarity), "dedup-links")
-        if not n_links:
+        if not n_links:  # the rest is decided pair by pair
+            labels = _merged(labels, remaining_links(members, texts, content, min_similarity))
             break
         named = labels.select("v", "c")
         ends = (links.select("a", "b").join(named.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", "left")
                 .join(named.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b", "left")
                 .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-        merged = connected_components(ends).select(F.col("v").alias("c"), F.col("c").alias("_c"))
-        old = labels.join(merged, "c", "left").select("v", F.coalesce("_c", "c").alias("c"))
-        fresh = merged.select(F.col("c").alias("v"), F.col("_c").alias("c"))
-        labels = freeze(old.unionByName(fresh).groupBy("v").agg(F.min("c").alias("c")), "dedup-labels")
+        labels = _merged(labels, ends)
 
     by_text = texts.select("md5", "text_id").join(
         labels.select(F.col("v").alias("text_id"), "c"), "text_id", "left") \

@@ -67,6 +67,42 @@ def test_classes_match_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
+def edited_copies(seed, sections=100, n_few=400, n_many=12):
+    """Copies of one text with 3 optional sections (near each other), and some of these with 6 more
+    (near few texts but the one they were made of)."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(8))
+    base = [word() for _ in range(250)]
+    optional = [[word() for _ in range(8)] for _ in range(sections)]
+    few = [sorted(rnd.sample(range(sections), 3)) for _ in range(n_few)]
+    many = [sorted(c + rnd.sample([x for x in range(sections) if x not in c], 6)) for c in rnd.sample(few, n_many)]
+    return [" ".join(base + [w for x in c for w in optional[x]]) for c in few + many]
+
+
+def test_edited_copies_match_brute_force(spark, monkeypatch):
+    texts = [t for seed in (1, 2) for t in edited_copies(seed)]
+    sets = [set(shingles(t)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if find(i) != find(j):
+                both = len(sets[i] & sets[j])
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = sorted((find(i), find(j)))
+                    parent[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: find(i) for i in range(len(texts))}
+    assert {r.node: r.class_id for r in neardup.near_duplicate_classes(docs).collect()} == want
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 16)  # blocks of large components, shared blocks, their pairs
+    assert {r.node: r.class_id for r in neardup.near_duplicate_classes(docs).collect()} == want
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "other text"),
                                   (2, None)], "doc_id long, text string")
