@@ -363,26 +363,36 @@ def _nodes(docs: DataFrame) -> DataFrame:
         F.unhex(F.md5(text.cast("binary"))).alias("md5"), text.alias("_text"))
 
 
-def near_duplicate_classes(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """``(node, class_id)`` per row of ``docs``: node is the doc_id, class_id the smallest node of its class."""
+def _same_document(sketch: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between the texts that share a node."""
+    own = sketch.select("node", "md5").distinct()
+    several = own.groupBy("node").agg(F.min("md5").alias("_lo"), F.max("md5").alias("_hi")).where("_lo < _hi").select("node")
+    ends = freeze(own.join(several, "node").join(texts.select("md5", "text_id"), "md5").select("node", "text_id"), "dedup-ids")
+    return (ends.join(ends.groupBy("node").agg(F.min("text_id").alias("a")), "node")
+            .select("a", F.col("text_id").alias("b")).where("a <> b"))
+
+
+def _classes(docs: DataFrame, min_similarity: float) -> DataFrame:
+    """``(node, md5, class_id)`` per row of ``docs``."""
     rows = _nodes(docs)
     sketch = freeze(rows.mapInPandas(_sketch_rows, "node long, md5 binary, keys array<bigint>"), "dedup-sketch")
-    texts = freeze(sketch.groupBy("md5").agg(F.min("node").alias("text_id"), F.first("keys").alias("keys")),
-                   "dedup-texts")
+    texts = freeze(sketch.groupBy("md5").agg(F.min("node").alias("first_node"), F.first("keys").alias("keys"))
+                   .withColumn("text_id", F.monotonically_increasing_id()), "dedup-texts")
 
     member = texts.select("text_id", F.explode("keys").alias("key"))
     leaders = (member.groupBy("key").agg(F.min("text_id").alias("lead"), F.max("text_id").alias("_last"))
                .where("_last > lead").drop("_last"))
     members = freeze(member.join(leaders, "key"), "dedup-members")
-    involved = members.select(F.col("text_id").alias("node")).union(members.select("lead")).distinct()
+    involved = members.select("text_id").union(members.select("lead")).distinct()
     content = freeze(
         rows.select("node", "md5", "_text")
-        .join(texts.select(F.col("text_id").alias("node"), "md5").join(involved, "node"), ["node", "md5"], "left_semi")
-        .select("node", "_text").mapInPandas(_content_rows, "node long, shingles binary, counts binary"), "dedup-content")
+        .join(texts.select(F.col("first_node").alias("node"), "md5", "text_id").join(involved, "text_id"), ["node", "md5"])
+        .select(F.col("text_id").alias("node"), "_text").mapInPandas(_content_rows, "node long, shingles binary, counts binary"), "dedup-content")
     content = content.dropDuplicates(["node"])
 
     pairs = members.where("text_id <> lead").select(F.col("lead").alias("a"), F.col("text_id").alias("b")).distinct()
-    labels = connected_components(verify(pairs, content, min_similarity))
+    labels = connected_components(verify(pairs, content, min_similarity).select("a", "b")
+                                  .union(_same_document(sketch, texts)))
     turn = 0
     while True:
         turn += 1
@@ -411,16 +421,23 @@ def near_duplicate_classes(docs: DataFrame, min_similarity: float = MIN_SIMILARI
                 .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
         labels = _merged(labels, ends)
 
-    by_text = texts.select("md5", "text_id").join(
-        labels.select(F.col("v").alias("text_id"), "c"), "text_id", "left") \
-        .select("md5", F.coalesce("c", "text_id").alias("class_id"))
-    found = sketch.select("node", "md5").join(by_text, "md5").select("node", "class_id")
-    return found
+    own = labels.select(F.col("v").alias("text_id"), "c")
+    names = own.join(texts.select("text_id", "first_node"), "text_id").groupBy("c").agg(F.min("first_node").alias("class_id"))
+    by_text = (texts.select("md5", "text_id", "first_node").join(own.join(names, "c").drop("c"), "text_id", "left")
+               .select("md5", F.coalesce("class_id", "first_node").alias("class_id")))
+    return sketch.select("node", "md5").join(by_text, "md5").select("node", "md5", "class_id")
+
+
+def near_duplicate_classes(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """``(node, class_id)`` per row of ``docs``: node is the doc_id, class_id the smallest node of its class."""
+    return _classes(docs, min_similarity).select("node", "class_id")
 
 
 def keep_one(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class, the one with the smallest doc_id."""
-    kept = near_duplicate_classes(docs, min_similarity).where("node = class_id").select(F.col("node").alias("_node")).distinct()
-    node = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_of("text")))
-    return (docs.withColumn("_node", node).dropDuplicates(["_node"])
-            .join(kept, "_node", "left_semi").select(*docs.columns))
+    """``docs`` with one row of each class, the one with the smallest doc_id, of its texts the one with the smallest MD5."""
+    kept = (_classes(docs, min_similarity).where("node = class_id")
+            .groupBy(F.col("node").alias("_node")).agg(F.min("md5").alias("_md5")))
+    text = text_of("text")
+    return (docs.withColumns({"_node": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)),
+                              "_md5": F.unhex(F.md5(text.cast("binary")))})
+            .dropDuplicates(["_node", "_md5"]).join(kept, ["_node", "_md5"], "left_semi").select(*docs.columns))

@@ -111,6 +111,15 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     assert neardup.near_duplicate_classes(docs.limit(0)).count() == 0
 
 
+def test_texts_that_share_a_doc_id_are_one_class(spark):
+    docs = spark.createDataFrame([(3, "a b c d e f"), (7, "a b c d e f"), (7, "quite another text"), (9, "g h i"),
+                                  (9, "j k l"), (10, "m n")], "doc_id long, text string")
+    got = sorted(map(tuple, neardup.near_duplicate_classes(docs).collect()))
+    assert got == [(3, 3), (7, 3), (7, 3), (9, 9), (9, 9), (10, 10)]
+    first = min(("g h i", "j k l"), key=lambda t: hashlib.md5(t.encode()).digest())
+    assert sorted(map(tuple, neardup.keep_one(docs).collect())) == [(3, "a b c d e f"), (9, first), (10, "m n")]
+
+
 def test_sketch_agreement_estimates_jp():
     a = collections.Counter({i: 1 + i % 4 for i in range(300)})
     b = collections.Counter({i: 1 + i % 3 for i in range(60, 340)})
