@@ -148,6 +148,33 @@ def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines found in at least 10 documents go from every document; digests of what stays."""
+    from alertforge.llm.common import text_of
+    from alertforge.llm.linededup import kept_text, line_keep_bitmaps
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("text"))
+    kept = kept_text(F.col("text"), F.col("keep"))
+    return line_keep_bitmaps(docs, min_docs=10, min_chars=1).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the benchmark's word use."""
+    from alertforge.llm.importance import resample
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resample(docs, table(spark, sf_dir, "benchmark").select("text"), percent=10, min_words=20, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far sources of a language differ, and the terms that mark each."""
+    from alertforge.llm.divergence import divergence
+    return divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"), min_docs=30, top_terms=50)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over the documents table."""

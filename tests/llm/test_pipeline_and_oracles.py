@@ -23,7 +23,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in LLM_QUERIES if k != "pipeline") == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in LLM_QUERIES if k != "pipeline") == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "personal_data", "mix_sources", "pack"]
 
 
