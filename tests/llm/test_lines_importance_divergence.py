@@ -295,7 +295,7 @@ def test_repeated_rows_are_counted_when_the_memory_is_small(monkeypatch):
         batches = [pa.RecordBatch.from_arrays(
             [pa.array([rows[i][0] for i in part], pa.int64()), pa.array([hash(rows[i]) for i in part], pa.int64()),
              pa.array([0] * len(part), pa.int64()), pa.array([rows[i][1] for i in part], pa.binary())],
-            names=["_ld_doc", "_ld_d1", "_ld_d2", "_ld_text"]) for part in np.array_split(np.arange(len(rows)), 9)]
+            names=["_ld_doc", "_ld_d1", "_ld_d2", "_ld_text"]) for part in np.array_split(np.arange(len(rows)), 60)]
         out, n_rows = collections.Counter(), 0
         for b in linededup._entries(1)(iter(batches)):
             n_rows += b.num_rows
