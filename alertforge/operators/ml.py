@@ -1,37 +1,11 @@
-"""Standardisation, category codes and exact distributed DBSCAN.
-
-Covers I1-I3, E5, D14 (isolation forest lives in ``iforest``).
-
-DBSCAN plan (exact; same labels as the sequential algorithm with points
-visited in ``order`` order):
-
-1. equal feature vectors collapse into one weighted point (features are
-   heavily tied), identified by the smallest order among its copies;
-2. weighted points fall into grid cells of side ``eps``; neighbouring
-   cells are found by joining the *distinct cell* table with its 3^d
-   offsets (bounded by the number of occupied cells, not by the rows);
-3. every pair of neighbouring cells is cut into blocks of at most
-   ``block_rows`` points per side; each block is one co-grouped task that
-   computes distances in numpy. Pass 1 emits per-point neighbour weights
-   (summed to decide core points); pass 2 emits, per block, one edge from
-   each core point to the smallest core point of its local component, and
-   from each border point to those local roots. No pair list is emitted;
-4. connected components over those edges by min-label propagation, with a
-   reliable checkpoint per round;
-5. clusters are numbered by their first core point; a border point joins
-   the lowest-numbered neighbouring cluster; the rest is noise (-1).
-"""
+"""Standardisation, category codes and the cluster models over them."""
 
 from __future__ import annotations
 
-import itertools
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alertforge.operators.dbscan import dbscan
 from alertforge.operators.ordinals import ordinals_by_range
 from alertforge.session import ensure_checkpoint_dir
 
@@ -69,251 +43,6 @@ def category_codes(df: DataFrame, cols: list[str], suffix: str = "_code") -> Dat
     return out
 
 
-# --------------------------------------------------------------------------
-# DBSCAN
-# --------------------------------------------------------------------------
-
-def _offsets(d: int) -> list[list[int]]:
-    return [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
-
-
-def _blocks(points: DataFrame, dims: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(left, right) point copies keyed by block for every neighbouring cell pair.
-
-    points: pid, w, v (array<double>), cell (array<long>) [, core]
-    """
-    cells = points.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
-    cells = cells.withColumn("_chunks", F.greatest(F.lit(1), F.ceil(F.col("_n") / block_rows)).cast("long"))
-    offs = F.array(*[F.array(*[F.lit(x) for x in o]) for o in _offsets(dims)])
-    neigh = cells.select(F.col("cell").alias("a"), F.explode(offs).alias("_o"))
-    neigh = neigh.select("a", F.zip_with("a", "_o", lambda x, y: x + y).alias("b"))
-    # keep occupied neighbours, each unordered pair once
-    pairs = (neigh.join(cells.select(F.col("cell").alias("b"), F.col("_chunks").alias("b_chunks")), "b")
-             .join(cells.select(F.col("cell").alias("a"), F.col("_chunks").alias("a_chunks")), "a")
-             .where(F.col("a") <= F.col("b")))
-    pts = points.join(cells.select("cell", "_chunks"), "cell").withColumn(
-        "_chunk", F.pmod(F.xxhash64("pid"), F.col("_chunks")))
-    # block = (a, ai, b, bj); same cell: only ai <= bj
-    pairs = (pairs.withColumn("ai", F.explode(F.sequence(F.lit(0), F.col("a_chunks") - 1)))
-             .withColumn("bj", F.explode(F.sequence(F.lit(0), F.col("b_chunks") - 1)))
-             .where((F.col("a") < F.col("b")) | (F.col("ai") <= F.col("bj"))))
-    pairs = pairs.select("a", "ai", "b", "bj")
-    cols = [c for c in points.columns if c != "cell"]
-    # many small blocks share one task: the co-group runs per task, blocks are split inside
-    n_blocks = pairs.count()
-    parallelism = points.sparkSession.sparkContext.defaultParallelism
-    n_tasks = max(1, min(n_blocks, max(4 * parallelism, -(-n_blocks // 64))))
-
-    def side(alias: str, cell_col: str, chunk_col: str) -> DataFrame:
-        p, q = pts.alias(alias), pairs.alias(alias + "P")
-        joined = p.join(q, (F.col(f"{alias}.cell") == F.col(f"{alias}P.{cell_col}"))
-                        & (F.col(f"{alias}._chunk") == F.col(f"{alias}P.{chunk_col}")))
-        # the four parts spelled out: two blocks never share a name
-        k = F.concat_ws("|", *[F.concat_ws(",", F.col(f"{alias}P.{c}").cast("array<string>")) if c in ("a", "b")
-                               else F.col(f"{alias}P.{c}") for c in ("a", "ai", "b", "bj")])
-        same = ((F.col(f"{alias}P.a") == F.col(f"{alias}P.b"))
-                & (F.col(f"{alias}P.ai") == F.col(f"{alias}P.bj"))).alias("same")
-        return joined.select(F.pmod(F.xxhash64(k), F.lit(n_tasks)).alias("task"), k.alias("blk"), same,
-                             *[F.col(f"{alias}.{c}").alias(c) for c in cols])
-
-    return side("L", "a", "ai"), side("R", "b", "bj")
-
-
-def _dist_ok(lv: np.ndarray, rv: np.ndarray, eps2: float) -> np.ndarray:
-    d2 = (np.sum(lv * lv, axis=1)[:, None] + np.sum(rv * rv, axis=1)[None, :] - 2.0 * lv @ rv.T)
-    exact = d2 <= eps2 * (1 + 1e-9) + 1e-12
-    # recheck borderline entries exactly (the expansion above can round)
-    near = np.abs(d2 - eps2) <= 1e-9 * max(1.0, eps2) + 1e-12
-    if near.any():
-        ii, jj = np.nonzero(near)
-        diff = lv[ii] - rv[jj]
-        exact[ii, jj] = np.sum(diff * diff, axis=1) <= eps2
-    return exact
-
-
-def _per_block(fn, empty_cols: dict):
-    """Run ``fn`` on every block of a task's co-group (left/right split by ``blk``)."""
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        outs = []
-        if not left.empty and not right.empty:
-            rgroups = {k: g for k, g in right.groupby("blk", sort=False)}
-            for k, lg in left.groupby("blk", sort=False):
-                rg = rgroups.get(k)
-                if rg is not None:
-                    outs.append(fn(lg.reset_index(drop=True), rg.reset_index(drop=True)))
-        if not outs:
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in empty_cols.items()})
-        return pd.concat(outs, ignore_index=True)
-    return run
-
-
-def _count_fn(eps: float):
-    eps2 = eps * eps
-
-    def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"pid": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
-        lv = np.vstack(left["v"].to_numpy())
-        rv = np.vstack(right["v"].to_numpy())
-        adj = _dist_ok(lv, rv, eps2)
-        lw = left["w"].to_numpy()
-        rw = right["w"].to_numpy()
-        out_l = adj.astype(np.int64) @ rw
-        parts = [pd.DataFrame({"pid": left["pid"].to_numpy(), "n": out_l})]
-        if not bool(left["same"].iloc[0]):
-            out_r = adj.T.astype(np.int64) @ lw
-            parts.append(pd.DataFrame({"pid": right["pid"].to_numpy(), "n": out_r}))
-        return pd.concat(parts, ignore_index=True)
-    return fn
-
-
-def _components(n: int, ii: np.ndarray, jj: np.ndarray) -> np.ndarray:
-    """Connected components on 0..n-1: every node gets the smallest node of its
-    component (vectorised min-label propagation with pointer jumping)."""
-    labels = np.arange(n)
-    if len(ii) == 0:
-        return labels
-    while True:
-        m = np.minimum(labels[ii], labels[jj])
-        new = labels.copy()
-        np.minimum.at(new, ii, m)
-        np.minimum.at(new, jj, m)
-        new = new[new]
-        while True:
-            jumped = new[new]
-            if np.array_equal(jumped, new):
-                break
-            new = jumped
-        if np.array_equal(new, labels):
-            return labels
-        labels = new
-
-
-def _edge_fn(eps: float):
-    eps2 = eps * eps
-
-    def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"),
-                              "border": pd.Series(dtype="bool")})
-        if left.empty or right.empty:
-            return empty
-        # nodes: union of both sides
-        both = pd.concat([left[["pid", "v", "core"]], right[["pid", "v", "core"]]]).drop_duplicates("pid")
-        both = both.sort_values("pid").reset_index(drop=True)
-        pid = both["pid"].to_numpy()
-        index = {p: i for i, p in enumerate(pid.tolist())}
-        li = np.array([index[p] for p in left["pid"].tolist()])
-        ri = np.array([index[p] for p in right["pid"].tolist()])
-        core = both["core"].to_numpy().astype(bool)
-        adj = _dist_ok(np.vstack(left["v"].to_numpy()), np.vstack(right["v"].to_numpy()), eps2)
-        a, b = np.nonzero(adj)
-        ga, gb = li[a], ri[b]
-        cc = core[ga] & core[gb]
-        roots = _components(len(pid), ga[cc], gb[cc])
-        rows_src, rows_dst, rows_border = [], [], []
-        # core -> local root (smallest pid of the local component: indices follow pid order)
-        core_idx = np.nonzero(core)[0]
-        rows_src.append(pid[core_idx])
-        rows_dst.append(pid[roots[core_idx]])
-        rows_border.append(np.zeros(len(core_idx), dtype=bool))
-        # border -> roots of adjacent core points
-        for x, y in ((ga, gb), (gb, ga)):
-            m = ~core[x] & core[y]
-            if m.any():
-                pairs = np.unique(np.stack([x[m], roots[y[m]]], axis=1), axis=0)
-                rows_src.append(pid[pairs[:, 0]])
-                rows_dst.append(pid[pairs[:, 1]])
-                rows_border.append(np.ones(len(pairs), dtype=bool))
-        out = pd.DataFrame({"src": np.concatenate(rows_src), "dst": np.concatenate(rows_dst),
-                            "border": np.concatenate(rows_border)})
-        return out.drop_duplicates()
-    return fn
-
-
-def _propagate(edges: DataFrame) -> DataFrame:
-    """Min-label connected components: (node, label) for every node in ``edges``."""
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    und = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    und = und.distinct().checkpoint(eager=True)
-    labels = und.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("label")) \
-        .select(F.col("src").alias("node"), "label").checkpoint(eager=True)
-    while True:  # until no label moves, whatever the number of rounds
-        prop = (und.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("nl")), "dst")
-                .groupBy("src").agg(F.min("nl").alias("nl")))
-        step = (labels.join(prop.select(F.col("src").alias("node"), "nl"), "node", "left")
-                .select("node", F.col("label").alias("_old"),
-                        F.least("label", F.coalesce("nl", "label")).alias("label")))
-        # pointer jumping: take the label of the label (stays inside the component)
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("_l2"))
-        new = (step.join(jump, "label", "left")
-               .select("node", F.least("label", F.coalesce("_l2", "label")).alias("label"), "_old"))
-        new = new.withColumn("_chg", F.col("label") < F.col("_old")).drop("_old").checkpoint(eager=True)
-        changed = new.where("_chg").limit(1).count()
-        labels = new.drop("_chg")
-        if changed == 0:
-            return labels
-
-
-def dbscan(df: DataFrame, order_col: str, feature_cols: list[str], eps: float, min_samples: int,
-           out_col: str = "cluster", block_rows: int = 2000, cell_factor: float | None = None,
-           target_per_cell: int = 512) -> DataFrame:
-    """Exact DBSCAN over ``feature_cols`` (already scaled); ``order_col`` is a
-    unique long giving the visiting order. Adds ``out_col`` (-1 = noise).
-
-    ``cell_factor`` widens grid cells to ``factor * eps`` (neighbours still lie
-    in adjacent cells). By default it is chosen from the mean occupancy of
-    eps-cells so that a cell holds about ``target_per_cell`` points: sparse data
-    gets fewer, fuller blocks; dense data keeps eps-cells (less distance work).
-    Above three dimensions cells stay at eps.
-    """
-    dims = len(feature_cols)
-    vec = F.array(*[F.col(c).cast("double") for c in feature_cols])
-    ensure_checkpoint_dir(df.sparkSession)
-    # freeze (order, vector) once: scaled features come from aggregates whose last
-    # bits may differ between executions, so results join back on the order key
-    keyed = df.select(F.col(order_col).cast("long").alias("_ord"), vec.alias("_v")).checkpoint(eager=True)
-    dp = keyed.groupBy("_v").agg(F.count(F.lit(1)).alias("w"), F.min("_ord").alias("pid"))
-    dp = dp.checkpoint(eager=True)
-    if cell_factor is None and dims > 3:
-        # widening multiplies candidate pairs by factor**dims: keep eps-cells in high dimensions
-        cell_factor = 1.0
-    if cell_factor is None:
-        unit = F.transform("_v", lambda x: F.floor(x / F.lit(float(eps))))
-        stats = dp.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(unit).alias("cells")).first()
-        occupancy = stats["n"] / max(1, stats["cells"])
-        cell_factor = min(8.0, max(1.0, (target_per_cell / max(occupancy, 1e-9)) ** (1.0 / dims)))
-    dp = dp.select("pid", "w", F.col("_v").alias("v"),
-                   # cells of side >= eps: every neighbour lies in an adjacent cell
-                   F.transform("_v", lambda x: F.floor(x / F.lit(float(eps) * max(1.0, cell_factor)))).alias("cell"))
-
-    left, right = _blocks(dp, dims, block_rows)
-    counts = (left.groupBy("task").cogroup(right.groupBy("task"))
-              .applyInPandas(_per_block(_count_fn(eps), {"pid": "int64", "n": "int64"}), "pid long, n long")
-              .groupBy("pid").agg(F.sum("n").alias("n")))
-    scored = dp.join(counts, "pid", "left").withColumn("core", F.coalesce("n", F.lit(0)) >= min_samples) \
-        .drop("n").checkpoint(eager=True)
-
-    left, right = _blocks(scored, dims, block_rows)
-    edge_fn = _per_block(_edge_fn(eps), {"src": "int64", "dst": "int64", "border": "bool"})
-    edges = (left.groupBy("task").cogroup(right.groupBy("task"))
-             .applyInPandas(edge_fn, "src long, dst long, border boolean")).distinct().checkpoint(eager=True)
-    core_edges = edges.where(~F.col("border"))
-    comp = _propagate(core_edges)  # node = core pid, label = min core pid of its cluster
-    numbered = ordinals_by_range(comp.select("label").distinct(), ["label"], "_k")
-    cluster_of_core = comp.join(numbered, "label").select(F.col("node").alias("pid"), (F.col("_k") - 1).alias("_c"))
-    border = (edges.where(F.col("border")).join(cluster_of_core.withColumnRenamed("pid", "dst"), "dst")
-              .groupBy(F.col("src").alias("pid")).agg(F.min("_c").alias("_b")))
-    labels = (scored.select("pid", "v", "core")
-              .join(cluster_of_core, "pid", "left").join(border, "pid", "left")
-              .select("v", F.when(F.col("core"), F.col("_c")).otherwise(F.coalesce(F.col("_b"), F.lit(-1)))
-                      .cast("long").alias(out_col)))
-    # both sides come from the same frozen vectors; the result goes back by order key
-    per_row = keyed.join(labels, keyed["_v"] == labels["v"]).select(F.col("_ord").alias("_dbscan_ord"), out_col)
-    return (df.join(per_row, F.col(order_col).cast("long") == F.col("_dbscan_ord"), "left")
-            .drop("_dbscan_ord"))
-
-
 # --------------------------------------------------------------------------
 # I2, I3 wrappers
 # --------------------------------------------------------------------------
@@ -363,28 +92,3 @@ def cluster_alerts(alerts: DataFrame, order_col: str, eps: float = 0.8, min_samp
                     out_col="alert_cluster").select(F.col("_order").alias("_alert_order"), "alert_cluster")
     return (feats.join(labels, F.col(order_col).cast("long") == F.col("_alert_order"), "left")
             .drop("_alert_order"))
-
-
-def brute_force_dbscan(points: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
-    """Sequential reference DBSCAN (visiting order = row order), for tests."""
-    n = len(points)
-    d2 = ((points[:, None, :] - points[None, :, :]) ** 2).sum(-1)
-    neigh = [np.nonzero(d2[i] <= eps * eps)[0] for i in range(n)]
-    core = np.array([len(x) >= min_samples for x in neigh])
-    labels = np.full(n, -1)
-    label = 0
-    for i in range(n):
-        if labels[i] != -1 or not core[i]:
-            continue
-        stack = [i]
-        labels[i] = label
-        while stack:
-            p = stack.pop()
-            if not core[p]:
-                continue
-            for q in neigh[p]:
-                if labels[q] == -1:
-                    labels[q] = label
-                    stack.append(q)
-        label += 1
-    return labels
