@@ -508,7 +508,7 @@ def q_context_recent(spark, sf):
     docs = DOC.build_incident_documents(mapping.withColumn("_doc_id", F.col("alert_id").cast("long")),
                                         id_col="_doc_id")
     vecs = VEC.hashed_tf_embed(docs, "_doc_id", "document", dim=384)
-    points = vecs.join(docs, "_doc_id").select(F.col("_doc_id").alias("id"), "vector", "document")
+    points = VEC.frozen_points(vecs, docs, "_doc_id", "document")
     q_vecs = VEC.embed_queries(TD.questions(spark, sf), "qid", "question", dim=384)
     contexts = VEC.build_context(VEC.retrieve_with_scores(VEC.cosine_topk(q_vecs, points, k=5), points))
     return DOC.recent_incidents_from_context(contexts, "qid", "context", 3)
@@ -606,8 +606,7 @@ def q_stream_tickets(spark, sf):
 def copilot(spark, sf, k=5, dim=384):
     docs = TD.table(spark, sf, "documents")
     doc_vecs = VEC.hashed_tf_embed(docs, "doc_id", "text", dim=dim)
-    points = doc_vecs.join(docs.select(F.col("doc_id"), F.col("text").alias("document")), "doc_id") \
-        .select(F.col("doc_id").alias("id"), "vector", "document")
+    points = VEC.frozen_points(doc_vecs, docs, "doc_id", "text")
     q = TD.questions(spark, sf)
     q_vecs = VEC.embed_queries(q, "qid", "question", dim=dim)
     hits = VEC.cosine_topk(q_vecs, points, k=k)

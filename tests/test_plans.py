@@ -30,11 +30,44 @@ def test_native_queries_stay_in_the_jvm(spark, name):
 
 def test_python_only_where_intended(spark):
     p = plan(E.queries()["vec_topk"](spark, SF))
-    assert "FlatMapCoGroupsInPandas" in p
+    assert "MapInArrow" in p and "FlatMapCoGroupsInPandas" not in p  # few queries: points stay where they lie
     for bad in FORBIDDEN:
         assert bad not in p
 
 
+def test_documents_are_embedded_once(spark, monkeypatch):
+    from alertforge.operators import vectors as VEC
+    seen = []
+    monkeypatch.setattr(VEC, "store", lambda df, name, keep=VEC.store: seen.append(plan(df)) or keep(df, name))
+    p = plan(E.queries()["copilot_prompts"](spark, SF))
+    assert "regexp_extract_all" not in p.lower()  # the search reads stored points and checkpointed queries
+    assert len(seen) == 1 and seen[0].lower().count("generate explode(regexp_extract_all") == 1
+    # retrieval reads the documents only, not the vectors
+    assert "ReadSchema: struct<id:bigint,document:string>" in p
+
+
+@pytest.mark.parametrize("k,exclude_self", [(1, False), (7, True), (50, False)])
+def test_topk_by_stream_and_by_blocks_equals_brute_force(spark, k, exclude_self):
+    import numpy as np
+
+    from alertforge.operators import vectors as VEC
+    rng = np.random.default_rng(k)
+    m = np.vstack([rng.normal(size=(60, 6)).round(1), np.zeros((2, 6)), np.ones((30, 6))])  # ties and zero vectors
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vector array<double>").repartition(5)
+    queries = points.where("id % 4 = 0").withColumnRenamed("id", "qid")
+    unit = np.linalg.norm(m, axis=1)
+    unit[unit == 0] = 1.0
+    scores = np.round((m @ m.T) / np.outer(unit, unit), 6)
+    want = []
+    for i in range(0, len(m), 4):
+        order = sorted((j for j in range(len(m)) if not (exclude_self and i == j)), key=lambda j: (-scores[i, j], j))[:k]
+        want += [(i, r, j, scores[i, j]) for r, j in enumerate(order, 1)]
+    for size in (VEC.BROADCAST_BYTES, 0):
+        got = VEC.cosine_topk(queries, points, k, exclude_self=exclude_self, block_rows=7, broadcast_bytes=size)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert VEC.cosine_topk(queries.limit(0), points, k).count() == 0
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     df = E.queries()["dash_device_alerts"](spark, SF)
     scan = [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line]
