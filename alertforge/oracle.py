@@ -679,6 +679,14 @@ SELECT organization || '|' || device || '|' || CAST(epoch_us(time_window) AS VAR
        organization, device, time_window, alert_count, severity_score, critical_alert_count, start_time, end_time,
        duration_minutes, root_cause_candidate, incident_cause, description, incident_type
 FROM incidents WHERE time_window + INTERVAL 5 MINUTE <= {closed}"""
+    q["stream_keep_first"] = "WITH " + VENDOR_EVENTS + " SELECT * FROM silver"
+    q["stream_incidents_complete"] = I + """
+SELECT organization || '|' || device || '|' || CAST(epoch_us(time_window) AS VARCHAR) AS incident_key,
+       organization, device, time_window, alert_count, severity_score, critical_alert_count, start_time, end_time,
+       duration_minutes, root_cause_candidate, incident_cause, description, incident_type
+FROM incidents"""
+    q["stream_timeline_complete"] = I + """
+SELECT time_window AS "timestamp", count(alert_id) AS alerts_count FROM alert_map GROUP BY time_window"""
     q["stream_escalation"] = I + """,
 esc AS (
   SELECT organization || '|' || device || '|' || CAST(epoch_us(time_window) AS VARCHAR) AS incident_key,

@@ -579,6 +579,25 @@ def q_stream_dedupe(spark, sf):
     return out.select(*S.SILVER_DEDUPE_KEYS)
 
 
+@register("stream_keep_first")
+def q_stream_keep_first(spark, sf):
+    """K2 by the batch rule: whole rows, equal to ``silver_clean``."""
+    silver = STREAM.silver_stream(STREAM.read_table_stream(spark, sf, "events"))
+    return STREAM.run_to_end(silver, "event_time", STREAM.keep_first_stream, "keep-first")
+
+
+@register("stream_incidents_complete")
+def q_stream_incidents_complete(spark, sf):
+    """K3 with late rows kept aside and open windows flushed: every incident."""
+    return STREAM.run_windows(alert_stream(spark, sf), STREAM.incidents_of, name="incidents-all")[0]
+
+
+@register("stream_timeline_complete")
+def q_stream_timeline_complete(spark, sf):
+    """K4 to the last bucket."""
+    return STREAM.run_windows(alert_stream(spark, sf), STREAM.timeline_of, name="timeline-all")[0]
+
+
 @register("stream_incidents")
 def q_stream_incidents(spark, sf):
     return STREAM.run_available(STREAM.incidents_stream(alert_stream(spark, sf)), "incidents")
