@@ -297,8 +297,7 @@ DASH_FOCUS_DEVICE = "dev-1"
 
 
 def dashboard(spark, sf):
-    incidents, mapping = core(spark, sf)
-    return DASH.build_dashboard_model(mapping, incidents)
+    return DASH.build_dashboard_model(normalized(spark, sf), lambda: core(spark, sf)[0])
 
 
 @register("dash_kpis")

@@ -118,6 +118,65 @@ def test_hot_device_results_match_pandas(spark):
     assert ids == [f"INC-{i:06d}" for i in range(1, len(ids) + 1)]
 
 
+@pytest.mark.parametrize("split_rows", [1, 40, 500])
+def test_lag_of_a_hot_device_over_many_tasks(spark, split_rows):
+    df, pdf = _skewed_alerts(spark)
+    df = df.unionByName(df.where("alert_id % 100 = 0").withColumn("alert_id", F.concat("alert_id", F.lit("x"))))  # ties
+    got = {r["alert_id"]: r["time_since_prev_alert_min"]
+           for r in INC.engineer_alert_features(df, bucket="1 day", split_rows=split_rows).collect()}
+    rows = df.toPandas().sort_values(["timestamp", "alert_id"])
+    want = rows.groupby(["organization", "device"])["timestamp"].diff().dt.total_seconds().div(60).fillna(0)
+    assert len(got) == len(rows)
+    for aid, expected in zip(rows["alert_id"], want):
+        assert abs(got[aid] - expected) < 1e-9
+
+
+def test_hot_bucket_is_spread_over_ranges(spark):
+    """A device with a third of all rows fills about a third of the ranges, none holds it whole."""
+    df, _ = _skewed_alerts(spark)
+    rows = INC.normalize_alerts(df).withColumn("_bucket", F.lit(0))
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        ranged = rows.repartitionByRange(12, "organization", "device", "_bucket", "timestamp", "alert_id")
+        per_range = ranged.where("device = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+        lagged = INC._lag_over_tasks(rows, ["organization", "device", "_bucket"])
+        assert lagged.where("device = 'hot' and _prev is null").count() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(per_range) >= 4 and max(r["count"] for r in per_range) <= 400
+
+
+DASH_VIEWS = ["dash_kpis", "dash_severity_counts", "dash_alert_type_counts", "dash_alerts_over_time", "dash_top_devices"]
+
+
+@pytest.mark.parametrize("name", DASH_VIEWS)
+def test_dashboard_views_read_the_cube_only(spark, monkeypatch, name):
+    """Counts never touch the alerts; the cube is one scan and one shuffle of them, whatever the view."""
+    from alertforge.operators import dashboard as DASH
+    stored = []
+    monkeypatch.setattr(DASH, "store", lambda df, what, keep=DASH.store: stored.append(plan(df)) or keep(df, what))
+    p = plan(E.queries()[name](spark, SF))
+    assert "events.parquet" not in p
+    assert len(stored) == 1 and stored[0].count("FileScan") == 1 and stored[0].count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("window", ["5min", "1 hour", "6 hours", "7min"])
+def test_cube_counts_incidents_of_any_window(spark, window):
+    from alertforge.operators import dashboard as DASH
+    df, _ = _skewed_alerts(spark)
+    incidents, mapping = INC.build_incidents(df, window)
+    model = DASH.build_dashboard_model(INC.normalize_alerts(df), lambda: incidents, window)
+    got = DASH.kpis(model).first()
+    assert (got["total_alerts"], got["incidents"]) == (mapping.count(), incidents.count())
+    summary = {r["device_name"]: r["incidents_count"] for r in model["device_alert_summary"].collect()}
+    assert summary == {r["device"]: r["count"] for r in incidents.groupBy("device").count().collect()}
+    few = DASH.apply_device_filter(model, ["hot", "d1"])
+    assert DASH.kpis(few).first()["total_devices"] == 2
+    assert few["fact_alerts"].count() == mapping.where("device in ('hot', 'd1')").count()
+    assert few["incidents"].count() == incidents.where("device in ('hot', 'd1')").count()
+    assert DASH.device_alerts(few, "d2").count() == 0
+
+
 def test_duplicate_storm_keep_first(spark):
     rows = [("meraki", f"a{i:05d}", "c", "o", "dev", "id", "svc", "t", "LOW", "triggered",
              dt.datetime(2024, 1, 1), False, dt.datetime(2024, 1, 1, 0, 0, i % 60)) for i in range(5000)]
