@@ -753,8 +753,18 @@ FROM pts JOIN lab ON pts.x = lab.x AND pts.y = lab.y AND pts.z = lab.z"""
         "FROM pts JOIN lab ON pts.x = lab.x AND pts.y = lab.y AND pts.z = lab.z\n"
         "JOIN incidents i ON pts.incident_id = i.incident_id WHERE lab.cluster_id <> -1 GROUP BY lab.cluster_id")
 
+    q["alert_map_clustered"] = q["incident_clusters"].replace(
+        "SELECT pts.incident_id, lab.cluster_id, CAST(CASE WHEN lab.cluster_id = -1 THEN 1 ELSE 0 END AS INTEGER)\n"
+        "       AS is_noise_cluster\nFROM pts JOIN lab ON pts.x = lab.x AND pts.y = lab.y AND pts.z = lab.z",
+        "SELECT m.*, i.incident_type, lab.cluster_id FROM alert_map m LEFT JOIN incidents i ON m.incident_id = i.incident_id\n"
+        "LEFT JOIN pts ON m.incident_id = pts.incident_id\n"
+        "LEFT JOIN lab ON pts.x = lab.x AND pts.y = lab.y AND pts.z = lab.z")
     q["alert_clusters"] = alert_dbscan_sql()
-    for key in ("incident_clusters", "cluster_summary"):
+    q["pipeline_metrics_clustered"] = f"""
+SELECT p.*, CASE WHEN p.total_alerts > 0 THEN c.n / p.total_alerts ELSE 0.0 END AS clustered_alert_ratio
+FROM ({q["pipeline_metrics"]}) p,
+     (SELECT CAST(count(*) FILTER (alert_cluster <> -1) AS DOUBLE) AS n FROM ({q["alert_clusters"]}) a) c"""
+    for key in ("incident_clusters", "cluster_summary", "alert_map_clustered"):
         q[key] = "WITH RECURSIVE " + q[key][len("WITH "):]
 
     from alertforge.operators.answers import DEFAULT_TEMPLATE, INTENT_KEYWORDS, INTENT_PRECEDENCE

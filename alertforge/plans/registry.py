@@ -537,6 +537,22 @@ def q_incident_clusters(spark, sf):
         "incident_id", "cluster_id", "is_noise_cluster")
 
 
+@register("alert_map_clustered")
+def q_alert_map_clustered(spark, sf):
+    """Every alert with its incident's type and cluster."""
+    incidents, mapping = core(spark, sf)
+    clustered = ML.cluster_incidents(INC.build_incidents_gold(incidents))
+    return mapping.join(clustered.select("incident_id", "incident_type", "cluster_id"), "incident_id", "left")
+
+
+@register("pipeline_metrics_clustered")
+def q_pipeline_metrics_clustered(spark, sf):
+    """D16 with the share of alerts that lie in a cluster."""
+    incidents, mapping = core(spark, sf)
+    ordered = ORD.ordinals_by_range(mapping, ["timestamp", "alert_id"], "_order")
+    return REP.pipeline_metrics(mapping, incidents, ML.cluster_alerts(ordered, "_order"))
+
+
 @register("cluster_summary")
 def q_cluster_summary(spark, sf):
     incidents, _ = core(spark, sf)

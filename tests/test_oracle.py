@@ -13,7 +13,7 @@ from alertforge.plans.registry import REGISTRY  # noqa: E402
 from compare import compare, duck  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"alert_clusters", "device_anomalies"}
+SLOW = {"device_anomalies"}
 
 
 @pytest.fixture(scope="module")

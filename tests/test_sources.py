@@ -133,3 +133,25 @@ def test_gold_sinks(spark, tmp_dir):
     summ = spark.read.json(os.path.join(tmp_dir, "gold", "incident_summary.json")).collect()[0]
     assert summ["overview"]["total_incidents"] == inc.count()
     assert len(summ["recent_incidents"]) == 5
+
+
+def test_catalog_tables_are_appended_and_scanned(spark, tmp_dir):
+    """Rows appended to a catalog table and to a folder are read back; a missing table is an error."""
+    name = f"alerts_{os.path.basename(tmp_dir).replace('-', '_')}"
+    spark.sql(f"CREATE TABLE {name} (alert_id STRING, n LONG) USING parquet LOCATION '{tmp_dir}/table'")
+    try:
+        for i in range(2):
+            FILES.append_to(spark.createDataFrame([(f"a{i}", i), (None, None)], "alert_id string, n long"), name)
+        got = FILES.read_table(spark, name)
+        assert sorted(map(str, got.collect())) == sorted(
+            ["Row(alert_id='a0', n=0)", "Row(alert_id='a1', n=1)"] + ["Row(alert_id=None, n=None)"] * 2)
+        assert FILES.read_table(spark, name).where("n = 1").select("alert_id").first()[0] == "a1"
+        with pytest.raises(Exception):  # another shape does not slip in
+            FILES.append_to(spark.createDataFrame([("x",)], "other string"), name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+    for _ in range(2):
+        FILES.append_to(spark.range(3).withColumnRenamed("id", "n"), f"{tmp_dir}/folder")
+    assert spark.read.parquet(f"{tmp_dir}/folder").count() == 6
+    with pytest.raises(Exception):
+        FILES.read_table(spark, name)
