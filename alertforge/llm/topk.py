@@ -87,11 +87,11 @@ def keyed(vectors: DataFrame, pivots: dict[int, list[list[int]]], top: dict[int,
                 norms = (v.astype(np.float64) ** 2).sum(axis=1)
                 gaps = np.sqrt(np.maximum(norms[:, None] + top[dims] - 2 * dot, 0.0))
                 best = apart.argmin(axis=1)
-                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "v": list(v), "dims": dims,
+                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "qkey": part["qkey"].to_numpy(), "v": list(v), "dims": dims,
                                     "pivot": best, "dist": apart[np.arange(len(v)), best], "gaps": list(gaps)})
 
     return vectors.mapInPandas(
-        assign, "vec_id long, v array<long>, dims int, pivot int, dist double, gaps array<double>")
+        assign, "vec_id long, qkey long, v array<long>, dims int, pivot int, dist double, gaps array<double>")
 
 
 def _blocks(rows: DataFrame, size: int, out: str) -> DataFrame:
@@ -116,7 +116,7 @@ def _slack(x: Column) -> Column:
 def _search(scores_of: int):
     """Search one (query block, index block) pair; ``scores_of`` is k."""
     def run(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"qkey": [], "query_id": [], "vec_id": [], "score": []}
         if len(q) and len(x):
             x = x.sort_values(["dist", "vec_id"], kind="stable")
             qv, xv = _matrix(q["v"]), _matrix(x["v"])
@@ -147,17 +147,17 @@ def _search(scores_of: int):
                 best_s[live] = np.take_along_axis(all_s, order, axis=1)
                 best_i[live] = np.take_along_axis(all_i, order, axis=1)
             found = best_i != np.iinfo(np.int64).max
-            out = {"query_id": np.repeat(qid, scores_of)[found.ravel()], "vec_id": best_i[found],
-                   "score": best_s[found]}
+            out = {"qkey": np.repeat(q["qkey"].to_numpy(), scores_of)[found.ravel()],
+                   "query_id": np.repeat(qid, scores_of)[found.ravel()], "vec_id": best_i[found], "score": best_s[found]}
         return pd.DataFrame(out).astype("int64")
 
     return run
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
-    """The k best per query: an aggregate over at most k rows per (query, block)."""
-    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id", "_copy"))
-    return hits.withColumn("_copy", F.lit(0)).withColumn("rank", ranked.cast("int")).where(F.col("rank") <= k).drop("_copy")
+    """The k best per query row: an aggregate over at most k rows per (query row, block)."""
+    ranked = F.row_number().over(Window.partitionBy("qkey").orderBy(F.col("score").desc(), "vec_id"))
+    return hits.withColumn("rank", ranked.cast("int")).where(F.col("rank") <= k)
 
 
 def _meet(asked: DataFrame, index: DataFrame, pairs: DataFrame):
@@ -166,13 +166,13 @@ def _meet(asked: DataFrame, index: DataFrame, pairs: DataFrame):
     rows = (index.join(wanted, F.col("block") == F.col("_x"))
             .select("_q", "_x", *[F.col(c).alias(c) for c in ("vec_id", "v", "pivot", "dist", "top")]))
     left = asked.select(F.col("qblock").alias("_qq"), F.col("block").alias("_qx"),
-                        *[F.col(c).alias(c) for c in ("vec_id", "v", "gaps", "bound")])
+                        *[F.col(c).alias(c) for c in ("vec_id", "qkey", "v", "gaps", "bound")])
     return left.groupBy("_qq", "_qx").cogroup(rows.groupBy("_q", "_x"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score`` for quantised ``vectors`` and ``queries`` (vec_id, v)."""
-    hits = "query_id long, vec_id long, score long"
+    hits = "qkey long, query_id long, vec_id long, score long"
     vectors = freeze(vectors.withColumn("dims", F.size("v")), "topk-vectors")
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     top = {r["dims"]: float(r["top"]) for r in vectors.groupBy("dims").agg(F.max(norm).alias("top")).collect()}
@@ -185,9 +185,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     tops = F.create_map(*[F.lit(x) for d, t in top.items() for x in (d, t)])
 
-    index = freeze(_blocks(keyed(vectors.select("vec_id", "v"), pivots, top).drop("gaps"), block, "block")
+    index = freeze(_blocks(keyed(vectors.select("vec_id", F.lit(0).cast("long").alias("qkey"), "v"), pivots, top)
+                           .drop("gaps", "qkey"), block, "block")
                    .withColumn("top", tops[F.col("dims")]), "topk-index")
-    asked = queries.where(F.size("v").isin(list(top)))
+    # rows that share a vec_id are queries of their own
+    asked = freeze(queries.where(F.size("v").isin(list(top))).select("vec_id", F.monotonically_increasing_id().alias("qkey"), "v"),
+                   "topk-asked")
     q = freeze(_blocks(keyed(asked, pivots, top), QUERY_BLOCK, "qblock"), "topk-queries")
 
     rings = index.groupBy("block", "dims", "pivot").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"))
@@ -199,9 +202,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
     home = freeze(home, "topk-home")
     first = q.join(home, "qblock").withColumn("bound", F.lit(None).cast("double"))
     seed = freeze(_meet(first, index, home).applyInPandas(_search(k), hits), "topk-seed")
-    bound = (_best(seed, k).groupBy("query_id").agg(F.min("score").alias("_s"), F.count(F.lit(1)).alias("_n"))
-             .select(F.col("query_id").alias("vec_id"), F.when(F.col("_n") >= k, F.col("_s")).cast("double").alias("bound")))
-    q = freeze(q.join(bound, "vec_id", "left"), "topk-bounded")
+    bound = (_best(seed, k).groupBy("qkey").agg(F.min("score").alias("_s"), F.count(F.lit(1)).alias("_n"))
+             .select("qkey", F.when(F.col("_n") >= k, F.col("_s")).cast("double").alias("bound")))
+    q = freeze(q.join(bound, "qkey", "left"), "topk-bounded")
 
     # a query block's reach per pivot: the range of its queries' distances and its weakest bound
     reach = (q.select("qblock", "dims", F.posexplode("gaps").alias("pivot", "gap"), "bound",

@@ -46,17 +46,23 @@ def awkward_dir(spark, tmp_path_factory):
     spark.createDataFrame(awkward_documents(), SCHEMA).repartition(5).write.parquet(f"{top}/documents.parquet")
     spark.createDataFrame([(1, "w1 w2 W3 common", "x"), (2, None, "x"), (3, "", "x"), (3, "été w5 w5", "x")],
                           "item_id long, text string, gain string").write.parquet(f"{top}/benchmark.parquet")
+    rng = np.random.default_rng(11)
+    vectors = [(int(i), rng.normal(size=8).tolist()) for i in rng.permutation(260)]
+    vectors += [(50, rng.normal(size=8).tolist()) for _ in range(3)] + [(100, vectors[0][1])] * 4  # ids asked several times
+    vectors += [(7, vectors[3][1])] * 30 + [(None, [1.0] * 8), (150, None), (200, [None] * 8), (250, [float("nan")] * 8), (0, [1.0, 2.0])]
+    spark.createDataFrame([(*r, "clash") for r in vectors], "vec_id long, embedding array<double>, qkey string") \
+        .repartition(3).write.parquet(f"{top}/embeddings.parquet")
     return top
 
 
 def awkward_duck(top):
     con = duck(top)
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM read_parquet('{top}/{t}.parquet/*.parquet')")
     return con
 
 
-@pytest.mark.parametrize("name", ["op9_quality_rules", "op11_line_dedup", "op12_importance_resampling", "op13_source_divergence"])
+@pytest.mark.parametrize("name", ["op2_pivot_topk", "op9_quality_rules", "op11_line_dedup", "op12_importance_resampling", "op13_source_divergence"])
 def test_registered_query_on_awkward_rows(spark, awkward_dir, name):
     ok, msg = compare(spark, name, awkward_dir, awkward_duck(awkward_dir))
     assert ok, msg
