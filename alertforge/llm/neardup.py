@@ -14,18 +14,21 @@ Jaccard similarity is 0.8 or more, and a class is a connected component.
 2. *Bands*. Equal texts are collapsed first (by MD5); each distinct text
    gives 24 band keys of 4 slots (a pair at 0.8 shares one with probability
    1 - 3e-6).
-3. *Verification*. Members of a band's bucket are compared with the bucket's
-   leader only, by exact J_P over their shingles, and merged into components.
-   Buckets whose members still lie in several components are compared again,
-   one drawn member per component with a drawn leader, until a round merges
-   nothing. So most pairs compared grow with the members, not with their
-   square.
-4. *Rest*. In buckets that still hold several components every pair of texts
-   of different components is decided: members are packed into bounded blocks,
-   blocks meet inside the bucket, a task checks a block pair and returns only
-   the components it links. A pair that shares several buckets is decided in
-   its first; pairs whose common shingles weigh too little for the bound in
-   either text are dropped before the exact J_P.
+3. *Estimate*. One byte per slot stays with each text. The share of slots that
+   agree estimates J_P; a pair with fewer than 57 of 96 is dropped (a pair at
+   0.8 is lost so with probability 4e-7, below what the bands lose).
+4. *Verification*. Members of a band's bucket are compared with the bucket's
+   leader first, by exact J_P over their shingles, and merged into components.
+   In buckets whose members still lie in several components, blocks of members
+   meet by their sketches alone, and each component's best estimated pair with
+   another is verified; rounds go on until one merges nothing. So the pairs
+   verified grow with the members, not with their square.
+5. *Rest*. Texts that still have a near partner in another component, by the
+   estimate, are compared with all of them: they are packed into bounded
+   blocks, blocks meet inside the bucket, a task checks a block pair and
+   returns only the components it links. A pair that shares several buckets is
+   decided in its first; pairs whose common shingles weigh too little for the
+   bound in either text are dropped before the exact J_P.
 
 Defined results: a null text is empty; a text without words is in a class with
 equal texts only; a text of one to four words is one shingle. Rows that share
@@ -53,6 +56,10 @@ BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
 BLOCK_MEMBERS, BLOCK_BYTES = 256, 2 << 20
 BLOCK_PAIRS_PER_BATCH = 8
+# a pair at 0.8 agrees in fewer of its 96 slots with probability 4e-7
+MIN_AGREEING = 57
+BUCKET_BLOCK = 2048
+_COMPARED = 512
 _COLUMNS = 4096
 
 _TO_BLANK = {ord(c): " " for c in WORD_SPACE}
@@ -178,13 +185,15 @@ def _sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b in slices(texts):
             doc, shingle, weight = weighted_shingles(texts[a:b])
             keys: list = [[] for _ in range(b - a)]
+            marks = [b""] * (b - a)
             with_words = np.unique(doc)
             if len(with_words):
                 place = np.searchsorted(with_words, doc)
-                found = band_keys(prob_minhash(place, shingle, weight, len(with_words)))
-                for i, row in zip(with_words, found):
-                    keys[i] = row
-            yield pd.DataFrame({"node": nodes[a:b], "md5": sums[a:b], "keys": keys})
+                sketches = prob_minhash(place, shingle, weight, len(with_words))
+                low = sketches.astype(np.uint8)
+                for i, row, mark in zip(with_words, band_keys(sketches), low):
+                    keys[i], marks[i] = row, mark.tobytes()
+            yield pd.DataFrame({"node": nodes[a:b], "md5": sums[a:b], "keys": keys, "marks": marks})
 
 
 def _content_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,6 +231,87 @@ def verify(pairs: DataFrame, content: DataFrame, min_similarity: float) -> DataF
             .where(F.col("similarity") >= min_similarity))
 
 
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many slots agree, each row of ``a`` with each of ``b`` (one byte a slot)."""
+    out = np.zeros((len(a), len(b)), np.uint8)
+    for slot in range(a.shape[1]):
+        out += a[:, slot][:, None] == b[:, slot][None, :]
+    return out
+
+
+def _near_pairs(key: int, left: pd.DataFrame, right: pd.DataFrame | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in left, place in right, slots that agree) of the pairs of different components whose sketches are near.
+
+    ``right`` is None for one block with itself. A pair that shares several
+    buckets is looked at in the first of them. Every such pair has an end
+    outside the component that most of the rows belong to, so only those ends
+    are compared.
+    """
+    both = left if right is None else pd.concat([left, right], ignore_index=True)
+    c = both["c"].to_numpy()
+    side = np.arange(len(both)) >= len(left)
+    marks = np.frombuffer(b"".join(both["marks"]), np.uint8).reshape(len(both), SLOTS)
+    names, sizes = np.unique(c, return_counts=True)
+    few = np.flatnonzero(c != names[sizes.argmax()])
+    found = []
+    for start in range(0, len(few), _COMPARED):
+        rows = few[start:start + _COMPARED]
+        n = agreeing(marks[rows], marks)
+        i, j = np.nonzero((n >= MIN_AGREEING) & (c[rows][:, None] != c[None, :]))
+        found.append((rows[i], j, n[i, j]))
+    x, y, n = (np.concatenate(p) for p in zip(*found)) if found else (np.zeros(0, int),) * 3
+    x, y = np.minimum(x, y), np.maximum(x, y)
+    fits = side[x] != side[y] if right is not None else x != y
+    x, y, n = x[fits], y[fits], n[fits]
+    if len(x):
+        keys = np.stack(both["keys"].to_numpy())
+        one, place = np.unique(x * len(both) + y, return_index=True)
+        x, y, n = x[place], y[place], n[place]
+        first = (keys[x] == keys[y]).argmax(axis=1)
+        own = keys[x, first] == key
+        x, y, n = x[own], y[own], n[own]
+    return x, y - (0 if right is None else len(left)), n
+
+
+def _bucket_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members of unsettled buckets with their sketches, once per pair ``(i, j)`` of blocks they meet in."""
+    parts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET_BLOCK).cast("long").alias("_parts"))
+    placed = (members.select("key", "text_id", "c").join(parts, "key")
+              .withColumn("part", F.pmod(F.xxhash64("text_id"), F.col("_parts")))
+              .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))))
+    return (placed.select("key", F.least("part", "_other").alias("i"), F.greatest("part", "_other").alias("j"), "part", "text_id", "c")
+            .join(texts.select("text_id", "keys", "marks"), "text_id"))
+
+
+def _look(answer):
+    """Per pair of blocks: ``answer(left, right, x, y, n)`` of its near pairs."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+        left = rows[rows["part"] == i].reset_index(drop=True)
+        right = None if i == j else rows[rows["part"] == j].reset_index(drop=True)
+        if not len(left) or (right is not None and not len(right)):
+            return answer(left, left, *(np.zeros(0, int),) * 3)
+        return answer(left, left if right is None else right, *_near_pairs(int(rows["key"].iloc[0]), left, right))
+    return run
+
+
+def _best_partner(left: pd.DataFrame, right: pd.DataFrame, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """For each component the pair that agrees most: at most one per component and pair of blocks."""
+    a, b = left["text_id"].to_numpy()[x], right["text_id"].to_numpy()[y]
+    pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": n.astype(np.int64),
+                          "ca": left["c"].to_numpy()[x], "cb": right["c"].to_numpy()[y]}).sort_values(
+        ["n", "a", "b"], ascending=[False, True, True])
+    best = pd.concat([pairs.drop_duplicates("ca"), pairs.drop_duplicates("cb")]).drop_duplicates(["a", "b"])
+    return best[["a", "b"]].astype("int64")
+
+
+def _with_partner(left: pd.DataFrame, right: pd.DataFrame, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """The texts that have a near partner in another component."""
+    ids = np.concatenate([left["text_id"].to_numpy()[np.unique(x)], right["text_id"].to_numpy()[np.unique(y)]])
+    key = (left if len(left) else right)["key"].iloc[0] if len(ids) else 0
+    return pd.DataFrame({"key": key, "text_id": np.unique(ids)}).astype("int64")
+
+
 def _shared_mass(a: list[tuple[np.ndarray, np.ndarray]],
                  b: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Of each text of ``a`` against each of ``b``: the share of the first, and of the second, on common shingles.
@@ -375,8 +465,8 @@ def _same_document(sketch: DataFrame, texts: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, min_similarity: float) -> DataFrame:
     """``(node, md5, class_id)`` per row of ``docs``."""
     rows = _nodes(docs)
-    sketch = freeze(rows.mapInPandas(_sketch_rows, "node long, md5 binary, keys array<bigint>"), "dedup-sketch")
-    texts = freeze(sketch.groupBy("md5").agg(F.min("node").alias("first_node"), F.first("keys").alias("keys"))
+    sketch = freeze(rows.mapInPandas(_sketch_rows, "node long, md5 binary, keys array<bigint>, marks binary"), "dedup-sketch")
+    texts = freeze(sketch.groupBy("md5").agg(F.min("node").alias("first_node"), F.first("keys").alias("keys"), F.first("marks").alias("marks"))
                    .withColumn("text_id", F.monotonically_increasing_id()), "dedup-texts")
 
     member = texts.select("text_id", F.explode("keys").alias("key"))
@@ -393,9 +483,7 @@ def _classes(docs: DataFrame, min_similarity: float) -> DataFrame:
     pairs = members.where("text_id <> lead").select(F.col("lead").alias("a"), F.col("text_id").alias("b")).distinct()
     labels = connected_components(verify(pairs, content, min_similarity).select("a", "b")
                                   .union(_same_document(sketch, texts)))
-    turn = 0
     while True:
-        turn += 1
         tagged = members.select("key", "text_id").join(
             labels.select(F.col("v").alias("text_id"), "c"), "text_id", "left") \
             .withColumn("c", F.coalesce("c", "text_id"))
@@ -405,15 +493,13 @@ def _classes(docs: DataFrame, min_similarity: float) -> DataFrame:
         members, n_open = freeze_counted(tagged.join(unsettled, "key"), "dedup-open")
         if not n_open:
             break
-        # a member drawn by hash leads each bucket: large components lead most, by ever different members
-        draw = F.xxhash64(F.lit(turn), "key", "text_id")
-        parts = members.groupBy("key", "c").agg(F.min_by("text_id", draw).alias("b"), F.min(draw).alias("_draw"))
-        chosen = parts.groupBy("key").agg(F.min_by(F.struct("c", "b"), "_draw").alias("lead"))
-        again = (parts.join(chosen, "key").where(F.col("c") != F.col("lead.c"))
-                 .select(F.least("lead.b", "b").alias("a"), F.greatest("lead.b", "b").alias("b")).distinct())
-        links, n_links = freeze_counted(verify(again, content, min_similarity), "dedup-links")
+        met = _bucket_pairs(members, texts)
+        picked = met.groupBy("key", "i", "j").applyInPandas(_look(_best_partner), "a long, b long").distinct()
+        links, n_links = freeze_counted(verify(picked, content, min_similarity), "dedup-links")
         if not n_links:  # the rest is decided pair by pair
-            labels = _merged(labels, remaining_links(members, texts, content, min_similarity))
+            near = freeze(_bucket_pairs(members, texts).groupBy("key", "i", "j")
+                          .applyInPandas(_look(_with_partner), "key long, text_id long").distinct(), "dedup-near")
+            labels = _merged(labels, remaining_links(members.join(near, ["key", "text_id"]), texts, content, min_similarity))
             break
         named = labels.select("v", "c")
         ends = (links.select("a", "b").join(named.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", "left")
