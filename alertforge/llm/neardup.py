@@ -43,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -239,38 +240,34 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _near_pairs(key: int, left: pd.DataFrame, right: pd.DataFrame | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in left, place in right, slots that agree) of the pairs of different components whose sketches are near.
+def _near_pairs(key: int, side: np.ndarray | None, c: np.ndarray, keys: np.ndarray,
+                marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, place, slots that agree) of the pairs of different components whose sketches are near.
 
-    ``right`` is None for one block with itself. A pair that shares several
-    buckets is looked at in the first of them. Every such pair has an end
-    outside the component that most of the rows belong to, so only those ends
-    are compared.
+    ``side`` tells two blocks apart that meet (None for one block with itself).
+    A pair that shares several buckets is looked at in the first of them. Every
+    such pair has an end outside the component that most of the rows belong to,
+    so only those ends are compared.
     """
-    both = left if right is None else pd.concat([left, right], ignore_index=True)
-    c = both["c"].to_numpy()
-    side = np.arange(len(both)) >= len(left)
-    marks = np.frombuffer(b"".join(both["marks"]), np.uint8).reshape(len(both), SLOTS)
-    names, sizes = np.unique(c, return_counts=True)
-    few = np.flatnonzero(c != names[sizes.argmax()])
-    found = []
+    names, at, sizes = np.unique(c, return_inverse=True, return_counts=True)
+    few = np.flatnonzero(at != sizes.argmax())
+    found = [(np.zeros(0, np.int64),) * 3]
     for start in range(0, len(few), _COMPARED):
         rows = few[start:start + _COMPARED]
         n = agreeing(marks[rows], marks)
         i, j = np.nonzero((n >= MIN_AGREEING) & (c[rows][:, None] != c[None, :]))
-        found.append((rows[i], j, n[i, j]))
-    x, y, n = (np.concatenate(p) for p in zip(*found)) if found else (np.zeros(0, int),) * 3
+        if len(i):
+            found.append((rows[i], j, n[i, j]))
+    x, y, n = (np.concatenate(p) for p in zip(*found))
+    if not len(x):
+        return x, y, n
     x, y = np.minimum(x, y), np.maximum(x, y)
-    fits = side[x] != side[y] if right is not None else x != y
-    x, y, n = x[fits], y[fits], n[fits]
-    if len(x):
-        keys = np.stack(both["keys"].to_numpy())
-        one, place = np.unique(x * len(both) + y, return_index=True)
-        x, y, n = x[place], y[place], n[place]
-        first = (keys[x] == keys[y]).argmax(axis=1)
-        own = keys[x, first] == key
-        x, y, n = x[own], y[own], n[own]
-    return x, y - (0 if right is None else len(left)), n
+    first = (keys[x] == keys[y]).argmax(axis=1)
+    own = keys[x, first] == key
+    if side is not None:
+        own &= side[x] != side[y]
+    _, place = np.unique(x[own] * len(c) + y[own], return_index=True)
+    return x[own][place], y[own][place], n[own][place]
 
 
 def _bucket_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -283,33 +280,61 @@ def _bucket_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
             .join(texts.select("text_id", "keys", "marks"), "text_id"))
 
 
-def _look(answer):
-    """Per pair of blocks: ``answer(left, right, x, y, n)`` of its near pairs."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        left = rows[rows["part"] == i].reset_index(drop=True)
-        right = None if i == j else rows[rows["part"] == j].reset_index(drop=True)
-        if not len(left) or (right is not None and not len(right)):
-            return answer(left, left, *(np.zeros(0, int),) * 3)
-        return answer(left, left if right is None else right, *_near_pairs(int(rows["key"].iloc[0]), left, right))
-    return run
-
-
-def _best_partner(left: pd.DataFrame, right: pd.DataFrame, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+def _best_partner(key: int, ids: np.ndarray, c: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple:
     """For each component the pair that agrees most: at most one per component and pair of blocks."""
-    a, b = left["text_id"].to_numpy()[x], right["text_id"].to_numpy()[y]
-    pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": n.astype(np.int64),
-                          "ca": left["c"].to_numpy()[x], "cb": right["c"].to_numpy()[y]}).sort_values(
-        ["n", "a", "b"], ascending=[False, True, True])
-    best = pd.concat([pairs.drop_duplicates("ca"), pairs.drop_duplicates("cb")]).drop_duplicates(["a", "b"])
-    return best[["a", "b"]].astype("int64")
+    a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+    order = np.lexsort((b, a, -n.astype(np.int64)))
+    rank = np.tile(np.arange(len(order)), 2)
+    ends = np.concatenate([c[x[order]], c[y[order]]])
+    by_end = np.lexsort((rank, ends))
+    _, at = np.unique(ends[by_end], return_index=True)  # the best rank of every component
+    best = order[np.unique(rank[by_end][at])]
+    return a[best], b[best]
 
 
-def _with_partner(left: pd.DataFrame, right: pd.DataFrame, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+def _with_partner(key: int, ids: np.ndarray, c: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple:
     """The texts that have a near partner in another component."""
-    ids = np.concatenate([left["text_id"].to_numpy()[np.unique(x)], right["text_id"].to_numpy()[np.unique(y)]])
-    key = (left if len(left) else right)["key"].iloc[0] if len(ids) else 0
-    return pd.DataFrame({"key": key, "text_id": np.unique(ids)}).astype("int64")
+    who = np.unique(np.concatenate([ids[x], ids[y]]))
+    return np.full(len(who), key), who
+
+
+_MET = ["key", "i", "j", "part", "text_id", "c"]
+
+
+def _look(answer, names: tuple[str, str]):
+    """``answer`` for the near pairs of each pair of blocks, over rows sorted by (key, i, j): one group is held at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups(numbers: np.ndarray, keys: np.ndarray, marks: np.ndarray, stops: np.ndarray) -> pa.RecordBatch:
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for s, e in zip(stops[:-1].tolist(), stops[1:].tolist()):
+                key, i, j = numbers[s, :3].tolist()
+                side = None if i == j else numbers[s:e, 3] == i
+                c = numbers[s:e, 5]
+                x, y, n = _near_pairs(key, side, c, keys[s:e], marks[s:e])
+                if len(x):
+                    out.append(answer(key, numbers[s:e, 4], c, x, y, n))
+            columns = [pa.array(np.concatenate(p).astype(np.int64)) for p in zip(*out)]
+            return pa.RecordBatch.from_arrays(columns, names=list(names))
+
+        numbers, keys, marks = np.zeros((0, 6), np.int64), np.zeros((0, BANDS), np.int64), np.zeros((0, SLOTS), np.uint8)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = np.stack([batch.column(name).to_numpy(zero_copy_only=False) for name in _MET], axis=1)
+            numbers = np.concatenate([numbers, fresh])
+            keys = np.concatenate([keys, batch.column("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)])
+            marks = np.concatenate([marks, np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint8).reshape(-1, SLOTS)])
+            stops = np.concatenate([[0], np.flatnonzero((numbers[1:, :3] != numbers[:-1, :3]).any(axis=1)) + 1])
+            yield groups(numbers, keys, marks, stops)
+            numbers, keys, marks = numbers[stops[-1]:], keys[stops[-1]:], marks[stops[-1]:]
+        yield groups(numbers, keys, marks, np.array([0, len(numbers)] if len(numbers) else [0]))
+    return run
+
+
+def _looked(members: DataFrame, texts: DataFrame, answer, names: tuple[str, str]) -> DataFrame:
+    met = _bucket_pairs(members, texts)
+    return (met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            .select(*_MET, "keys", "marks").mapInArrow(_look(answer, names), ", ".join(f"{c} long" for c in names)).distinct())
 
 
 def _shared_mass(a: list[tuple[np.ndarray, np.ndarray]],
@@ -493,12 +518,10 @@ def _classes(docs: DataFrame, min_similarity: float) -> DataFrame:
         members, n_open = freeze_counted(tagged.join(unsettled, "key"), "dedup-open")
         if not n_open:
             break
-        met = _bucket_pairs(members, texts)
-        picked = met.groupBy("key", "i", "j").applyInPandas(_look(_best_partner), "a long, b long").distinct()
+        picked = _looked(members, texts, _best_partner, ("a", "b"))
         links, n_links = freeze_counted(verify(picked, content, min_similarity), "dedup-links")
         if not n_links:  # the rest is decided pair by pair
-            near = freeze(_bucket_pairs(members, texts).groupBy("key", "i", "j")
-                          .applyInPandas(_look(_with_partner), "key long, text_id long").distinct(), "dedup-near")
+            near = freeze(_looked(members, texts, _with_partner, ("key", "text_id")), "dedup-near")
             labels = _merged(labels, remaining_links(members.join(near, ["key", "text_id"]), texts, content, min_similarity))
             break
         named = labels.select("v", "c")
