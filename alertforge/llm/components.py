@@ -2,11 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertforge.llm.common import freeze, freeze_counted
 
+# up to so many links (two longs each, 8 MB) are contracted inside one task
+FEW_LINKS = 500_000
+
+
+def smallest_reached(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of the links ``(u, w)`` and the smallest id that each reaches."""
+    ids, at = np.unique(np.concatenate([u, w]), return_inverse=True)
+    x, y = at[:len(u)], at[len(u):]
+    c = np.arange(len(ids))
+    while True:
+        low, high = np.minimum(c[x], c[y]), np.maximum(c[x], c[y])
+        if (low == high).all():
+            return ids, ids[c]
+        np.minimum.at(c, high, low)
+        while (c[c] != c).any():
+            c = c[c]
+
+
+def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if table:
+        u, w = (np.concatenate(side) for side in zip(*table))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in smallest_reached(u, w)], names=["v", "c"])
+
 
 def _roots(parents: DataFrame) -> DataFrame:
     """Follow ``v -> c`` (c <= v) to the end by pointer doubling."""
@@ -27,11 +55,16 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round points every vertex at its smallest neighbour, follows the
     pointers to their roots and contracts the links onto the roots; rounds end
     when no link is left, whatever their number. All tables are narrow, and a
-    vertex with a third of all links is pre-aggregated before the shuffle.
+    vertex with a third of all links is pre-aggregated before the shuffle. No
+    more than ``FEW_LINKS`` links, counted as they are written, are contracted in
+    one task instead of a dozen small jobs.
     """
-    edges = freeze(links.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("w")),
-                                                  F.struct(F.col("b").alias("u"), F.col("a").alias("w")))).alias("e"))
-                   .select("e.*").where("u <> w").distinct(), "cc-edges")
+    links, n_links = freeze_counted(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("w"))
+                                    .where("u <> w"), "cc-links")
+    if n_links <= FEW_LINKS:
+        return freeze(links.coalesce(1).mapInArrow(_reached, "v long, c long"), "cc-labels")
+    edges = freeze(links.select(F.explode(F.array(F.struct("u", "w"), F.struct(F.col("w").alias("u"), F.col("u").alias("w")))).alias("e"))
+                   .select("e.*").distinct(), "cc-edges")
     labels = None
     while True:
         parents = (edges.groupBy("u").agg(F.min("w").alias("_w"))

@@ -20,9 +20,11 @@ Jaccard similarity is 0.8 or more, and a class is a connected component.
 4. *Verification*. Members of a band's bucket are compared with the bucket's
    leader first, by exact J_P over their shingles, and merged into components.
    In buckets whose members still lie in several components, blocks of members
-   meet by their sketches alone, and each component's best estimated pair with
-   another is verified; rounds go on until one merges nothing. So the pairs
-   verified grow with the members, not with their square.
+   meet by their sketches alone. Their near pairs are verified where they are at
+   most two a row; else each component's best estimated pair with another is.
+   Rounds go on until one merges nothing; a round looks only at buckets in which
+   a component changed and verifies no pair again. So the pairs verified grow
+   with the members, not with their square.
 5. *Rest*. Texts that still have a near partner in another component, by the
    estimate, are compared with all of them: they are packed into bounded
    blocks, blocks meet inside the bucket, a task checks a block pair and
@@ -60,6 +62,8 @@ BLOCK_PAIRS_PER_BATCH = 8
 # a pair at 0.8 agrees in fewer of its 96 slots with probability 4e-7
 MIN_AGREEING = 57
 BUCKET_BLOCK = 2048
+# two blocks that meet name all their near pairs up to so many a row
+PAIRS_PER_ROW = 2
 _COMPARED = 512
 _COLUMNS = 4096
 
@@ -223,6 +227,12 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "similarity": sims})
 
 
+def _of_ends(content: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``content`` that a pair names, so that no other is shuffled."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return content.join(ends, "node", "left_semi")
+
+
 def verify(pairs: DataFrame, content: DataFrame, min_similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` whose exact similarity reaches the bound."""
     right = content.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
@@ -271,16 +281,15 @@ def _near_pairs(key: int, side: np.ndarray | None, c: np.ndarray, keys: np.ndarr
 
 
 def _bucket_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Members of unsettled buckets with their sketches, once per pair ``(i, j)`` of blocks they meet in."""
-    parts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET_BLOCK).cast("long").alias("_parts"))
-    placed = (members.select("key", "text_id", "c").join(parts, "key")
+    """Members ``(key, text_id, c, n)`` of unsettled buckets of n with their sketches, once per pair ``(i, j)`` of blocks they meet in."""
+    placed = (members.select("key", "text_id", "c", F.ceil(F.col("n") / BUCKET_BLOCK).cast("long").alias("_parts"))
               .withColumn("part", F.pmod(F.xxhash64("text_id"), F.col("_parts")))
               .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))))
     return (placed.select("key", F.least("part", "_other").alias("i"), F.greatest("part", "_other").alias("j"), "part", "text_id", "c")
             .join(texts.select("text_id", "keys", "marks"), "text_id"))
 
 
-def _best_partner(key: int, ids: np.ndarray, c: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple:
+def _best_partners(ids: np.ndarray, c: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each component the pair that agrees most: at most one per component and pair of blocks."""
     a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
     order = np.lexsort((b, a, -n.astype(np.int64)))
@@ -292,49 +301,50 @@ def _best_partner(key: int, ids: np.ndarray, c: np.ndarray, x: np.ndarray, y: np
     return a[best], b[best]
 
 
-def _with_partner(key: int, ids: np.ndarray, c: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple:
-    """The texts that have a near partner in another component."""
-    who = np.unique(np.concatenate([ids[x], ids[y]]))
-    return np.full(len(who), key), who
-
-
 _MET = ["key", "i", "j", "part", "text_id", "c"]
 
 
-def _look(answer, names: tuple[str, str]):
-    """``answer`` for the near pairs of each pair of blocks, over rows sorted by (key, i, j): one group is held at a time."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups(numbers: np.ndarray, keys: np.ndarray, marks: np.ndarray, stops: np.ndarray) -> pa.RecordBatch:
-            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            for s, e in zip(stops[:-1].tolist(), stops[1:].tolist()):
-                key, i, j = numbers[s, :3].tolist()
-                side = None if i == j else numbers[s:e, 3] == i
-                c = numbers[s:e, 5]
-                x, y, n = _near_pairs(key, side, c, keys[s:e], marks[s:e])
-                if len(x):
-                    out.append(answer(key, numbers[s:e, 4], c, x, y, n))
-            columns = [pa.array(np.concatenate(p).astype(np.int64)) for p in zip(*out)]
-            return pa.RecordBatch.from_arrays(columns, names=list(names))
-
-        numbers, keys, marks = np.zeros((0, 6), np.int64), np.zeros((0, BANDS), np.int64), np.zeros((0, SLOTS), np.uint8)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fresh = np.stack([batch.column(name).to_numpy(zero_copy_only=False) for name in _MET], axis=1)
-            numbers = np.concatenate([numbers, fresh])
-            keys = np.concatenate([keys, batch.column("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)])
-            marks = np.concatenate([marks, np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint8).reshape(-1, SLOTS)])
-            stops = np.concatenate([[0], np.flatnonzero((numbers[1:, :3] != numbers[:-1, :3]).any(axis=1)) + 1])
-            yield groups(numbers, keys, marks, stops)
-            numbers, keys, marks = numbers[stops[-1]:], keys[stops[-1]:], marks[stops[-1]:]
-        yield groups(numbers, keys, marks, np.array([0, len(numbers)] if len(numbers) else [0]))
-    return run
-
-
-def _looked(members: DataFrame, texts: DataFrame, answer, names: tuple[str, str]) -> DataFrame:
+def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each pair of blocks, over rows sorted by (key, i, j), one group held at a time: its near pairs ``(a, b)``
+    (``pair``) where they are few for its rows; else the best pairs, and ``(key, text_id)`` of the texts that have a
+    near partner in another component."""
+    def groups(numbers: np.ndarray, keys: np.ndarray, marks: np.ndarray, stops: np.ndarray) -> pa.RecordBatch:
+        out = [(np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for s, e in zip(stops[:-1].tolist(), stops[1:].tolist()):
+            key, i, j = numbers[s, :3].tolist()
+            side = None if i == j else numbers[s:e, 3] == i
+            ids, c = numbers[s:e, 4], numbers[s:e, 5]
+            x, y, n = _near_pairs(key, side, c, keys[s:e], marks[s:e])
+            if len(x) <= PAIRS_PER_ROW * (e - s):
+                out.append((np.ones(len(x), bool), np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
+            else:
+                a, b = _best_partners(ids, c, x, y, n)
+                out.append((np.ones(len(a), bool), a, b))
+                near = np.unique(np.concatenate([ids[x], ids[y]]))
+                out.append((np.zeros(len(near), bool), np.full(len(near), key), near))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in zip(*out)], names=["pair", "a", "b"])
+
+    numbers, keys, marks = np.zeros((0, 6), np.int64), np.zeros((0, BANDS), np.int64), np.zeros((0, SLOTS), np.uint8)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fresh = np.stack([batch.column(name).to_numpy(zero_copy_only=False) for name in _MET], axis=1)
+        numbers = np.concatenate([numbers, fresh])
+        keys = np.concatenate([keys, batch.column("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)])
+        marks = np.concatenate([marks, np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint8).reshape(-1, SLOTS)])
+        stops = np.concatenate([[0], np.flatnonzero((numbers[1:, :3] != numbers[:-1, :3]).any(axis=1)) + 1])
+        yield groups(numbers, keys, marks, stops)
+        numbers, keys, marks = numbers[stops[-1]:], keys[stops[-1]:], marks[stops[-1]:]
+    yield groups(numbers, keys, marks, np.array([0, len(numbers)] if len(numbers) else [0]))
+
+
+def _looked(members: DataFrame, texts: DataFrame, tried: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)`` to verify, without those ``tried`` before, and texts ``(key, text_id)`` that have more near partners, see ``_look``."""
     met = _bucket_pairs(members, texts)
-    return (met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .select(*_MET, "keys", "marks").mapInArrow(_look(answer, names), ", ".join(f"{c} long" for c in names)).distinct())
+    found = freeze(met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+                   .select(*_MET, "keys", "marks").mapInArrow(_look, "pair boolean, a long, b long"), "dedup-look")
+    return (freeze(found.where("pair").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "dedup-pairs"),
+            found.where("not pair").select(F.col("a").alias("key"), F.col("b").alias("text_id")))
 
 
 def _shared_mass(a: list[tuple[np.ndarray, np.ndarray]],
@@ -498,31 +508,37 @@ def _classes(docs: DataFrame, min_similarity: float) -> DataFrame:
     leaders = (member.groupBy("key").agg(F.min("text_id").alias("lead"), F.max("text_id").alias("_last"))
                .where("_last > lead").drop("_last"))
     members = freeze(member.join(leaders, "key"), "dedup-members")
-    involved = members.select("text_id").union(members.select("lead")).distinct()
-    content = freeze(
+    involved, n_involved = freeze_counted(members.select("text_id").union(members.select("lead")).distinct(), "dedup-involved")
+    content, n_content = freeze_counted(
         rows.select("node", "md5", "_text")
         .join(texts.select(F.col("first_node").alias("node"), "md5", "text_id").join(involved, "text_id"), ["node", "md5"])
         .select(F.col("text_id").alias("node"), "_text").mapInPandas(_content_rows, "node long, shingles binary, counts binary"), "dedup-content")
-    content = content.dropDuplicates(["node"])
+    if n_content > n_involved:  # rows that repeat
+        content = freeze(content.dropDuplicates(["node"]), "dedup-content")
 
     pairs = members.where("text_id <> lead").select(F.col("lead").alias("a"), F.col("text_id").alias("b")).distinct()
     labels = connected_components(verify(pairs, content, min_similarity).select("a", "b")
                                   .union(_same_document(sketch, texts)))
+    tried, near = members.select(F.col("lead").alias("a"), F.col("text_id").alias("b")), None
+    members = members.select("key", "text_id", F.lit(None).cast("long").alias("c"))
     while True:
-        tagged = members.select("key", "text_id").join(
+        tagged = members.select("key", "text_id", F.col("c").alias("_was")).join(
             labels.select(F.col("v").alias("text_id"), "c"), "text_id", "left") \
             .withColumn("c", F.coalesce("c", "text_id"))
-        # a bucket whose members share a component is settled for good
-        unsettled = (tagged.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"))
-                     .where("_lo < _hi").select("key"))
-        members, n_open = freeze_counted(tagged.join(unsettled, "key"), "dedup-open")
+        # a bucket whose members share a component is settled for good; one in which no component changed gives the pairs it gave
+        unsettled = (tagged.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count(F.lit(1)).alias("n"),
+                                               F.max(F.coalesce(F.col("c") != F.col("_was"), F.lit(True))).alias("moved"))
+                     .where("_lo < _hi").select("key", "n", "moved"))
+        members, n_open = freeze_counted(tagged.drop("_was").join(unsettled, "key"), "dedup-open")
         if not n_open:
             break
-        picked = _looked(members, texts, _best_partner, ("a", "b"))
-        links, n_links = freeze_counted(verify(picked, content, min_similarity), "dedup-links")
-        if not n_links:  # the rest is decided pair by pair
-            near = freeze(_looked(members, texts, _with_partner, ("key", "text_id")), "dedup-near")
-            labels = _merged(labels, remaining_links(members.join(near, ["key", "text_id"]), texts, content, min_similarity))
+        picked, beside = _looked(members.where("moved"), texts, tried)
+        tried = tried.unionByName(picked)
+        near = beside if near is None else near.unionByName(beside)
+        links, n_links = freeze_counted(verify(picked, _of_ends(content, picked), min_similarity), "dedup-links")
+        if not n_links:  # the rest is decided pair by pair; a text with no near partner has none after a merge either
+            rest = members.join(near.distinct(), ["key", "text_id"])
+            labels = _merged(labels, remaining_links(rest, texts, content, min_similarity))
             break
         named = labels.select("v", "c")
         ends = (links.select("a", "b").join(named.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", "left")
