@@ -22,8 +22,9 @@ Jaccard similarity is 0.8 or more, and a class is a connected component.
    In buckets whose members still lie in several components, blocks of members
    meet by their sketches alone. Their near pairs are verified where they are at
    most two a row; else each component's best estimated pair with another is.
-   Rounds go on until one merges nothing; a round looks only at buckets in which
-   a component changed and verifies no pair again. So the pairs verified grow
+   Rounds go on until one merges nothing; the next one keeps the texts whose near
+   partners were too many, looks only at buckets in which a component changed and
+   verifies no pair again. So the pairs verified grow
    with the members, not with their square.
 5. *Rest*. Texts that still have a near partner in another component, by the
    estimate, are compared with all of them: they are packed into bounded
@@ -439,8 +440,10 @@ def remaining_links(members: DataFrame, texts: DataFrame, content: DataFrame, mi
     placed = (wide.join(large, ["key", "c"], "left").join(shared, "key", "left")
               .select("key", "text_id", "c", F.when(F.col("_own").isNotNull(), F.col("c")).alias("own"),
                       F.pmod(F.xxhash64("text_id", "key"), F.coalesce("_own", "_shared")).alias("part")))
-    full = (placed.join(texts.select("text_id", "keys"), "text_id")
-            .join(content.withColumnRenamed("node", "text_id"), "text_id"))
+    ids = wide.select("text_id").distinct()
+    whole = (content.withColumnRenamed("node", "text_id").join(ids, "text_id", "left_semi")
+             .join(texts.select("text_id", "keys"), "text_id"))
+    full = placed.join(whole, "text_id")
     packed = freeze(full.groupBy("key", "own", "part")
                     .agg(F.collect_list(F.struct("text_id", "c", "keys", "shingles", "counts")).alias("block"))
                     .withColumn("id", F.monotonically_increasing_id()), "dedup-blocks")
@@ -519,7 +522,7 @@ def _classes(docs: DataFrame, min_similarity: float) -> DataFrame:
     pairs = members.where("text_id <> lead").select(F.col("lead").alias("a"), F.col("text_id").alias("b")).distinct()
     labels = connected_components(verify(pairs, content, min_similarity).select("a", "b")
                                   .union(_same_document(sketch, texts)))
-    tried, near = members.select(F.col("lead").alias("a"), F.col("text_id").alias("b")), None
+    tried = members.select(F.col("lead").alias("a"), F.col("text_id").alias("b"))
     members = members.select("key", "text_id", F.lit(None).cast("long").alias("c"))
     while True:
         tagged = members.select("key", "text_id", F.col("c").alias("_was")).join(
@@ -534,11 +537,11 @@ def _classes(docs: DataFrame, min_similarity: float) -> DataFrame:
             break
         picked, beside = _looked(members.where("moved"), texts, tried)
         tried = tried.unionByName(picked)
-        near = beside if near is None else near.unionByName(beside)
         links, n_links = freeze_counted(verify(picked, _of_ends(content, picked), min_similarity), "dedup-links")
-        if not n_links:  # the rest is decided pair by pair; a text with no near partner has none after a merge either
-            rest = members.join(near.distinct(), ["key", "text_id"])
-            labels = _merged(labels, remaining_links(rest, texts, content, min_similarity))
+        # pairs named are decided; a text with no further near partner has none after a merge either
+        members = members.where("moved").join(beside, ["key", "text_id"], "left_semi").unionByName(members.where("not moved"))
+        if not n_links:  # the rest is decided pair by pair
+            labels = _merged(labels, remaining_links(members, texts, content, min_similarity))
             break
         named = labels.select("v", "c")
         ends = (links.select("a", "b").join(named.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", "left")
