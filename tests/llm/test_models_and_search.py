@@ -5,9 +5,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from alertforge.llm import neardup, pii, topk, toxicity
+from alertforge.llm import components, neardup, pii, topk, toxicity
 from alertforge.llm.components import connected_components
 
 
@@ -135,7 +136,9 @@ def test_sketch_agreement_estimates_jp():
     assert abs(got - want) < 1e-9
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("few", [0, components.FEW_LINKS])  # by rounds, and in one task
+def test_components_of_chains_and_stars(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_LINKS", few)
     links = [(i, i + 1) for i in range(100, 160)] + [(7, j) for j in range(200, 300)] + [(5, 5), (299, 7)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[j] == 7 for j in range(200, 300)) and 5 not in got
