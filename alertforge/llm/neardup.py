@@ -36,7 +36,7 @@ Jaccard similarity is 0.8 or more, and a class is a connected component.
 Defined results: a null text is empty; a text without words is in a class with
 equal texts only; a text of one to four words is one shingle. Rows that share
 a doc_id are one document (their classes merge); a null doc_id stands for
-itself by its text. Repeated rows share a class. An empty table gives no rows.
+itself by its text and stays null. Repeated rows share a class. An empty table gives no rows.
 Extra columns pass through untouched (``keep_one`` returns them).
 """
 
@@ -188,6 +188,7 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
 def _sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts, nodes, sums = batch["_text"].tolist(), batch["node"].tolist(), batch["md5"].tolist()
+        named = batch["named"].tolist()
         for a, b in slices(texts):
             doc, shingle, weight = weighted_shingles(texts[a:b])
             keys: list = [[] for _ in range(b - a)]
@@ -199,7 +200,7 @@ def _sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 low = sketches.astype(np.uint8)
                 for i, row, mark in zip(with_words, band_keys(sketches), low):
                     keys[i], marks[i] = row, mark.tobytes()
-            yield pd.DataFrame({"node": nodes[a:b], "md5": sums[a:b], "keys": keys, "marks": marks})
+            yield pd.DataFrame({"node": nodes[a:b], "named": named[a:b], "md5": sums[a:b], "keys": keys, "marks": marks})
 
 
 def _content_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -487,7 +488,7 @@ def _merged(labels: DataFrame, ends: DataFrame) -> DataFrame:
 def _nodes(docs: DataFrame) -> DataFrame:
     text = text_of("text")
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("node"),
+        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("node"), F.col("doc_id").isNotNull().alias("named"),
         F.unhex(F.md5(text.cast("binary"))).alias("md5"), text.alias("_text"))
 
 
@@ -501,9 +502,9 @@ def _same_document(sketch: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, min_similarity: float) -> DataFrame:
-    """``(node, md5, class_id)`` per row of ``docs``."""
+    """``(node, named, md5, class_id)`` per row of ``docs``; a row without a doc_id is not named."""
     rows = _nodes(docs)
-    sketch = freeze(rows.mapInPandas(_sketch_rows, "node long, md5 binary, keys array<bigint>, marks binary"), "dedup-sketch")
+    sketch = freeze(rows.mapInPandas(_sketch_rows, "node long, named boolean, md5 binary, keys array<bigint>, marks binary"), "dedup-sketch")
     texts = freeze(sketch.groupBy("md5").agg(F.min("node").alias("first_node"), F.first("keys").alias("keys"), F.first("marks").alias("marks"))
                    .withColumn("text_id", F.monotonically_increasing_id()), "dedup-texts")
 
@@ -553,12 +554,13 @@ def _classes(docs: DataFrame, min_similarity: float) -> DataFrame:
     names = own.join(texts.select("text_id", "first_node"), "text_id").groupBy("c").agg(F.min("first_node").alias("class_id"))
     by_text = (texts.select("md5", "text_id", "first_node").join(own.join(names, "c").drop("c"), "text_id", "left")
                .select("md5", F.coalesce("class_id", "first_node").alias("class_id")))
-    return sketch.select("node", "md5").join(by_text, "md5").select("node", "md5", "class_id")
+    return sketch.select("node", "named", "md5").join(by_text, "md5").select("node", "named", "md5", "class_id")
 
 
 def near_duplicate_classes(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """``(node, class_id)`` per row of ``docs``: node is the doc_id, class_id the smallest node of its class."""
-    return _classes(docs, min_similarity).select("node", "class_id")
+    """``(doc_id, node, class_id)`` per row of ``docs``: node is the doc_id or, where that is null, a hash of the text;
+    class_id is the smallest node of the class."""
+    return _classes(docs, min_similarity).select(F.when(F.col("named"), F.col("node")).alias("doc_id"), "node", "class_id")
 
 
 def keep_one(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:

@@ -107,7 +107,7 @@ def op1_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     from alertforge.llm.neardup import near_duplicate_classes
     classes = near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return classes.select(F.col("node").alias("doc_id"), "class_id")
+    return classes.select("doc_id", "class_id")
 
 
 @query

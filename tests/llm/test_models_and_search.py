@@ -109,13 +109,15 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
                                   (2, None)], "doc_id long, text string")
     kept = neardup.keep_one(docs).collect()
     assert len(kept) == 3  # one of the equal texts, the other text, the empty one
+    classes = sorted(((r.doc_id, r.class_id) for r in neardup.near_duplicate_classes(docs).collect()), key=str)
+    assert [d for d, _ in classes] == [1, 1, 2, None, None] and len({c for _, c in classes}) == 3
     assert neardup.near_duplicate_classes(docs.limit(0)).count() == 0
 
 
 def test_texts_that_share_a_doc_id_are_one_class(spark):
     docs = spark.createDataFrame([(3, "a b c d e f"), (7, "a b c d e f"), (7, "quite another text"), (9, "g h i"),
                                   (9, "j k l"), (10, "m n")], "doc_id long, text string")
-    got = sorted(map(tuple, neardup.near_duplicate_classes(docs).collect()))
+    got = sorted(map(tuple, neardup.near_duplicate_classes(docs).select("node", "class_id").collect()))
     assert got == [(3, 3), (7, 3), (7, 3), (9, 9), (9, 9), (10, 10)]
     first = min(("g h i", "j k l"), key=lambda t: hashlib.md5(t.encode()).digest())
     assert sorted(map(tuple, neardup.keep_one(docs).collect())) == [(3, "a b c d e f"), (9, first), (10, "m n")]
