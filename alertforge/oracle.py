@@ -833,6 +833,36 @@ SELECT conv_id, turn, line_no,
                  OR (len(vn) > 0 AND len(list_filter(vn, lambda x: NOT list_contains(cn, x))) = 0) END AS grounded
 FROM j"""
 
+    q["grounding_excerpts"] = f"""
+WITH ctx AS (
+  SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS context
+  FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+),
+lines AS (
+  SELECT conv_id, turn, unnest(range(0, len(string_split(text, chr(10))))) AS line_no,
+         unnest(string_split(text, chr(10))) AS line
+  FROM conversations WHERE role = 'assistant'
+),
+cut AS (SELECT *, substr(line, length(line) // 4 + 1, length(line) // 2) AS middle FROM lines),
+vals AS (
+  SELECT conv_id, turn, line_no, 'middle' AS kind, middle AS value FROM cut
+  UNION ALL SELECT conv_id, turn, line_no, 'changed', replace(middle, 'e', 'x') FROM cut
+  UNION ALL SELECT conv_id, turn, line_no, 'short', substr(line, 2, 6) FROM cut
+  UNION ALL SELECT a.conv_id, a.turn, 0, 'across', concat(right(a.text, 12), ' ', left(b.text, 12))
+            FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2
+            WHERE a.role = 'assistant' AND b.role = 'assistant'
+),
+j AS (
+  SELECT v.*, c.context, regexp_extract_all(replace(v.value, ',', ''), '\\d+') AS vn,
+         regexp_extract_all(replace(c.context, ',', ''), '\\d+') AS cn
+  FROM vals v LEFT JOIN ctx c ON v.conv_id = c.conv_id
+)
+SELECT conv_id, turn, line_no, kind,
+       CASE WHEN value IS NULL OR value = '' OR context IS NULL OR context = '' THEN false
+            ELSE contains({norm('context')}, {norm('value')})
+                 OR (len(vn) > 0 AND len(list_filter(vn, lambda x: NOT list_contains(cn, x))) = 0) END AS grounded
+FROM j"""
+
     def embed_ctes(name, src, id_col, text_expr):
         """CTEs ending in ``name`` (id_col, vector): the hashed term-frequency encoder."""
         return f"""

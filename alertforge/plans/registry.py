@@ -15,6 +15,7 @@ from alertforge.operators import answers as ANS
 from alertforge.operators import dashboard as DASH
 from alertforge.operators import documents as DOC
 from alertforge.operators import gold as GOLD
+from alertforge.operators import grounding as GROUND
 from alertforge.operators import iforest as IF
 from alertforge.operators import incidents as INC
 from alertforge.operators import ml as ML
@@ -479,15 +480,35 @@ def q_question_intent(spark, sf):
     return TD.questions(spark, sf).select("qid", ANS.question_intent(F.col("question")).alias("intent"))
 
 
+def replies(spark, sf):
+    return TD.table(spark, sf, "conversations").where(F.col("role") == "assistant").select("conv_id", "turn", "text")
+
+
 @register("grounding_check")
 def q_grounding_check(spark, sf):
-    conv = TD.table(spark, sf, "conversations")
-    ctx = (conv.where(F.col("role") == "assistant").groupBy("conv_id")
-           .agg(F.array_join(F.sort_array(F.collect_list(F.struct("turn", "text")))["text"], "\n").alias("context")))
-    values = conv.where(F.col("role") == "user").select(
+    """Lines of the users' turns against all replies of their conversation."""
+    values = TD.table(spark, sf, "conversations").where(F.col("role") == "user").select(
         "conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "value"))
-    return (values.join(ctx, "conv_id", "left")
-            .select("conv_id", "turn", "line_no", ANS.is_grounded(F.col("value"), F.col("context")).alias("grounded")))
+    return GROUND.grounded_in_turns(values, replies(spark, sf), ["conv_id"], ["turn"]).drop("value")
+
+
+@register("grounding_excerpts")
+def q_grounding_excerpts(spark, sf):
+    """Excerpts of the replies, cut inside lines and over the end of a turn, as they are and with a letter changed."""
+    turns = replies(spark, sf)
+    line, n = F.col("line"), F.length("line")
+    lines = turns.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    middle = F.substring(line, F.floor(n / 4).cast("int") + 1, F.floor(n / 2).cast("int"))
+    inside = lines.select("conv_id", "turn", "line_no", F.explode(F.array(
+        F.struct(F.lit("middle").alias("kind"), middle.alias("value")),
+        F.struct(F.lit("changed").alias("kind"), F.replace(middle, F.lit("e"), F.lit("x")).alias("value")),
+        F.struct(F.lit("short").alias("kind"), F.substring(line, 2, 6).alias("value")))).alias("v")).select(
+            "conv_id", "turn", "line_no", "v.*")
+    following = turns.select("conv_id", (F.col("turn") - 2).alias("turn"), F.substring("text", 1, 12).alias("_opens"))
+    across = turns.join(following, ["conv_id", "turn"]).select(
+        "conv_id", "turn", F.lit(0).alias("line_no"), F.lit("across").alias("kind"),
+        F.concat_ws(" ", F.substring(F.col("text"), -12, 12), F.col("_opens")).alias("value"))
+    return GROUND.grounded_in_turns(inside.unionByName(across), turns, ["conv_id"], ["turn"]).drop("value")
 
 
 @register("answer_intent")
