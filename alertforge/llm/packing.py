@@ -12,8 +12,8 @@ an Arrow batch (one text at least).
 
 Defined results: a null or empty text is one piece that holds the end id. Rows
 are packed one by one, so repeated rows (or doc_ids, or a null doc_id) each get
-their own sequences. An empty table gives no rows. Of extra columns only those
-named in ``keep`` are carried; they may not be named like the output's.
+their own sequences. An empty table gives no rows. Extra columns are
+dropped, whatever their names: only doc_id and text are read.
 """
 
 from __future__ import annotations

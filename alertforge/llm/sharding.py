@@ -13,8 +13,9 @@ a tree of blocks (fan-out 32), so no task holds more than 32 x shards counts,
 and blocks, not shards, bound what a window sorts.
 
 Defined results: ``df`` holds narrow identity columns (any may be null); rows
-equal in all of them are counted first and told apart by an occurrence number,
-so a row repeated for a third of the table spreads like any other. An empty
+equal in all of them are counted first and told apart by an occurrence number.
+The copies of one row come out of one array in one task, so a row may repeat up
+to about two billion times; they spread over all blocks after that. An empty
 table gives no rows. Fewer rows than shards leaves shards empty. Columns named
 ``shard``, ``slot`` or starting with ``_`` in ``df`` are replaced.
 """
