@@ -8,12 +8,15 @@ boosted trees score each candidate from format and context features; it is
 added where its probability reaches the kind's threshold and it overlaps no
 base span and no better candidate.
 
-*Fit* (bounded): candidates of at most ``MAX_FIT_DOCS`` documents, drawn by a
-hash of doc_id, labelled by validation the features do not see (Luhn digit,
-number ranges, a secret's name in front). Four fifths of the documents train
-the trees; the others set each kind's threshold, the lowest one whose accepted
-candidates are right at a rate of ``MIN_PRECISION`` or more. The trees are then
-compiled to one SQL expression, so scoring is a projection in the scan stage.
+*Fit*: the candidates of all documents, labelled by validation the features do
+not see (Luhn digit, number ranges, a secret's name in front). Candidates with
+equal features and label are one example with their number as weight, so the
+trees learn from every candidate while their table follows the distinct ones.
+A hash of doc_id splits the documents: four fifths train the trees; the others
+set each kind's threshold, the lowest one whose accepted candidates are right
+at a rate of ``MIN_PRECISION`` or more. The trees are then compiled to one SQL
+expression. The texts are searched once: base spans and candidates are stored,
+and the fit, the spans and the redaction read them.
 
 Only DataFrame and SQL functions; matching is possessive, so a long run of one
 character class costs linear time.
@@ -55,9 +58,10 @@ SECRET_NAME = r"(?i)(password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,2}[
 CONTEXT_NAME = r"(?i)(password|passwd|pwd|token|secret|key|phone|tel|call|mail|card|account)\W{0,4}$"
 CLOUD_KEY = r"^AKIA[0-9A-Z]{16}$"
 
-MAX_FIT_DOCS = 3000
 MIN_PRECISION = 0.98
 TREES, DEPTH = 12, 3
+# MLlib looks for split points in all examples up to the square of this number
+BINS = 1024
 CONTEXT = 24
 _CHUNK = 256
 
@@ -235,31 +239,35 @@ def _compile(node, c: Column) -> Column:
     return F.when(test, _compile(node.leftChild(), c)).otherwise(_compile(node.rightChild(), c))
 
 
+def searched(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``base`` and ``_pii_candidates``, stored: whatever reads them does not search again."""
+    return freeze(with_candidates(docs, text).drop("_pii_text"), "pii-candidates")
+
+
 def fit_model(docs: DataFrame) -> SpanModel | None:
-    """Fit on a bounded sample of the documents that have candidates."""
+    """Fit on the candidates of all documents."""
+    return fit_searched(searched(docs.select("doc_id", "text")))
+
+
+def fit_searched(rows: DataFrame) -> SpanModel | None:
+    """Fit on all candidates of ``searched`` documents."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    order = F.xxhash64(F.lit(7), "doc_id")
-    rows = docs.select(F.col("doc_id"), "text")
-    chosen = (rows.where(text_of("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id")
-              .distinct().orderBy(order, "doc_id").limit(MAX_FIT_DOCS))
-    # written before it is exploded: a filter on the array must not repeat the search
-    sample = freeze(with_candidates(rows.join(F.broadcast(chosen), "doc_id"))
-                    .select("doc_id", "_pii_candidates"), "pii-candidates")
     c = F.col("c")
-    sample = (sample.select("doc_id", F.explode("_pii_candidates").alias("c"))
-              .select("doc_id", "c.kind", *[c[f].alias(f) for f in FEATURES],
-                      (c["known"] | c["secret"]).cast("double").alias("label"),
-                      (F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(5)) == 0).alias("held")))
-    sample = freeze(sample, "pii-fit").coalesce(2)
+    every = (rows.select("doc_id", F.explode("_pii_candidates").alias("c"))
+             .select("c.kind", *[c[f].alias(f) for f in FEATURES],
+                     (c["known"] | c["secret"]).cast("double").alias("label"),
+                     (F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(5)) == 0).alias("held")))
+    examples = freeze(every.groupBy("held", "label", "kind", *FEATURES)
+                    .agg(F.count(F.lit(1)).cast("double").alias("weight")), "pii-fit")
     mix = {(r["held"], r["label"]): r["n"] for r in
-           sample.groupBy("held", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+           examples.groupBy("held", "label").agg(F.sum("weight").alias("n")).collect()}
     if not mix.get((False, 0.0)) or not mix.get((False, 1.0)):
         return None
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
-    gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=64, seed=7)
-    fitted = gbt.fit(data.where("not held").select("features", "label"))
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(examples)
+    gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=BINS, seed=7, weightCol="weight")
+    fitted = gbt.fit(data.where("not held").select("features", "label", "weight"))
     trees = list(zip(fitted.treeWeights, [t._call_java("rootNode") for t in fitted.trees]))
 
     def margin(c: Column) -> Column:
@@ -270,10 +278,11 @@ def fit_model(docs: DataFrame) -> SpanModel | None:
         return out
 
     model = SpanModel(margin, {})
-    scored = sample.where("held").withColumn("c", F.struct(*FEATURES)) \
-        .select("kind", "label", F.round(model.probability(F.col("c")), 3).alias("p"))
+    scored = examples.where("held").withColumn("c", F.struct(*FEATURES)) \
+        .select("kind", "label", "weight", F.round(model.probability(F.col("c")), 3).alias("p"))
     # at most 1,001 probabilities a kind: precision of everything at or above each
-    steps = scored.groupBy("kind", "p").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()
+    steps = scored.groupBy("kind", "p").agg(F.sum(F.col("label") * F.col("weight")).alias("good"),
+                                            F.sum("weight").alias("n")).collect()
     for kind in KINDS:
         good = total = 0.0
         for r in sorted((r for r in steps if r["kind"] == kind), key=lambda r: -r["p"]):
@@ -285,10 +294,16 @@ def fit_model(docs: DataFrame) -> SpanModel | None:
 
 def find_spans(docs: DataFrame, model: SpanModel | None, text: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``spans`` (base and added), both sorted."""
-    df = with_candidates(docs, text) if model else docs.withColumn("_pii_text", text_of(text)) \
-        .withColumn("base", base_spans(F.col("_pii_text")))
     if model is None or not model.thresholds:
+        df = docs.withColumn("_pii_text", text_of(text)).withColumn("base", base_spans(F.col("_pii_text")))
         return df.withColumn("spans", F.col("base")).drop("_pii_text", "_pii_candidates")
+    return spans_of(with_candidates(docs, text).drop("_pii_text"), model)
+
+
+def spans_of(df: DataFrame, model: SpanModel | None) -> DataFrame:
+    """``searched`` documents with ``spans``."""
+    if model is None or not model.thresholds:
+        return df.withColumn("spans", F.col("base")).drop("_pii_candidates")
     scored = F.transform(F.filter("_pii_candidates", lambda c: ~c["known"]), lambda c: F.struct(
         c["start"].alias("start"), c["stop"].alias("stop"), c["kind"].alias("kind"),
         model.probability(c).alias("p")))
@@ -304,7 +319,7 @@ def find_spans(docs: DataFrame, model: SpanModel | None, text: str = "text") ->
     rank = F.array(*[F.lit(k) for k in KINDS])
     added = F.transform(best, lambda c: _span(c, c["kind"], (F.array_position(rank, c["kind"]) - 1).cast("int")))
     return df.withColumn("spans", F.when(F.size("_pii_scored") > 0, F.sort_array(F.concat("base", added)))
-                         .otherwise(F.col("base"))).drop("_pii_text", "_pii_candidates", "_pii_scored")
+                         .otherwise(F.col("base"))).drop("_pii_candidates", "_pii_scored")
 
 
 def span_list(spans: Column) -> Column:
@@ -314,7 +329,17 @@ def span_list(spans: Column) -> Column:
 
 def redact(docs: DataFrame, model: SpanModel | None) -> DataFrame:
     """``docs`` with each span of the text replaced by its kind in angle brackets; n_chars follows."""
-    found = find_spans(docs.withColumn("_t", text_of("text")), model)
+    return _replaced(find_spans(docs, model), docs.columns)
+
+
+def fit_and_redact(docs: DataFrame) -> DataFrame:
+    """``redact`` by a model fitted on ``docs``, with one search of the texts for both."""
+    rows = searched(docs)
+    return _replaced(spans_of(rows, fit_searched(rows)), docs.columns)
+
+
+def _replaced(found: DataFrame, columns: list[str]) -> DataFrame:
+    found = found.withColumn("_t", text_of("text"))
 
     def step(s: Column, x: Column) -> Column:
         fresh = x["start"] >= s["at"]  # a span inside the last one adds no mark of its own
@@ -328,7 +353,7 @@ def redact(docs: DataFrame, model: SpanModel | None) -> DataFrame:
                                                                  F.lit(2147483647))))
     text = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
     out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
+    if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long"))
                              .otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*columns)

@@ -128,9 +128,9 @@ def op6_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts and digest of the base spans, all spans."""
-    from alertforge.llm.pii import KINDS, find_spans, fit_model, span_list
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_spans(docs, fit_model(docs)).select("doc_id", "base", "spans")
+    from alertforge.llm.pii import KINDS, fit_searched, searched, span_list, spans_of
+    rows = searched(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "base", "_pii_candidates")
+    found = spans_of(rows, fit_searched(rows)).select("doc_id", "base", "spans")
 
     def count(kind: str):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

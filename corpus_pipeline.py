@@ -15,7 +15,7 @@ from alertforge.llm.common import prepare, table, work_path
 from alertforge.llm.mixing import mix_documents
 from alertforge.llm.neardup import keep_one
 from alertforge.llm.packing import pack_documents
-from alertforge.llm.pii import fit_model, redact
+from alertforge.llm.pii import fit_and_redact
 from alertforge.llm.quality import keep_good
 
 
@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
     prepare(spark)
-    return redact(docs, fit_model(docs))
+    return fit_and_redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

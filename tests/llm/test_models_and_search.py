@@ -229,6 +229,19 @@ def test_trees_add_spans_and_redaction_applies(spark):
     assert sorted(map(tuple, pii.redact(clean, model).collect())) == sorted(map(tuple, clean.collect()))
 
 
+def test_trees_learn_from_the_candidates_of_all_documents(spark, monkeypatch):
+    stored = {}
+    freeze = pii.freeze
+    monkeypatch.setattr(pii, "freeze", lambda df, tag: stored.setdefault(tag, freeze(df, tag)))
+    docs = spark.range(3200).select(F.col("id").alias("doc_id"), F.concat(
+        F.lit("a"), F.col("id").cast("string"), F.lit("@b.example and item"), F.col("id").cast("string"),
+        F.lit("ofalongalphabetic end")).alias("text"))
+    assert pii.fit_model(docs) is not None
+    examples = stored["pii-fit"]
+    every = stored["pii-candidates"].agg(F.count("doc_id"), F.sum(F.size("_pii_candidates"))).first()
+    assert every[0] == 3200 and examples.agg(F.sum("weight")).first()[0] == every[1] >= 6400
+
+
 # ---------------------------------------------------------------- toxicity
 
 def test_scan_equals_plain_forward_backward():
