@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertforge.operators.answers import normalize_for_grounding, numbers_in
-from alertforge.operators.ordinals import ordinals_by_range
+from alertforge.operators.ordinals import offsets_by_range
 from alertforge.session import store
 
 HEAD = 3
@@ -37,18 +37,27 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(normalize_for_grounding(text), " "), lambda t: t != "")
 
 
-def _runs(token: Column) -> Column:
-    """The distinct runs of 1 to ``HEAD`` characters of a token."""
+def _runs(token: Column, lengths: Column) -> Column:
+    """The distinct runs of characters of a token, of those ``lengths`` up to ``HEAD``."""
     return F.array_distinct(F.flatten(F.array(*[
-        F.when(F.length(token) >= n, F.transform(F.sequence(F.lit(1), F.length(token) - (n - 1)),
-                                                 lambda at: F.substring(token, at, F.lit(n))))
+        F.when(F.array_contains(lengths, F.lit(n)) & (F.length(token) >= n),
+               F.transform(F.sequence(F.lit(1), F.length(token) - (n - 1)), lambda at: F.substring(token, at, F.lit(n))))
         .otherwise(F.array().cast("array<string>")) for n in range(1, HEAD + 1)])))
 
 
 def _placed(turns: DataFrame, key: list[str], order: list[str], text: str) -> DataFrame:
-    """``(key, _token, _at)``: every token of the turns at its global position, neighbours one apart."""
-    rows = turns.select(*key, *order, F.xxhash64(text).alias("_tie"), F.posexplode(_tokens(F.col(text))).alias("_i", "_token"))
-    return store(ordinals_by_range(rows, [*key, *order, "_tie", "_i"], "_at").select(*key, "_token", "_at"), "grounding-tokens")
+    """``(key, _token, _at)``: every token of the turns at its global position, neighbours one apart.
+
+    Turns are sorted and get the place of their first token; their tokens count on from there.
+    Tokens of equal turns at one place of the order alternate.
+    """
+    rows = (turns.groupBy(*key, *order, text).agg(F.count(F.lit(1)).alias("_copies"))
+            .withColumns({"_tie": F.xxhash64(text), "_n": F.size(_tokens(F.col(text))) * F.col("_copies")}))
+    started = offsets_by_range(rows, [*key, *order, "_tie"], "_n", "_start")
+    copies = started.select(*key, text, "_start", "_copies", F.explode(F.sequence(F.lit(0), F.col("_copies").cast("int") - 1)).alias("_copy"))
+    tokens = copies.select(*key, "_start", "_copies", "_copy", F.posexplode(_tokens(F.col(text))).alias("_i", "_token"))
+    at = F.col("_start") + F.col("_i") * F.col("_copies") + F.col("_copy")
+    return store(tokens.select(*key, "_token", at.alias("_at")), "grounding-tokens")
 
 
 def _starts_by_inner_token(wanted: DataFrame, placed: DataFrame, vocabulary: DataFrame, key: list[str]) -> DataFrame:
@@ -86,10 +95,11 @@ def _stands_at(starts: DataFrame, wanted: DataFrame, placed: DataFrame, key: lis
 def _inside_a_token(wanted: DataFrame, vocabulary: DataFrame, key: list[str]) -> DataFrame:
     """``(_vid)`` of the values of one token that lie inside a token of their context."""
     single = wanted.where("size(_tokens) = 1").select(*key, "_vid", F.col("_tokens")[0].alias("_want"))
-    runs = (vocabulary.join(single.select(*key).distinct(), key, "left_semi")
-            .select(*key, "_token", F.explode(_runs(F.col("_token"))).alias("_run")))
-    longest = F.filter(_runs(F.col("_want")), lambda r: F.length(r) == F.least(F.length("_want"), F.lit(HEAD)))
-    asked = single.select(*key, "_vid", "_want", F.explode(longest).alias("_run"))
+    longest = F.least(F.length("_want"), F.lit(HEAD))
+    asked_lengths = single.groupBy(*key).agg(F.collect_set(longest).alias("_lengths"))  # at most HEAD of them
+    runs = (vocabulary.join(asked_lengths, key)
+            .select(*key, "_token", F.explode(_runs(F.col("_token"), F.col("_lengths"))).alias("_run")))
+    asked = single.select(*key, "_vid", "_want", F.explode(_runs(F.col("_want"), F.array(longest))).alias("_run"))
     counted = asked.join(runs.groupBy(*key, "_run").agg(F.count(F.lit(1)).alias("_n")), [*key, "_run"], "left")
     anchor = (counted.groupBy(*key, "_vid", "_want").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_run")).alias("_a"))
               .where("_a._n > 0").select(*key, "_vid", "_want", "_a._run"))

@@ -1,6 +1,6 @@
 """Global, gap-free row numbers without a single-task window.
 
-Two exact methods:
+Exact methods:
 
 * ``ordinals_by_bucket`` - when a bucket column is monotone with the sort
   order (time windows for incidents). Row numbers are computed inside each
@@ -10,6 +10,7 @@ Two exact methods:
   and sorted, cut from its lineage with a reliable checkpoint (so partition
   ids cannot move between counting and numbering), then each row gets the
   sum of the counts of earlier partitions plus its position in its partition.
+* ``offsets_by_range`` - the same for rows that take several places each.
 """
 
 from __future__ import annotations
@@ -59,9 +60,8 @@ def ordinals_by_bucket(df: DataFrame, bucket: str, order_cols: list[str], out_co
             .drop("_rn", "_n", "_offset"))
 
 
-def ordinals_by_range(df: DataFrame, order_cols: list[str], out_col: str,
-                      num_partitions: int | None = None) -> DataFrame:
-    """1-based row number for any total order ``order_cols`` (exact, distributed)."""
+def _ranged(df: DataFrame, order_cols: list[str], num_partitions: int | None) -> DataFrame:
+    """Rows in range partitions, sorted, with their partition ``_pid`` and a rising ``_pos`` that stay as they are."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -69,13 +69,33 @@ def ordinals_by_range(df: DataFrame, order_cols: list[str], out_col: str,
     ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     # reliable checkpoint: a lost executor re-reads the same partitions
     frozen = ordered.checkpoint(eager=True)
-    tagged = (frozen.withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id()))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: size bounded by the partition count
+    return (frozen.withColumn("_pid", F.spark_partition_id())
+            .withColumn("_pos", F.monotonically_increasing_id()))
+
+
+def _partition_offsets(tagged: DataFrame, size: Column) -> DataFrame:
+    """Exclusive prefix sums of ``size`` by partition: one row per partition."""
+    counts = tagged.groupBy("_pid").agg(F.sum(size).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
+    return F.broadcast(counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset")))
+
+
+def ordinals_by_range(df: DataFrame, order_cols: list[str], out_col: str,
+                      num_partitions: int | None = None) -> DataFrame:
+    """1-based row number for any total order ``order_cols`` (exact, distributed)."""
+    tagged = _ranged(df, order_cols, num_partitions)
     local_pos = F.col("_pos") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (tagged.join(F.broadcast(offsets), "_pid")
+    return (tagged.join(_partition_offsets(tagged, F.lit(1)), "_pid")
             .withColumn(out_col, (F.col("_offset") + local_pos + 1).cast("long"))
             .drop("_pid", "_pos", "_offset"))
+
+
+def offsets_by_range(df: DataFrame, order_cols: list[str], size_col: str, out_col: str,
+                     num_partitions: int | None = None) -> DataFrame:
+    """Sum of ``size_col`` over all rows before a row in the total order ``order_cols`` (exact, distributed)."""
+    tagged = _ranged(df, order_cols, num_partitions)
+    before = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    return (tagged.withColumn("_local", F.coalesce(F.sum(size_col).over(before), F.lit(0)))
+            .join(_partition_offsets(tagged, F.col(size_col)), "_pid")
+            .withColumn(out_col, (F.col("_offset") + F.col("_local")).cast("long"))
+            .drop("_pid", "_pos", "_offset", "_local"))

@@ -4,6 +4,9 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from alertforge.operators import grounding as GROUND
 from alertforge.operators.grounding import grounded_in_turns
 
 
@@ -63,3 +66,19 @@ def test_no_rows(spark):
     assert grounded_in_turns(v, t, ["k"], ["turn"]).count() == 0
     v = spark.createDataFrame([("p", "x", 1)], v.schema)
     assert [tuple(r) for r in grounded_in_turns(v, t, ["k"], ["turn"]).collect()] == [("p", "x", 1, False)]
+
+
+def test_places_come_from_sorted_turns_not_tokens(spark, monkeypatch):
+    sorted_rows = []
+    keep = GROUND.offsets_by_range
+    monkeypatch.setattr(GROUND, "offsets_by_range", lambda df, *a: sorted_rows.append(df.count()) or keep(df, *a))
+    rows = [("k", t, f"a{t} b c{t}" if t % 3 else "  ") for t in range(40)] + [("l", 0, "x y"), ("l", 0, "x y"), ("l", 1, "z")]
+    turns = spark.createDataFrame(rows, "k string, turn long, text string").repartition(4)
+    placed = GROUND._placed(turns, ["k"], ["turn"], "text")
+    assert sorted_rows == [42]  # turns, equal ones once
+    at = sorted((r._at, r.k, r._token) for r in placed.collect())
+    assert [x[0] for x in at] == list(range(at[0][0], at[0][0] + len(at)))
+    assert [x[2] for x in at if x[1] == "k"] == [w for _, t, s in rows[:40] for w in s.split()]
+    assert [x[2] for x in at if x[1] == "l"] == ["x", "x", "y", "y", "z"]
+    runs = spark.range(1).select(GROUND._runs(F.lit("abcd"), F.array(F.lit(3))).alias("r")).first().r
+    assert sorted(runs) == ["abc", "bcd"]
