@@ -68,6 +68,48 @@ def test_topk_by_stream_and_by_blocks_equals_brute_force(spark, k, exclude_self)
     assert VEC.cosine_topk(queries.limit(0), points, k).count() == 0
 
 
+def test_many_queries_shuffle_no_vectors(spark):
+    import numpy as np
+
+    from alertforge.operators import vectors as VEC
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(9000, 8))
+    m[4000:4400] = m[0]  # equal scores
+    m[17] = np.inf  # takes part in no result
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vector array<double>").coalesce(1)
+    queries = points.where("id < 40").withColumnRenamed("id", "qid")
+    got = VEC.cosine_topk(queries, points, 6, block_rows=20, broadcast_bytes=0)
+    p = plan(got)
+    assert "CartesianProduct" in p and "FlatMapCoGroupsInPandas" not in p
+    assert p.count("Exchange") == 1  # the winners, once
+    ok = np.delete(np.arange(9000), 17)
+    want = []
+    for i in [i for i in range(40) if i != 17]:
+        scores = np.round((m[ok] @ m[i]) / (np.linalg.norm(m[ok], axis=1) * np.linalg.norm(m[i])), 6)
+        want += [(i, r, int(ok[j]), scores[j]) for r, j in enumerate(np.lexsort((ok, -scores))[:6], 1)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_embedding_shuffles_counts_once(spark):
+    import hashlib
+    import re
+
+    import numpy as np
+
+    from alertforge.operators import vectors as VEC
+    rows = [(1, "a b a"), (None, "Straße x"), (2, None), (1, "b c 1"), (3, " ,"), (None, "x y")] + [(9, "w%d w1" % i) for i in range(5000)]
+    out = VEC.hashed_tf_embed(spark.createDataFrame(rows, "id long, text string").repartition(6), "id", "text", dim=16)
+    assert plan(out).count("Exchange hashpartitioning") == 1
+    want = {}
+    for i, t in rows:
+        for w in re.findall(r"[a-zß0-9]+", (t or "").lower()):
+            want.setdefault(i, np.zeros(16))[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16] += 1
+    got = {r.id: r.vector for r in out.collect()}
+    assert set(got) == set(want)
+    for i, v in want.items():
+        assert got[i] == (v / np.sqrt((v * v).sum())).tolist()
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     df = E.queries()["dash_device_alerts"](spark, SF)
     scan = [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line]
