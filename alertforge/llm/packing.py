@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertforge.llm.common import text_of
-from alertforge.llm.tokens import VOCABULARY, slices, tokenizer
+from alertforge.llm.tokens import ID_SLICE_CHARS, VOCABULARY, slices, tokenizer
 
 MAX_LENGTH = 2048
 END_ID = 1
@@ -52,7 +52,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, longest: int =
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts, doc_ids = batch["_text"].tolist(), batch["doc_id"].tolist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, ID_SLICE_CHARS):
                 out = []
                 for doc_id, code in zip(doc_ids[a:b], tok.ids(texts[a:b])):
                     data = np.frombuffer(code, tok.dtype).astype("<u4").tobytes() + end

@@ -52,6 +52,61 @@ def test_chunked_ids_equal_whole_text_ids(texts):
         assert np.frombuffer(code, tok.dtype).tolist() == encode(text)
 
 
+PIECES = ["the", "Haus", "ñandú", "ESTH", "ª", "µ", "ß", "Σ", "3", "don't", "***", "$$$", ",&&&", "!!", "'s", "-", "<|endoftext|>",
+          "<|", "\u0301", "\u0338", " ", "\n", "\t", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u2028", "a" * 70, "*" * 70]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), max_size=6))
+def test_ids_of_words_with_marks_equal_whole_text_ids(texts):
+    tok = tokens.tokenizer()
+    for text, code in zip(texts, tok.ids(texts)):
+        assert np.frombuffer(code, tok.dtype).tolist() == encode(text)
+
+
+class Spy:
+    """A tokenizer that notes what it encodes."""
+
+    def __init__(self, inner, seen):
+        self.inner, self.seen = inner, seen
+
+    def encode(self, text, **options):
+        self.seen.append(text)
+        return self.inner.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.seen.extend(texts)
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_words_are_encoded_once_whatever_marks_follow():
+    """Patterns and normal forms are for marks and odd chunks; a word goes past them, alone, once."""
+    tok, patterned, plain = tokens.ChunkTokenizer(tokens.VOCABULARY), [], []
+    tok._tokenizer = Spy(tok._tokenizer, patterned)
+    if hasattr(tok, "_word_tokenizer"):
+        tok._word_tokenizer = Spy(tok._word_tokenizer, plain)
+    words, marks = ["the", "Quick", "BROWN", "füchse", "thanan"], ["", ".", "***", "$$$", ",&&&", "!!"]
+    texts = [" ".join(w + m for w in words) for m in marks] * 2
+    for text, code in zip(texts, tok.ids(texts[:3]) + tok.ids(texts[3:])):
+        assert np.frombuffer(code, tok.dtype).tolist() == encode(text)
+    assert sorted(patterned) == sorted(marks[1:])
+    assert sorted(" ".join(plain).split()) == sorted(w.lower() for w in words)
+
+
+def test_vocabulary_of_other_rules_gets_whole_chunks(tmp_dir):
+    import json
+
+    from tokenizers import Tokenizer
+    with open(tokens.vocabulary_path(), encoding="utf-8") as f:
+        rules = json.load(f)
+    rules["normalizer"] = {"type": "NFC"}  # case stays
+    with open(f"{tmp_dir}/cased.json", "w", encoding="utf-8") as f:
+        json.dump(rules, f)
+    tok, whole = tokens.ChunkTokenizer(f"{tmp_dir}/cased.json"), Tokenizer.from_file(f"{tmp_dir}/cased.json")
+    text = "The the THE*** HAUS, Haus it's 3.14"
+    assert np.frombuffer(tok.ids([text])[0], tok.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, ids string, part int")
 
