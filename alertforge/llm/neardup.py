@@ -65,7 +65,7 @@ MIN_AGREEING = 57
 BUCKET_BLOCK = 2048
 # two blocks that meet name all their near pairs up to so many a row
 PAIRS_PER_ROW = 2
-_COMPARED = 512
+_COMPARED = 1 << 17
 _COLUMNS = 4096
 
 _TO_BLANK = {ord(c): " " for c in WORD_SPACE}
@@ -253,33 +253,32 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _near_pairs(key: int, side: np.ndarray | None, c: np.ndarray, keys: np.ndarray,
-                marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, place, slots that agree) of the pairs of different components whose sketches are near.
+                marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, place, slots that agree) of the pairs of different components whose sketches are near, each pair
+    once, from at most ``_COMPARED`` comparisons at a time (one row at least).
 
     ``side`` tells two blocks apart that meet (None for one block with itself).
     A pair that shares several buckets is looked at in the first of them. Every
     such pair has an end outside the component that most of the rows belong to,
     so only those ends are compared.
     """
-    names, at, sizes = np.unique(c, return_inverse=True, return_counts=True)
-    few = np.flatnonzero(at != sizes.argmax())
-    found = [(np.zeros(0, np.int64),) * 3]
-    for start in range(0, len(few), _COMPARED):
-        rows = few[start:start + _COMPARED]
+    _, at, sizes = np.unique(c, return_inverse=True, return_counts=True)
+    outside = at != sizes.argmax()
+    few = np.flatnonzero(outside)
+    step = max(1, _COMPARED // len(c))
+    for start in range(0, len(few), step):
+        rows = few[start:start + step]
         n = agreeing(marks[rows], marks)
         i, j = np.nonzero((n >= MIN_AGREEING) & (c[rows][:, None] != c[None, :]))
-        if len(i):
-            found.append((rows[i], j, n[i, j]))
-    x, y, n = (np.concatenate(p) for p in zip(*found))
-    if not len(x):
-        return x, y, n
-    x, y = np.minimum(x, y), np.maximum(x, y)
-    first = (keys[x] == keys[y]).argmax(axis=1)
-    own = keys[x, first] == key
-    if side is not None:
-        own &= side[x] != side[y]
-    _, place = np.unique(x[own] * len(c) + y[own], return_index=True)
-    return x[own][place], y[own][place], n[own][place]
+        x, n = rows[i], n[i, j]
+        own = ~outside[j] | (x < j)  # with both ends outside it is met from either
+        if side is not None:
+            own &= side[x] != side[j]
+        x, y, n = x[own], j[own], n[own]
+        if len(x):
+            first = (keys[x] == keys[y]).argmax(axis=1)
+            own = keys[x, first] == key
+            yield np.minimum(x, y)[own], np.maximum(x, y)[own], n[own]
 
 
 def _bucket_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -291,16 +290,32 @@ def _bucket_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
             .join(texts.select("text_id", "keys", "marks"), "text_id"))
 
 
-def _best_partners(ids: np.ndarray, c: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each component the pair that agrees most: at most one per component and pair of blocks."""
+def _best_partners(ids: np.ndarray, c: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of the pairs, for each component the one that agrees most: at most one per component and pair of blocks."""
     a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
     order = np.lexsort((b, a, -n.astype(np.int64)))
     rank = np.tile(np.arange(len(order)), 2)
     ends = np.concatenate([c[x[order]], c[y[order]]])
     by_end = np.lexsort((rank, ends))
     _, at = np.unique(ends[by_end], return_index=True)  # the best rank of every component
-    best = order[np.unique(rank[by_end][at])]
-    return a[best], b[best]
+    return order[np.unique(rank[by_end][at])]
+
+
+def _kept_pairs(key: int, side: np.ndarray | None, ids: np.ndarray, c: np.ndarray, keys: np.ndarray,
+                marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The near pairs ``(a, b)`` of two blocks and no texts, where they are few for the rows; else the best pairs and
+    the texts of all. Pairs held at a time follow the rows, not their square."""
+    limit, total = PAIRS_PER_ROW * len(ids), 0
+    near = np.zeros(len(ids), bool)
+    x, y, n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    for found in _near_pairs(key, side, c, keys, marks):
+        total += len(found[0])
+        near[found[0]] = near[found[1]] = True
+        x, y, n = (np.concatenate(p) for p in zip((x, y, n), found))
+        if total > limit:  # the best of the best so far and the new ones
+            best = _best_partners(ids, c, x, y, n)
+            x, y, n = x[best], y[best], n[best]
+    return np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), np.unique(ids[near]) if total > limit else ids[:0]
 
 
 _MET = ["key", "i", "j", "part", "text_id", "c"]
@@ -316,14 +331,9 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, i, j = numbers[s, :3].tolist()
             side = None if i == j else numbers[s:e, 3] == i
             ids, c = numbers[s:e, 4], numbers[s:e, 5]
-            x, y, n = _near_pairs(key, side, c, keys[s:e], marks[s:e])
-            if len(x) <= PAIRS_PER_ROW * (e - s):
-                out.append((np.ones(len(x), bool), np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
-            else:
-                a, b = _best_partners(ids, c, x, y, n)
-                out.append((np.ones(len(a), bool), a, b))
-                near = np.unique(np.concatenate([ids[x], ids[y]]))
-                out.append((np.zeros(len(near), bool), np.full(len(near), key), near))
+            a, b, near = _kept_pairs(key, side, ids, c, keys[s:e], marks[s:e])
+            out.append((np.ones(len(a), bool), a, b))
+            out.append((np.zeros(len(near), bool), np.full(len(near), key), near))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in zip(*out)], names=["pair", "a", "b"])
 
     numbers, keys, marks = np.zeros((0, 6), np.int64), np.zeros((0, BANDS), np.int64), np.zeros((0, SLOTS), np.uint8)

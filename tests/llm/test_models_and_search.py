@@ -3,8 +3,10 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +140,63 @@ def test_sketch_agreement_estimates_jp():
     assert abs(got - want) < 1e-9
 
 
+def met_blocks(n, changed, seed=3):
+    """Rows of two blocks that meet in bucket 99: sketches of one text with ``changed`` of the slots redrawn."""
+    rnd = np.random.default_rng(seed)
+    marks = np.where(rnd.random((n, neardup.SLOTS)) < changed, rnd.integers(0, 256, (n, neardup.SLOTS)),
+                     rnd.integers(0, 256, neardup.SLOTS)).astype(np.uint8)
+    keys = rnd.integers(1000, 1 << 62, (n, neardup.BANDS))
+    keys[:, 7], keys[:, 3] = 99, rnd.integers(0, 20, n)  # an earlier bucket is shared now and then
+    c = np.where(rnd.random(n) < 0.2, 5, rnd.integers(0, n, n))
+    return rnd.permutation(n) + 10, c, keys, marks, rnd.integers(0, 2, n)
+
+
+def met_batches(blocks, j, rows=500):
+    ids, c, keys, marks, part = blocks
+    for s in range(0, len(ids), rows):
+        m = len(ids[s:s + rows])
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(x) for x in (np.full(m, 99), np.zeros(m, np.int64), np.full(m, j), part[s:s + rows], ids[s:s + rows], c[s:s + rows])),
+             pa.array(list(keys[s:s + rows]), pa.list_(pa.int64())), pa.array([x.tobytes() for x in marks[s:s + rows]])],
+            names=[*neardup._MET, "keys", "marks"])
+
+
+@pytest.mark.parametrize("changed", [0.15, 0.33])
+@pytest.mark.parametrize("j", [0, 1])
+def test_look_by_brute_force(changed, j, monkeypatch):
+    """Many and few near pairs, in a block and between two, whatever number of comparisons is made at a time."""
+    blocks = ids, c, keys, marks, part = met_blocks(90, changed)
+    pairs = []
+    for x in range(90):
+        for y in range(x + 1, 90):
+            agree = int((marks[x] == marks[y]).sum())
+            if agree >= neardup.MIN_AGREEING and c[x] != c[y] and (not j or part[x] != part[y]) and keys[x, 3] != keys[y, 3]:
+                pairs.append((-agree, *sorted((int(ids[x]), int(ids[y]))), int(c[x]), int(c[y])))
+    best = {}
+    for p in sorted(pairs):
+        best.setdefault(p[3], p), best.setdefault(p[4], p)
+    many = len(pairs) > neardup.PAIRS_PER_ROW * 90
+    assert many == (changed == 0.15) and pairs
+    want = {(True, a, b) for _, a, b, _, _ in (best.values() if many else pairs)}
+    want |= {(False, 99, t) for p in pairs for t in p[1:3]} if many else set()
+    for compared in (neardup._COMPARED, 300, 1):
+        monkeypatch.setattr(neardup, "_COMPARED", compared)
+        got = [r for b in neardup._look(met_batches(blocks, j, 40)) for r in zip(*(x.to_pylist() for x in b.columns))]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_look_holds_no_square_of_a_group():
+    """A bucket of many near copies: the pairs are more than memory takes at once."""
+    blocks = list(met_batches(met_blocks(1200, 0.15), 1))
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in neardup._look(iter(blocks)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100 << 20
+
+
 @pytest.mark.parametrize("few", [0, components.FEW_LINKS])  # by rounds, and in one task
 def test_components_of_chains_and_stars(spark, monkeypatch, few):
     monkeypatch.setattr(components, "FEW_LINKS", few)
