@@ -229,3 +229,89 @@ def test_duplicate_storm_keep_first(spark):
     out = SIL.keep_first(df, ["correlation_id", "device_name", "alert_type", "event_state", "event_time"],
                          [SIL.source_rank(), F.col("ingestion_time"), F.col("alert_id")]).collect()
     assert len(out) == 1 and out[0]["alert_id"] == "a00000"
+
+
+def test_context_recent_searches_once_and_builds_documents_once(spark, monkeypatch):
+    from alertforge.operators import vectors as VEC
+    from alertforge.plans import registry as R
+    seen = []
+    for module in (R, VEC):
+        monkeypatch.setattr(module, "store", lambda df, name, keep=VEC.store: seen.append((name, plan(df))) or keep(df, name))
+    p = plan(E.queries()["context_recent"](spark, SF))
+    assert "MapInArrow" not in p and "CartesianProduct" not in p  # the summaries read stored contexts, they do not search again
+    names = [name for name, _ in seen]
+    assert names == ["incident-documents", "points", "contexts"]
+    assert "Incident ID: " not in seen[1][1]  # tokens and points read stored documents
+    assert dict(seen)["contexts"].count("MapInArrow") == 1
+
+
+def _meets(queries, own, k, parts):
+    from alertforge.operators import vectors as VEC
+    heap = VEC._Heap(queries, own, k)
+    for ids, points, counts in parts:
+        heap.add(ids, points, counts)
+    q, ids, scores = heap.best()
+    return sorted(zip(q.tolist(), ids.tolist(), scores.tolist()))
+
+
+def _brute_force(queries, own, k, ids, points):
+    import numpy as np
+    norm = lambda m: np.where((n := np.linalg.norm(m, axis=1)) == 0, 1.0, n)
+    scores = np.round((queries @ points.T) / np.outer(norm(queries), norm(points)), 6)
+    want = []
+    for i, row in enumerate(scores):
+        order = [j for j in np.lexsort((ids, -row)) if own is None or ids[j] != own[i]][:k]
+        want += [(i, int(ids[j]), float(row[j])) for j in order]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("most,as_counts,exclude_self", [(3, True, False), (3, False, True), (40, True, True), (5000, False, False)])
+def test_search_by_whole_numbers_equals_brute_force(monkeypatch, most, as_counts, exclude_self):
+    """Points of all sizes and shapes: terms that all share, ties, copies, rows that are no counts."""
+    import numpy as np
+
+    from alertforge.operators import vectors as VEC
+    monkeypatch.setattr(VEC, "QUERY_TILE", 64)
+    monkeypatch.setattr(VEC, "POINT_TILE", 300)
+    monkeypatch.setattr(VEC, "LIKE", 40)
+    used = []
+    found = VEC._Heap._whole_near_bar
+    monkeypatch.setattr(VEC._Heap, "_whole_near_bar", lambda self, q, t: used.append(r := found(self, q, t)) or r)
+    rng = np.random.default_rng(most)
+    dim = 24
+    counts = np.where(rng.random((3000, dim)) < 0.3, rng.integers(1, most + 1, (3000, dim)), 0).astype(np.float32)
+    counts[:, 0] += 2  # a term of all
+    counts[500:900] = counts[:400]  # ties
+    counts[900:950] *= 7
+    points = VEC._unit_counts(counts)
+    asked = VEC._unit_counts(np.where(rng.random((150, dim)) < 0.4, rng.integers(1, 4, (150, dim)), 0) + np.eye(150, dim))
+    if not as_counts:
+        points[1000:1100] = rng.normal(size=(100, dim))
+        points[1100:1110] = 0
+        asked[:20] = rng.random((20, dim))
+    ids = rng.permutation(3000).astype(np.int64)
+    own = ids[:150].copy() if exclude_self else None
+    if exclude_self:
+        asked[50:100] = points[50:100]
+    cuts = [slice(0, 7), slice(7, 1200), slice(1200, 3000)]
+    got = _meets(asked, own, 5, [(ids[c], None, counts[c]) if as_counts else (ids[c], points[c], None) for c in cuts])
+    want = _brute_force(asked, own, 5, ids, points)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=1.5e-6, rtol=0)
+    assert any(x is not None for x in used)
+
+
+def test_products_of_whole_numbers_at_the_ends_of_their_fields():
+    """The largest product of all, which no field may lose, against bars just at it and just below."""
+    import numpy as np
+
+    from alertforge.operators import vectors as VEC
+    for size in (1, 2, 3, 7, 8, 31, 100):
+        counts = np.ones((600, 4), np.float32)
+        counts[:, 1] = np.arange(600) % 5 == 0
+        counts[::3] *= size
+        asked = VEC._unit_counts(np.array([[1, 1, 1, 1], [size, 0, 1, 0], [0, 1, 0, 0]]))
+        ids = np.arange(600)[::-1].copy()
+        got = _meets(asked, None, 3, [(ids, None, counts)])
+        want = _brute_force(asked, None, 3, ids, VEC._unit_counts(counts))
+        assert [x[:2] for x in got] == [x[:2] for x in want]
