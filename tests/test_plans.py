@@ -275,8 +275,8 @@ def test_search_by_whole_numbers_equals_brute_force(monkeypatch, most, as_counts
     monkeypatch.setattr(VEC, "POINT_TILE", 300)
     monkeypatch.setattr(VEC, "LIKE", 40)
     used = []
-    found = VEC._Heap._whole_near_bar
-    monkeypatch.setattr(VEC._Heap, "_whole_near_bar", lambda self, q, t: used.append(r := found(self, q, t)) or r)
+    found = VEC._Heap._by_whole_numbers
+    monkeypatch.setattr(VEC._Heap, "_by_whole_numbers", lambda self, q, t: used.append(r := found(self, q, t)) or r)
     rng = np.random.default_rng(most)
     dim = 24
     counts = np.where(rng.random((3000, dim)) < 0.3, rng.integers(1, most + 1, (3000, dim)), 0).astype(np.float32)
